@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import audits
+from ..operators import audits, monitors
 from ..sources import events_usage as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,13 @@ def queries() -> dict[str, Query]:
         "compute_efficiency": _audit(audits.compute_efficiency),
         "spend_spikes": _audit(audits.spend_spikes),
         "pipeline_waste": _audit(audits.pipeline_waste),
+        "nightly_idle_sweep": _audit(monitors.nightly_idle_sweep, day=ev.SWEEP_DAY),
+        "warehouse_hourly_spikes": _audit(monitors.warehouse_hourly_spikes, as_of_ts=ev.AS_OF_TS),
+        "gpu_utilization": _audit(monitors.gpu_utilization, as_of=ev.AS_OF),
+        "weekend_spend": _audit(monitors.weekend_spend, as_of=ev.AS_OF),
+        "pipeline_daily": _audit(monitors.pipeline_daily, as_of=ev.AS_OF),
+        "daily_alert": _audit(monitors.daily_alert, as_of=ev.AS_OF),
+        "weekly_attribution": _audit(monitors.weekly_attribution, as_of=ev.AS_OF),
     }
     return q
 
@@ -41,4 +48,5 @@ def oracle_sql() -> dict[str, str]:
     from . import oracle
     out = {}
     out.update(oracle.audit_sql())
+    out.update(oracle.monitor_sql())
     return out
