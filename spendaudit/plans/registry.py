@@ -7,7 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import audits, monitors
+from pyspark.sql import functions as F
+
+from ..functions.costing import with_catalog_cost
+from ..operators import audits, monitors, reports, savings
 from ..sources import events_usage as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +24,13 @@ def _audit(fn, **kw) -> Query:
     return lambda spark, sf_dir: fn(_costed(spark, sf_dir), **kw)
 
 
+def record_costs(df: DataFrame) -> DataFrame:
+    """Per-record cost projection (the costing operators' output)."""
+    return df.select("usage_record_id", "workspace_id", "sku_name", "usage_start_time",
+                     F.col("usage_quantity").cast("double").alias("usage_quantity"),
+                     F.col("estimated_cost_usd").cast("double").alias("estimated_cost_usd"))
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "top_cost_centers": _audit(audits.top_cost_centers),
@@ -40,6 +50,23 @@ def queries() -> dict[str, Query]:
         "pipeline_daily": _audit(monitors.pipeline_daily, as_of=ev.AS_OF),
         "daily_alert": _audit(monitors.daily_alert, as_of=ev.AS_OF),
         "weekly_attribution": _audit(monitors.weekly_attribution, as_of=ev.AS_OF),
+        "estimate_savings": lambda spark, d: savings.estimate_savings(
+            _costed(spark, d), ev.test_rules()),
+        "savings_rollup": lambda spark, d: savings.savings_rollup(
+            _costed(spark, d), ev.test_rules()),
+        "waste_summary": lambda spark, d: savings.waste_summary(
+            _costed(spark, d), ev.test_rules()),
+        "dataset_profile": _audit(savings.dataset_profile),
+        "catalog_cost": lambda spark, d: record_costs(
+            with_catalog_cost(ev.read_events_usage(spark, d))),
+        "list_cost": lambda spark, d: record_costs(_costed(spark, d)),
+        "daily_burn": _audit(reports.daily_burn, spike_window=ev.SPIKE_WINDOW,
+                             idle_workspace=ev.IDLE_WORKSPACE),
+        "category_spend": _audit(reports.category_spend),
+        "cost_matrix": lambda spark, d: reports.cost_matrix(_costed(spark, d), ev.test_rules()),
+        "gpu_util_vs_cost": lambda spark, d: reports.gpu_util_vs_cost(
+            _costed(spark, d), ev.test_labels()),
+        "waterfall": lambda spark, d: reports.waterfall(_costed(spark, d), ev.test_rules()),
     }
     return q
 
@@ -49,4 +76,5 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     out.update(oracle.audit_sql())
     out.update(oracle.monitor_sql())
+    out.update(oracle.savings_sql())
     return out

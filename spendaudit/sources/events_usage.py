@@ -143,3 +143,21 @@ def test_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.costing import with_list_cost
     return with_list_cost(read_events_usage(spark, sf_dir), test_prices(spark),
                           known_price_rows=TEST_PRICE_ROWS)
+
+
+def test_rules():
+    """The estate's savings rules with workspaces renamed to their ordinal
+    test ids and the spike window moved into the events window."""
+    import dataclasses
+    from ..operators.savings import DEFAULT_RULES
+    ids = {r[0]: test_workspace_id(i) for i, r in enumerate(WORKSPACES, 1)}
+    out = []
+    for r in DEFAULT_RULES:
+        kw = {"workspaces": tuple(ids[w] for w in r.workspaces)}
+        if r.start is not None:
+            kw.update(start=SPIKE_WINDOW[0], end=SPIKE_WINDOW[1])
+        out.append(dataclasses.replace(r, **kw))
+    return tuple(out)
+
+
+IDLE_WORKSPACE = test_workspace_id(8)
