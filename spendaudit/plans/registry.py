@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.costing import with_catalog_cost
-from ..operators import audits, monitors, reports, savings
+from ..operators import audits, compliance, monitors, reports, savings
 from ..sources import events_usage as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,15 @@ def queries() -> dict[str, Query]:
         "gpu_util_vs_cost": lambda spark, d: reports.gpu_util_vs_cost(
             _costed(spark, d), ev.test_labels()),
         "waterfall": lambda spark, d: reports.waterfall(_costed(spark, d), ev.test_rules()),
+        "policy_compliance": _audit(compliance.policy_compliance),
+        "budget_status": lambda spark, d: compliance.budget_status(
+            _costed(spark, d), ev.AS_OF, budgets=ev.test_budgets()),
+        "right_size_candidates": _audit(compliance.right_size_candidates, as_of=ev.AS_OF),
+        "off_hours_candidates": _audit(compliance.off_hours_candidates, as_of=ev.AS_OF,
+                                       workspace_rows=ev.test_workspace_rows()),
+        "quality_gates": lambda spark, d: compliance.quality_gates(
+            ev.read_events_usage(spark, d), ev.test_prices(spark),
+            known_price_rows=ev.TEST_PRICE_ROWS),
     }
     return q
 
@@ -77,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle.audit_sql())
     out.update(oracle.monitor_sql())
     out.update(oracle.savings_sql())
+    out.update(oracle.compliance_sql())
     return out

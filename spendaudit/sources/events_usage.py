@@ -161,3 +161,10 @@ def test_rules():
 
 
 IDLE_WORKSPACE = test_workspace_id(8)
+
+
+def test_budgets():
+    """Daily DBU budgets: each test workspace's estate budget, the BI
+    workspace's warehouse (``wh-3``) and the continuous pipeline (``p-1``)."""
+    from ..operators.compliance import default_budgets
+    return default_budgets(test_workspace_rows(), warehouse_id="wh-3", pipeline_id="p-1")
