@@ -84,29 +84,35 @@ def warehouse_hourly(usage: DataFrame, lo=None, hi=None) -> DataFrame:
         F.sum(M.long_field("query_count_hourly")).alias("total_queries"))
 
 
-def warehouse_hourly_spikes(usage: DataFrame, as_of_ts, *, window_hours: int = 24,
-                            baseline_rows: int = 24, warn_x: float = 2.0,
-                            critical_x: float = 5.0) -> DataFrame:
-    """Hours whose warehouse cost exceeds ``warn_x`` times the mean of the
-    warehouse's previous ``baseline_rows`` hour rows.  Rows of one
-    warehouse are ordered by (hour, workspace, name) so the frame is
-    deterministic when a warehouse id carries several names."""
-    hi = as_of_ts
-    lo = as_of_ts - dt.timedelta(hours=window_hours)
-    h = warehouse_hourly(usage, lo, hi)
+def hourly_spikes(hourly: DataFrame, *, baseline_rows: int = 24, warn_x: float = 2.0,
+                  critical_x: float = 5.0) -> DataFrame:
+    """Spike rows of warehouse-hour aggregates (``warehouse_hourly`` output):
+    hourly cost above ``warn_x`` times the mean of the warehouse's previous
+    ``baseline_rows`` hour rows.  Rows of one warehouse are ordered by
+    (hour, workspace, name) so the frame is deterministic when a warehouse id
+    carries several names."""
     w = (Window.partitionBy("warehouse_id")
          .orderBy("hour_bucket", "workspace_id", "warehouse_name")
          .rowsBetween(-baseline_rows, -1))
-    hc = F.col("_hc").cast("double")
     base = ratio(F.sum("_hc").over(w), F.count("_hc").over(w))
-    b = h.withColumn("hourly_cost", hc).withColumn("_base", base)
+    b = hourly.withColumn("hourly_cost", F.col("_hc").cast("double")).withColumn("_base", base)
     cost, avg = F.col("hourly_cost"), F.col("_base")
     return (b.filter(cost > avg * warn_x)
             .select("hour_bucket", "workspace_id", "warehouse_name", "hourly_cost",
                     rounded(avg, 4).alias("avg_24h_cost"), "total_queries",
                     rounded(F.try_divide(cost - avg, avg) * 100, 1).alias("pct_above_baseline"),
                     ladder([(cost > avg * critical_x, "CRITICAL"),
-                            (cost > avg * warn_x, "WARNING")], "NORMAL").alias("alert_level"))
+                            (cost > avg * warn_x, "WARNING")], "NORMAL").alias("alert_level")))
+
+
+def warehouse_hourly_spikes(usage: DataFrame, as_of_ts, *, window_hours: int = 24,
+                            baseline_rows: int = 24, warn_x: float = 2.0,
+                            critical_x: float = 5.0) -> DataFrame:
+    """Warehouse hours of the last ``window_hours`` before ``as_of_ts`` whose
+    cost exceeds ``warn_x`` times the warehouse's trailing baseline."""
+    lo = as_of_ts - dt.timedelta(hours=window_hours)
+    h = warehouse_hourly(usage, lo, as_of_ts)
+    return (hourly_spikes(h, baseline_rows=baseline_rows, warn_x=warn_x, critical_x=critical_x)
             .orderBy(F.desc_nulls_last("pct_above_baseline")))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.costing import with_catalog_cost
 from ..operators import audits, compliance, monitors, reports, savings
 from ..sources import events_usage as ev
+from ..streaming import hourly as stream_hourly
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +74,8 @@ def queries() -> dict[str, Query]:
         "right_size_candidates": _audit(compliance.right_size_candidates, as_of=ev.AS_OF),
         "off_hours_candidates": _audit(compliance.off_hours_candidates, as_of=ev.AS_OF,
                                        workspace_rows=ev.test_workspace_rows()),
+        "hourly_warehouse_cost": lambda spark, d: stream_hourly.as_hourly_cost_report(
+            stream_hourly.hourly_warehouse_cost(_costed(spark, d))),
         "quality_gates": lambda spark, d: compliance.quality_gates(
             ev.read_events_usage(spark, d), ev.test_prices(spark),
             known_price_rows=ev.TEST_PRICE_ROWS),
@@ -87,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle.monitor_sql())
     out.update(oracle.savings_sql())
     out.update(oracle.compliance_sql())
+    out.update(oracle.streaming_sql())
     return out
