@@ -22,7 +22,7 @@ from ..functions.money import money_round, money_sum, ratio, rounded
 from ..schema import (BUDGET_ALERT_PCT, GPU_INSTANCES, GPU_SKUS, INTERACTIVE_SKUS,
                       NON_PROD_ENVS, PIPELINE_DAILY_DBU_LIMIT, POLICY_RULES,
                       WAREHOUSE_DAILY_DBU_LIMIT, WORKSPACES)
-from ..sources.lookups import policy_rules
+from ..sources.lookups import literal_frame, policy_rules
 from .monitors import _days_back, gpu_utilization
 
 SCOPE_SKUS = {"interactive": INTERACTIVE_SKUS, "gpu": GPU_SKUS}
@@ -97,8 +97,8 @@ def budget_status(usage: DataFrame, as_of, days: int = 7,
              .filter(F.col("scope_id").isNotNull())
              .groupBy("usage_date", "scope_kind", "scope_id")
              .agg(F.sum("usage_quantity").alias("_dbus")))
-    bt = spark.createDataFrame(budgets, "scope_kind string, scope_id string, "
-                                        "daily_dbu_limit int, alert_pct int")
+    bt = literal_frame(spark, budgets, "scope_kind string, scope_id string, "
+                                       "daily_dbu_limit int, alert_pct int")
     bt, _ = bounded_broadcast(bt, known_rows=len(budgets))
     pct = ratio(F.col("_dbus").cast("double") * 100, "daily_dbu_limit")
     return (daily.join(bt, ["scope_kind", "scope_id"])

@@ -39,7 +39,7 @@ def queries() -> dict[str, Query]:
         "cluster_activity": _audit(audits.cluster_activity),
         "idle_clusters": _audit(audits.idle_clusters),
         "idle_clusters_ported": lambda spark, d: audits.idle_clusters_ported(
-            ev.read_events_usage(spark, d), ev.test_prices(spark), ev.AS_OF,
+            ev.usage_table(spark, d), ev.test_prices(spark), ev.AS_OF,
             known_price_rows=ev.TEST_PRICE_ROWS),
         "compute_efficiency": _audit(audits.compute_efficiency),
         "spend_spikes": _audit(audits.spend_spikes),
@@ -59,7 +59,7 @@ def queries() -> dict[str, Query]:
             _costed(spark, d), ev.test_rules()),
         "dataset_profile": _audit(savings.dataset_profile),
         "catalog_cost": lambda spark, d: record_costs(
-            with_catalog_cost(ev.read_events_usage(spark, d))),
+            with_catalog_cost(ev.usage_table(spark, d))),
         "list_cost": lambda spark, d: record_costs(_costed(spark, d)),
         "daily_burn": _audit(reports.daily_burn, spike_window=ev.SPIKE_WINDOW,
                              idle_workspace=ev.IDLE_WORKSPACE),
@@ -77,7 +77,7 @@ def queries() -> dict[str, Query]:
         "hourly_warehouse_cost": lambda spark, d: stream_hourly.as_hourly_cost_report(
             stream_hourly.hourly_warehouse_cost(_costed(spark, d))),
         "quality_gates": lambda spark, d: compliance.quality_gates(
-            ev.read_events_usage(spark, d), ev.test_prices(spark),
+            ev.usage_table(spark, d), ev.test_prices(spark),
             known_price_rows=ev.TEST_PRICE_ROWS),
     }
     return q

@@ -19,6 +19,9 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.enableJsonExpressionOptimization": "true",
 }
+# Driver-side only: skip PySpark's per-call origin capture (several JVM round
+# trips per DataFrame function) in batch jobs and the benchmark.
+PY_DEFAULTS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def local_session(cpus: int | None = None, app: str = "spendaudit",
@@ -29,7 +32,7 @@ def local_session(cpus: int | None = None, app: str = "spendaudit",
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", os.environ.get("SPENDAUDIT_DRIVER_MEMORY", "8g"))
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus)))
-    for k, v in SQL_DEFAULTS.items():
+    for k, v in {**SQL_DEFAULTS, **PY_DEFAULTS}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -26,6 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import MONEY, SKU_CATALOG, WORKSPACES
+from .lookups import literal_frame
+from .usage_io import (PARTITIONED_USAGE_SCHEMA, read_usage_parquet, write_table_once,
+                       write_usage)
 
 SKUS = [s for s, _r, _c in SKU_CATALOG]
 
@@ -38,67 +41,76 @@ SPIKE_WINDOW = (dt.date(2024, 1, 10), dt.date(2024, 1, 13))
 PRICE_CHANGE = "2024-01-15 00:00:00"
 
 
-def _s(c):
-    return F.col(c).cast("string")
+_SKU_ARRAY = "array(" + ", ".join(f"'{s}'" for s in SKUS) + ")"
+
+# Metadata document per SKU family (first match wins).
+_META = """CASE
+  WHEN idle THEN to_json(named_struct(
+    'cluster_id', 'idle-1', 'cluster_name', 'legacy', 'job_id', CAST(NULL AS STRING),
+    'autotermination_minutes', 0, 'data_security_mode', 'NONE'))
+  WHEN pipe THEN to_json(named_struct(
+    'pipeline_id', 'p-1', 'pipeline_name', 'b2s', 'pipeline_mode', 'CONTINUOUS',
+    'trigger_interval', CAST(NULL AS STRING), 'target_table', 's.t', 'job_id', 'dlt-1',
+    'data_processed_gb', IF(k < 25, 0.0D, 4.5D)))
+  WHEN sku_name IN ('SQL_PRO_COMPUTE', 'SERVERLESS_SQL_COMPUTE') THEN to_json(named_struct(
+    'warehouse_id', concat('wh-', w), 'warehouse_name', concat('n-', k % 3),
+    'query_count_hourly', k))
+  WHEN sku_name IN ('GPU_SERVERLESS_COMPUTE', 'FOUNDATION_MODEL_TRAINING') THEN to_json(named_struct(
+    'job_id', concat('ml-', k), 'job_name', concat('train-', w % 3),
+    'instance_type', IF(w % 2 = 0, 'p4d.24xlarge', 'g5.xlarge'), 'gpu_type', 'A',
+    'gpu_utilization_pct', CAST(k AS DOUBLE) + 0.5D))
+  ELSE to_json(named_struct(
+    'cluster_id', concat('c-', w), 'cluster_name', concat('cl-', w),
+    'job_id', IF(k % 2 = 0, CAST(NULL AS STRING), concat('j-', k)),
+    'autotermination_minutes', 60, 'data_security_mode', 'USER_ISOLATION'))
+END"""
 
 
 def usage_from_events(events: DataFrame) -> DataFrame:
-    base = events.select(
-        F.col("event_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        (F.col("user_id") % 8).cast("int").alias("w"),
-        F.get_json_object("props", "$.k").try_cast("int").alias("k"),
-        F.col("value"))
-    w, k = F.col("w"), F.col("k")
-    idle = (w == 7) & (k < 60)
-    pipe = (w == 0) & (k < 40)
-    sku = (F.when(idle, F.lit("PREMIUM_ALL_PURPOSE_COMPUTE"))
-           .when(pipe, F.lit("JOBS_SERVERLESS_COMPUTE"))
-           .otherwise(F.try_element_at(F.array(*[F.lit(s) for s in SKUS]), k % 12 + 1)))
-    null_s = F.lit(None).cast("string")
-    meta = (
-        F.when(idle, F.to_json(F.struct(
-            F.lit("idle-1").alias("cluster_id"), F.lit("legacy").alias("cluster_name"),
-            null_s.alias("job_id"), F.lit(0).alias("autotermination_minutes"),
-            F.lit("NONE").alias("data_security_mode"))))
-        .when(pipe, F.to_json(F.struct(
-            F.lit("p-1").alias("pipeline_id"), F.lit("b2s").alias("pipeline_name"),
-            F.lit("CONTINUOUS").alias("pipeline_mode"), null_s.alias("trigger_interval"),
-            F.lit("s.t").alias("target_table"), F.lit("dlt-1").alias("job_id"),
-            F.when(k < 25, F.lit(0.0)).otherwise(F.lit(4.5)).alias("data_processed_gb"))))
-        .when(F.col("sku_name").isin("SQL_PRO_COMPUTE", "SERVERLESS_SQL_COMPUTE"), F.to_json(F.struct(
-            F.concat(F.lit("wh-"), _s("w")).alias("warehouse_id"),
-            F.concat(F.lit("n-"), (k % 3).cast("string")).alias("warehouse_name"),
-            k.alias("query_count_hourly"))))
-        .when(F.col("sku_name").isin("GPU_SERVERLESS_COMPUTE", "FOUNDATION_MODEL_TRAINING"), F.to_json(F.struct(
-            F.concat(F.lit("ml-"), _s("k")).alias("job_id"),
-            F.concat(F.lit("train-"), (w % 3).cast("string")).alias("job_name"),
-            F.when(w % 2 == 0, F.lit("p4d.24xlarge")).otherwise(F.lit("g5.xlarge")).alias("instance_type"),
-            F.lit("A").alias("gpu_type"),
-            (k.cast("double") + 0.5).alias("gpu_utilization_pct"))))
-        .otherwise(F.to_json(F.struct(
-            F.concat(F.lit("c-"), _s("w")).alias("cluster_id"),
-            F.concat(F.lit("cl-"), _s("w")).alias("cluster_name"),
-            F.when(k % 2 == 0, null_s).otherwise(F.concat(F.lit("j-"), _s("k"))).alias("job_id"),
-            F.lit(60).alias("autotermination_minutes"),
-            F.lit("USER_ISOLATION").alias("data_security_mode")))))
-    quantity = F.when(
-        idle, F.lit(Decimal("4.00")) + (k % 5).cast("decimal(10,0)") * F.lit(Decimal("0.02"))
-    ).otherwise(F.col("value").cast("decimal(18,2)") * F.lit(Decimal("0.1")))
-    return (base
-            .withColumn("sku_name", sku)
-            .select(
-                F.col("event_id").cast("string").alias("usage_record_id"),
-                F.concat(F.lit("ws-"), F.lpad((w + 1).cast("string"), 3, "0")).alias("workspace_id"),
-                F.col("sku_name"),
-                F.col("ts").alias("usage_start_time"),
-                (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("usage_end_time"),
-                quantity.cast(MONEY).alias("usage_quantity"),
-                meta.alias("usage_metadata")))
+    base = events.selectExpr(
+        "event_id", "CAST(ts AS TIMESTAMP) AS ts", "CAST(user_id % 8 AS INT) AS w",
+        "TRY_CAST(get_json_object(props, '$.k') AS INT) AS k", "value")
+    keyed = base.selectExpr(
+        "*", "w = 7 AND k < 60 AS idle", "w = 0 AND k < 40 AS pipe",
+        f"""CASE WHEN w = 7 AND k < 60 THEN 'PREMIUM_ALL_PURPOSE_COMPUTE'
+                 WHEN w = 0 AND k < 40 THEN 'JOBS_SERVERLESS_COMPUTE'
+                 ELSE try_element_at({_SKU_ARRAY}, k % 12 + 1) END AS sku_name""")
+    return keyed.selectExpr(
+        "CAST(event_id AS STRING) AS usage_record_id",
+        "concat('ws-', lpad(CAST(w + 1 AS STRING), 3, '0')) AS workspace_id",
+        "sku_name",
+        "ts AS usage_start_time",
+        "ts + INTERVAL 1 HOUR AS usage_end_time",
+        f"""CAST(IF(idle, 4.00BD + CAST(k % 5 AS DECIMAL(10,0)) * 0.02BD,
+                    CAST(value AS DECIMAL(18,2)) * 0.1BD) AS {MONEY.simpleString()})
+            AS usage_quantity""",
+        f"{_META} AS usage_metadata")
+
+
+EVENTS_SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+                 "value DOUBLE, props STRING")
+ADAPTER_VERSION = "1"
 
 
 def read_events_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """The usage projection of ``events`` (computed on every read)."""
+    return usage_from_events(spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
+
+
+def usage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usage fact derived from ``events``, stored the way production
+    stores it: Parquet partitioned by ``usage_date``, written once into the
+    session's shared checkpoint folder (keyed by the source file's path,
+    size and modification time) and read back with an explicit schema."""
+    import hashlib
+    import os
+    from ..plans.session import ensure_checkpoint_dir
+    src = os.path.abspath(f"{sf_dir}/events.parquet")
+    st = os.stat(src)
+    key = hashlib.sha1(f"{src}|{st.st_size}|{st.st_mtime_ns}|{ADAPTER_VERSION}".encode()).hexdigest()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/spendaudit-usage/{key[:16]}"
+    write_table_once(read_events_usage(spark, sf_dir), path, write_usage)
+    return read_usage_parquet(spark, path, PARTITIONED_USAGE_SCHEMA)
 
 
 def test_prices(spark: SparkSession) -> DataFrame:
@@ -114,7 +126,7 @@ def test_prices(spark: SparkSession) -> DataFrame:
             rows.append((sku, rate, PRICE_CHANGE, None))
         else:
             rows.append((sku, rate, "2023-01-01 00:00:00", None))
-    df = spark.createDataFrame(rows, "sku_name string, rate string, s string, e string")
+    df = literal_frame(spark, rows, "sku_name string, rate string, s string, e string")
     return df.select(
         F.col("sku_name"),
         F.struct(F.col("rate").cast("decimal(10,4)").alias("default")).alias("pricing"),
@@ -141,7 +153,7 @@ def test_labels() -> dict[str, str]:
 def test_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costed usage of an sf directory (list-price validity join)."""
     from ..functions.costing import with_list_cost
-    return with_list_cost(read_events_usage(spark, sf_dir), test_prices(spark),
+    return with_list_cost(usage_table(spark, sf_dir), test_prices(spark),
                           known_price_rows=TEST_PRICE_ROWS)
 
 

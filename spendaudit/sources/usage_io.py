@@ -7,8 +7,11 @@ exported sample format (JSON quotes doubled, hence ``escape='"'``).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import COSTED_USAGE_SCHEMA, MONEY, PRICES_SCHEMA, USAGE_SCHEMA
 
@@ -23,13 +26,13 @@ def read_usage_csv(spark: SparkSession, path: str, with_cost: bool = True) -> Da
             .csv(path))
 
 
-def read_usage_parquet(spark: SparkSession, path: str) -> DataFrame:
+def read_usage_parquet(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Parquet usage table, projected and typed to the usage schema.
 
     A ``usage_date`` partition column and an ``estimated_cost_usd`` column are
-    kept when present.
+    kept when present.  Passing ``schema`` skips the footer-inference job.
     """
-    df = spark.read.parquet(path)
+    df = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
     cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in USAGE_SCHEMA.fields]
     if "estimated_cost_usd" in df.columns:
         cols.append(F.col("estimated_cost_usd").cast(MONEY).alias("estimated_cost_usd"))
@@ -66,3 +69,25 @@ def write_usage_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
        .option("escape", '"')
        .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
        .csv(path))
+
+
+PARTITIONED_USAGE_SCHEMA = T.StructType(USAGE_SCHEMA.fields + [T.StructField("usage_date", T.DateType())])
+
+
+def write_table_once(df: DataFrame, path: str, writer) -> str:
+    """Write ``df`` to ``path`` unless a complete copy is already there.
+
+    The data goes to a sibling temporary folder first and is renamed into
+    place, so readers never see a half-written table and a job retried after
+    a lost executor simply rewrites the temporary folder."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
+        return path
+    tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+    writer(df, tmp)
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), hpath):
+        fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)  # another writer won
+    return path
