@@ -67,7 +67,7 @@ def write_usage_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     (df.write.mode(mode)
        .option("header", True)
        .option("escape", '"')
-       .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
+       .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
        .csv(path))
 
 
