@@ -75,11 +75,18 @@ def waste_rules(rules: Sequence[SavingsRule]) -> tuple[SavingsRule, ...]:
 
 
 def _prepared(usage: DataFrame, rules: Sequence[SavingsRule]) -> DataFrame:
+    """The columns the masks read.  The pipeline id is parsed from the JSON
+    document only for rows of a pipeline rule's workspaces and SKUs (CASE
+    evaluates its branch lazily), not for every usage record."""
     cols = ["workspace_id", "sku_name", "usage_start_time", "estimated_cost_usd"]
-    df = usage.select(*cols)
-    if any(r.require_pipeline for r in rules):
-        df = usage.select(*cols, M.field_of("pipeline_id").alias("_pipeline_id"))
-    return df
+    need = [r for r in rules if r.require_pipeline]
+    if not need:
+        return usage.select(*cols)
+    scope = None
+    for r in need:
+        c = F.col("workspace_id").isin(*r.workspaces) & F.col("sku_name").isin(*r.skus)
+        scope = c if scope is None else scope | c
+    return usage.select(*cols, F.when(scope, M.field_of("pipeline_id")).alias("_pipeline_id"))
 
 
 def _masked_sums(rules: Sequence[SavingsRule], prefix: str) -> list[Column]:
