@@ -5,8 +5,9 @@
 Time windows are half-open ``[as_of - n days, as_of + 1 day)`` (everything
 up to the end of the run day) and go through ``within``, so a source
 partitioned by ``usage_date`` reads only the days it needs.  The daily
-anomaly alert is the exception: its 7-row baseline may reach arbitrarily far
-back over missing days, so its input is not cut.
+anomaly alert's 7-row baseline may reach arbitrarily far back over missing
+days; it reads a recent window and goes further back only for the
+workspaces that need it.
 """
 
 from __future__ import annotations
@@ -193,11 +194,37 @@ def pipeline_daily(usage: DataFrame, as_of, days: int = 7, savings_share: float
 
 
 # --------------------------------------------------------------------- M6
-def daily_alert(usage: DataFrame, as_of, lookback: int = 7) -> DataFrame:
+def daily_alert(usage: DataFrame, as_of, lookback: int = 7,
+                recent_days: int | None = 35) -> DataFrame:
     """Yesterday's spend per workspace against its trailing 7-row baseline;
-    every alert level is reported (NORMAL included)."""
+    every alert level is reported (NORMAL included).
+
+    Exact and date-pruned: daily rows are first built from the last
+    ``recent_days`` days only.  A workspace whose ``lookback`` previous daily
+    rows all fall inside that window needs nothing older; only workspaces
+    with fewer rows there (new or mostly idle ones, a list bounded by the
+    number of workspaces) trigger a second read of older history, filtered
+    to those ids.  ``recent_days=None`` always reads the whole history.
+    """
     yesterday = _day(as_of) - dt.timedelta(days=1)
-    b = with_baseline(daily_spend(usage, round_dbus=False), lookback)
+    if recent_days is None:
+        daily = daily_spend(usage, round_dbus=False)
+    else:
+        lo = yesterday - dt.timedelta(days=recent_days)
+        daily = daily_spend(within(usage, lo=lo, hi=yesterday + dt.timedelta(days=1)),
+                            round_dbus=False)
+        y = date_lit(yesterday)
+        short = (daily.groupBy("workspace_id")
+                 .agg(F.count_if(F.col("usage_date") < y).alias("n"),
+                      F.max((F.col("usage_date") == y).cast("int")).alias("has_y"))
+                 .filter((F.col("has_y") == 1) & (F.col("n") < lookback))
+                 .select("workspace_id"))
+        ids = [r[0] for r in short.collect()]  # at most one id per workspace
+        if ids:
+            older = daily_spend(within(usage, hi=lo).filter(F.col("workspace_id").isin(*ids)),
+                                round_dbus=False)
+            daily = daily.unionByName(older)
+    b = with_baseline(daily, lookback)
     rel, z = deviation("daily_cost", "_base", "_spread")
     return (b.filter(F.col("_base").isNotNull() & (F.col("usage_date") == date_lit(yesterday)))
             .select("usage_date", "workspace_id", "daily_cost",

@@ -193,3 +193,19 @@ def test_weekly_attribution_windows(make_usage):
                     ("3", "ws", "JOBS_COMPUTE", "2024-01-16 23:00:00", "1", None, "100")])
     r = monitors.weekly_attribution(u, dt.date(2024, 1, 31)).collect()[0]
     assert (r.cost_this_week, r.cost_last_week, r.wow_delta_usd, r.usage_events) == (5.0, 3.0, 2.0, 2)
+
+
+def test_daily_alert_pruned_equals_full_history(make_usage):
+    # ws "a": active every day (recent window suffices); ws "b": idle for
+    # 60 days before yesterday, so its baseline reaches far back
+    rows = []
+    for d in range(90):
+        day = dt.date(2024, 1, 1) + dt.timedelta(days=d)
+        rows.append((f"a{d}", "a", "JOBS_COMPUTE", f"{day} 10:00:00", "1", None, str(10 + d % 7)))
+        if d < 25 or d == 89:
+            rows.append((f"b{d}", "b", "JOBS_COMPUTE", f"{day} 10:00:00", "1", None, str(5 + d % 3)))
+    u = make_usage(rows)
+    as_of = dt.date(2024, 1, 1) + dt.timedelta(days=90)
+    full = sorted(map(tuple, monitors.daily_alert(u, as_of, recent_days=None).collect()))
+    pruned = sorted(map(tuple, monitors.daily_alert(u, as_of, recent_days=10).collect()))
+    assert full == pruned and {r[1] for r in full} == {"a", "b"}
