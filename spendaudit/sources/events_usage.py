@@ -101,13 +101,16 @@ def usage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The usage fact derived from ``events``, stored the way production
     stores it: Parquet partitioned by ``usage_date``, written once into the
     session's shared checkpoint folder (keyed by the source file's path,
-    size and modification time) and read back with an explicit schema."""
+    size and modification time and the session time zone) and read back
+    with an explicit schema."""
     import hashlib
     import os
     from ..plans.session import ensure_checkpoint_dir
     src = os.path.abspath(f"{sf_dir}/events.parquet")
     st = os.stat(src)
-    key = hashlib.sha1(f"{src}|{st.st_size}|{st.st_mtime_ns}|{ADAPTER_VERSION}".encode()).hexdigest()
+    tz = spark.conf.get("spark.sql.session.timeZone")  # the NTZ -> TIMESTAMP cast depends on it
+    key = hashlib.sha1(
+        f"{src}|{st.st_size}|{st.st_mtime_ns}|{tz}|{ADAPTER_VERSION}".encode()).hexdigest()
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/spendaudit-usage/{key[:16]}"
     write_table_once(read_events_usage(spark, sf_dir), path, write_usage)
     return read_usage_parquet(spark, path, PARTITIONED_USAGE_SCHEMA)

@@ -88,6 +88,8 @@ def write_table_once(df: DataFrame, path: str, writer) -> str:
         return path
     tmp = f"{path}.tmp-{uuid.uuid4().hex}"
     writer(df, tmp)
+    if fs.exists(hpath) and not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
+        fs.delete(hpath, True)  # left over from an interrupted run
     if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), hpath):
         fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)  # another writer won
     return path
