@@ -64,3 +64,31 @@ def materialize(df: DataFrame) -> DataFrame:
     (survives executor loss, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_settings(total_cores: int) -> dict[str, str]:
+    """SQL options for a large cluster, derived from its total core count.
+
+    * ~2 shuffle partitions per core; AQE then coalesces the (small)
+      post-aggregation stages and splits skewed join partitions.
+    * 256 MB scan splits: large sequential Parquet reads; the aggregations
+      reduce rows by orders of magnitude before any shuffle.
+    * Broadcasts stay explicit (size-checked in code), so the automatic
+      threshold is kept modest.
+    """
+    return {
+        **SQL_DEFAULTS,
+        "spark.sql.shuffle.partitions": str(max(200, 2 * total_cores)),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * 1024 * 1024),
+        "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    }
+
+
+def tune(spark: SparkSession, total_cores: int) -> SparkSession:
+    """Apply ``cluster_settings`` to a running session (all are runtime SQL options)."""
+    for k, v in cluster_settings(total_cores).items():
+        spark.conf.set(k, v)
+    return spark

@@ -97,12 +97,16 @@ def read_events_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage_from_events(spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def usage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The usage fact derived from ``events``, stored the way production
     stores it: Parquet partitioned by ``usage_date``, written once into the
     session's shared checkpoint folder (keyed by the source file's path,
     size and modification time and the session time zone) and read back
-    with an explicit schema."""
+    with an explicit schema.  The table is immutable once written, so the
+    DataFrame (and its file listing) is reused within the application."""
     import hashlib
     import os
     from ..plans.session import ensure_checkpoint_dir
@@ -111,9 +115,12 @@ def usage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     tz = spark.conf.get("spark.sql.session.timeZone")  # the NTZ -> TIMESTAMP cast depends on it
     key = hashlib.sha1(
         f"{src}|{st.st_size}|{st.st_mtime_ns}|{tz}|{ADAPTER_VERSION}".encode()).hexdigest()
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/spendaudit-usage/{key[:16]}"
-    write_table_once(read_events_usage(spark, sf_dir), path, write_usage)
-    return read_usage_parquet(spark, path, PARTITIONED_USAGE_SCHEMA)
+    memo = (spark.sparkContext.applicationId, key)
+    if memo not in _TABLES:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/spendaudit-usage/{key[:16]}"
+        write_table_once(spark, lambda: read_events_usage(spark, sf_dir), path, write_usage)
+        _TABLES[memo] = read_usage_parquet(spark, path, PARTITIONED_USAGE_SCHEMA)
+    return _TABLES[memo]
 
 
 def test_prices(spark: SparkSession) -> DataFrame:

@@ -74,20 +74,20 @@ def write_usage_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 PARTITIONED_USAGE_SCHEMA = T.StructType(USAGE_SCHEMA.fields + [T.StructField("usage_date", T.DateType())])
 
 
-def write_table_once(df: DataFrame, path: str, writer) -> str:
-    """Write ``df`` to ``path`` unless a complete copy is already there.
+def write_table_once(spark: SparkSession, build, path: str, writer) -> str:
+    """Write ``build()`` to ``path`` unless a complete copy is already there
+    (the DataFrame is only built when it has to be written).
 
     The data goes to a sibling temporary folder first and is renamed into
     place, so readers never see a half-written table and a job retried after
     a lost executor simply rewrites the temporary folder."""
-    spark = df.sparkSession
     jvm = spark._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
         return path
     tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-    writer(df, tmp)
+    writer(build(), tmp)
     if fs.exists(hpath) and not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
         fs.delete(hpath, True)  # left over from an interrupted run
     if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), hpath):
