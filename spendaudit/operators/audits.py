@@ -196,6 +196,22 @@ def daily_spend(usage: DataFrame, round_dbus: bool = True) -> DataFrame:
         F.count(F.lit(1)).alias("record_count"))
 
 
+def densify_days(daily: DataFrame) -> DataFrame:
+    """Calendar-dense daily rows: every day between a workspace's first and
+    last active day, with zero spend and DBUs on idle days.  Both sides of
+    the join are aggregated (days x workspaces) rows."""
+    span = (daily.groupBy("workspace_id")
+            .agg(F.min("usage_date").alias("_lo"), F.max("usage_date").alias("_hi"))
+            .select("workspace_id",
+                    F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 DAY"))).alias("usage_date")))
+    return (span.join(daily, ["workspace_id", "usage_date"], "left")
+            .select("usage_date", "workspace_id",
+                    F.coalesce("_daily", F.lit(0).cast("decimal(38,2)")).alias("_daily"),
+                    F.coalesce("daily_dbus", F.lit(0.0)).alias("daily_dbus"),
+                    F.coalesce("sku_count", F.lit(0).cast("bigint")).alias("sku_count"),
+                    F.coalesce("record_count", F.lit(0).cast("bigint")).alias("record_count")))
+
+
 def with_baseline(daily: DataFrame, lookback: int = 7) -> DataFrame:
     """Trailing baseline of the ``lookback`` previous rows (not days) of the
     same workspace: mean and sample stddev of daily cost, rounded to cents.
@@ -211,9 +227,13 @@ def with_baseline(daily: DataFrame, lookback: int = 7) -> DataFrame:
 ALERT_RUNGS = ((1.50, "EMERGENCY"), (0.75, "CRITICAL"), (0.30, "WARNING"))
 
 
-def spend_spikes(usage: DataFrame, lookback: int = 7, threshold: float = 0.30) -> DataFrame:
-    """Days whose spend exceeds the workspace's trailing mean by > threshold."""
-    b = with_baseline(daily_spend(usage), lookback)
+def spend_spikes(usage: DataFrame, lookback: int = 7, threshold: float = 0.30,
+                 dense_days: bool = False) -> DataFrame:
+    """Days whose spend exceeds the workspace's trailing mean by > threshold.
+    The baseline frame counts daily rows (days without usage are skipped);
+    ``dense_days=True`` counts calendar days instead, idle days as zero."""
+    daily = daily_spend(usage)
+    b = with_baseline(densify_days(daily) if dense_days else daily, lookback)
     rel, z = deviation("daily_cost", "_base", "_spread")
     return (b.filter(F.col("_base").isNotNull() & (rel > threshold))
             .select(

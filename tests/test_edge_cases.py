@@ -209,3 +209,11 @@ def test_daily_alert_pruned_equals_full_history(make_usage):
     full = sorted(map(tuple, monitors.daily_alert(u, as_of, recent_days=None).collect()))
     pruned = sorted(map(tuple, monitors.daily_alert(u, as_of, recent_days=10).collect()))
     assert full == pruned and {r[1] for r in full} == {"a", "b"}
+
+
+def test_calendar_dense_baseline_counts_idle_days_as_zero(make_usage):
+    u = _daily(make_usage, [10, 20, 30, 100], days=[0, 1, 2, 9])
+    dense = {r.usage_date.day: r for r in audits.spend_spikes(u, dense_days=True).collect()}
+    # frame for day 10 = days 3..9 = [30, 0, 0, 0, 0, 0, 0] -> mean 30/7
+    assert dense[10].moving_avg_7d == round(30 / 7, 2)
+    assert 4 not in dense  # an idle day is never a spike
