@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import meta as M
 from ..functions.classify import deviation, ladder, spend_category, within
 from ..functions.costing import with_list_cost
-from ..functions.money import annualize, cv_pct, mean, money_round, money_sum, ratio, rounded
+from ..functions.money import annualize, cv_pct, mean, money_sum, ratio, rounded
 from ..schema import AUDIT_DAYS, INTERACTIVE_SKUS, PIPELINE_SKU
 
 def _all():

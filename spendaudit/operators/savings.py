@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import meta as M
-from ..functions.classify import is_weekend, ts_lit
+from ..functions.classify import ts_lit
 from ..functions.money import annualize, money_round, ratio, rounded
 from ..schema import AUDIT_DAYS
 
