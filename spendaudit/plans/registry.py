@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.costing import with_catalog_cost
+from ..sources.usage_io import with_record_ids
 from ..operators import audits, compliance, monitors, reports, savings
 from ..sources import events_usage as ev
 from ..streaming import hourly as stream_hourly
@@ -76,6 +77,11 @@ def queries() -> dict[str, Query]:
                                        workspace_rows=ev.test_workspace_rows()),
         "hourly_warehouse_cost": lambda spark, d: stream_hourly.as_hourly_cost_report(
             stream_hourly.hourly_warehouse_cost(_costed(spark, d))),
+        "record_ids": lambda spark, d: with_record_ids(
+            ev.usage_table(spark, d).select(
+                F.col("usage_record_id").alias("source_id"), "workspace_id", "sku_name",
+                "usage_start_time", "usage_quantity")).select(
+            "source_id", "usage_record_id"),
         "quality_gates": lambda spark, d: compliance.quality_gates(
             ev.usage_table(spark, d), ev.test_prices(spark),
             known_price_rows=ev.TEST_PRICE_ROWS),
@@ -91,4 +97,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle.savings_sql())
     out.update(oracle.compliance_sql())
     out.update(oracle.streaming_sql())
+    out.update(oracle.ids_sql())
     return out

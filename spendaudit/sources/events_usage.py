@@ -88,7 +88,7 @@ def usage_from_events(events: DataFrame) -> DataFrame:
 
 EVENTS_SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
                  "value DOUBLE, props STRING")
-ADAPTER_VERSION = "1"
+ADAPTER_VERSION = "2"
 
 
 def read_events_usage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,3 +136,14 @@ def test_sample_goldens(spark):
     assert (p.total_hours_active, p.idle_hours, p.idle_rate_pct, p.total_cost_usd) == (11, 8, 72.7, 7.54)
     assert audits.compute_efficiency(u).count() == 3
     assert audits.spend_spikes(u).count() == 0
+
+
+def test_record_ids_are_unique_and_stable(spark):
+    from spendaudit.sources.usage_io import with_record_ids
+    u = ev.usage_table(spark, SF_ORACLE)
+    a = with_record_ids(u).select("usage_record_id")
+    b = with_record_ids(u.repartition(5)).select("usage_record_id")
+    n = u.count()
+    assert a.distinct().count() == n
+    assert a.exceptAll(b).count() == 0
+    assert a.filter(~a.usage_record_id.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")).count() == 0
