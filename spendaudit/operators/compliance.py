@@ -77,14 +77,28 @@ def default_budgets(workspace_rows=WORKSPACES, warehouse_id: str = "sql-wh-bi-au
     return rows
 
 
+BUDGET_DDL = "scope_kind string, scope_id string, daily_dbu_limit int, alert_pct int"
+
+
 def budget_status(usage: DataFrame, as_of, days: int = 7,
-                  budgets: Sequence[tuple] | None = None) -> DataFrame:
+                  budgets: Sequence[tuple] | DataFrame | None = None) -> DataFrame:
     """Daily DBUs per budgeted scope (workspace, warehouse, pipeline) against
-    its limit: OVER_LIMIT above 100 %, ALERT from ``alert_pct``."""
-    budgets = list(budgets if budgets is not None else default_budgets())
+    its limit: OVER_LIMIT above 100 %, ALERT from ``alert_pct``.
+
+    ``budgets`` is a list of (scope_kind, scope_id, daily_dbu_limit,
+    alert_pct) or a DataFrame with those columns; it is broadcast after its
+    size is checked and joined to the daily aggregates (never to raw rows)."""
     spark = usage.sparkSession
+    if isinstance(budgets, DataFrame):
+        bt, _ = bounded_broadcast(budgets.select("scope_kind", "scope_id",
+                                                 "daily_dbu_limit", "alert_pct"))
+        kinds = ["pipeline", "warehouse", "workspace"]
+    else:
+        budgets = list(budgets if budgets is not None else default_budgets())
+        bt, _ = bounded_broadcast(literal_frame(spark, budgets, BUDGET_DDL),
+                                  known_rows=len(budgets))
+        kinds = sorted({b[0] for b in budgets})
     lo, hi = _days_back(as_of, days)
-    kinds = sorted({b[0] for b in budgets})
     key_of = {"workspace": F.col("workspace_id"), "warehouse": M.field("warehouse_id"),
               "pipeline": M.field("pipeline_id")}
     keys = F.array(*[F.struct(F.lit(k).alias("scope_kind"), key_of[k].alias("scope_id"))
@@ -96,9 +110,6 @@ def budget_status(usage: DataFrame, as_of, days: int = 7,
              .filter(F.col("scope_id").isNotNull())
              .groupBy("usage_date", "scope_kind", "scope_id")
              .agg(F.sum("usage_quantity").alias("_dbus")))
-    bt = literal_frame(spark, budgets, "scope_kind string, scope_id string, "
-                                       "daily_dbu_limit int, alert_pct int")
-    bt, _ = bounded_broadcast(bt, known_rows=len(budgets))
     pct = ratio(F.col("_dbus").cast("double") * 100, "daily_dbu_limit")
     return (daily.join(bt, ["scope_kind", "scope_id"])
             .select("usage_date", "scope_kind", "scope_id",
@@ -134,29 +145,42 @@ def right_size_candidates(usage: DataFrame, as_of, days: int = 7, max_util: floa
 
 
 # --------------------------------------------------------------------- R4
+WORKSPACE_DDL = ("workspace_id string, team string, industry string, env string, "
+                 "budget_daily_dbu int, label string")
+
+
 def off_hours_candidates(usage: DataFrame, as_of, days: int = 7,
-                         workspace_rows: Sequence[tuple] = WORKSPACES,
+                         workspace_rows: Sequence[tuple] | DataFrame = WORKSPACES,
                          envs: Sequence[str] = NON_PROD_ENVS,
                          friday_from: int = 18, monday_until: int = 8) -> DataFrame:
     """Interactive clusters of non-production workspaces that ran between
     Friday ``friday_from``:00 and Monday ``monday_until``:00 — what a weekend
-    shutdown would stop."""
-    env = F.create_map(*[F.lit(x) for r in workspace_rows for x in (r[0], r[3])])
-    team = F.create_map(*[F.lit(x) for r in workspace_rows for x in (r[0], r[1])])
+    shutdown would stop.
+
+    Off-hours usage is aggregated per cluster first; the workspace dimension
+    (rows or a DataFrame with workspace_id, team, env) is joined to those
+    aggregates, broadcast when its size check allows."""
+    spark = usage.sparkSession
+    if isinstance(workspace_rows, DataFrame):
+        ws, _ = bounded_broadcast(workspace_rows.select("workspace_id", "env", "team"))
+    else:
+        rows = list(workspace_rows)
+        ws, _ = bounded_broadcast(literal_frame(spark, rows, WORKSPACE_DDL)
+                                  .select("workspace_id", "env", "team"), known_rows=len(rows))
     lo, hi = _days_back(as_of, days)
     ts = F.col("usage_start_time")
     dow, hour = F.dayofweek(ts), F.hour(ts)  # Sunday=1 .. Saturday=7
     off = (((dow == 6) & (hour >= friday_from)) | dow.isin(1, 7)
            | ((dow == 2) & (hour < monday_until)))
     src = (within(usage.filter(F.col("sku_name").isin(*INTERACTIVE_SKUS)), lo=lo, hi=hi)
-           .filter(env[F.col("workspace_id")].isin(*envs) & off)
+           .filter(off)
            .select("workspace_id", "estimated_cost_usd", M.parsed().alias(M.META_COL)))
-    return (src.groupBy("workspace_id", M.field("cluster_id").alias("cluster_id"),
-                        M.field("cluster_name").alias("cluster_name"))
-            .agg(F.count(F.lit(1)).alias("off_hours_records"),
-                 money_sum("estimated_cost_usd").alias("off_hours_cost_usd"))
-            .select("workspace_id", env[F.col("workspace_id")].alias("env"),
-                    team[F.col("workspace_id")].alias("team"), "cluster_id", "cluster_name",
+    agg = (src.groupBy("workspace_id", M.field("cluster_id").alias("cluster_id"),
+                       M.field("cluster_name").alias("cluster_name"))
+           .agg(F.count(F.lit(1)).alias("off_hours_records"),
+                money_sum("estimated_cost_usd").alias("off_hours_cost_usd")))
+    return (agg.join(ws.filter(F.col("env").isin(*envs)), "workspace_id")
+            .select("workspace_id", "env", "team", "cluster_id", "cluster_name",
                     "off_hours_records", "off_hours_cost_usd")
             .orderBy(F.desc_nulls_last("off_hours_cost_usd"), "workspace_id", "cluster_id"))
 

@@ -147,3 +147,17 @@ def test_record_ids_are_unique_and_stable(spark):
     assert a.distinct().count() == n
     assert a.exceptAll(b).count() == 0
     assert a.filter(~a.usage_record_id.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")).count() == 0
+
+
+def test_dimension_tables_as_dataframes(spark):
+    from spendaudit.sources.lookups import literal_frame
+    u = ev.test_usage(spark, SF_ORACLE)
+    rows = ev.test_budgets()
+    as_list = compliance.budget_status(u, ev.AS_OF, budgets=rows)
+    as_df = compliance.budget_status(u, ev.AS_OF, budgets=literal_frame(spark, rows, compliance.BUDGET_DDL))
+    assert as_list.exceptAll(as_df).count() == 0 and as_list.count() == as_df.count() > 0
+    ws_rows = ev.test_workspace_rows()
+    a = compliance.off_hours_candidates(u, ev.AS_OF, workspace_rows=ws_rows)
+    b = compliance.off_hours_candidates(
+        u, ev.AS_OF, workspace_rows=literal_frame(spark, ws_rows, compliance.WORKSPACE_DDL))
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count() > 0
