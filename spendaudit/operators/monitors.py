@@ -23,6 +23,7 @@ from ..functions.classify import (attribution_category, date_lit, deviation, is_
 from ..functions.money import cv_pct, mean, money_round, money_sum, ratio, rounded
 from ..schema import (GPU_SKUS, INTERACTIVE_SKUS, LARGE_GPU_INSTANCES, PIPELINE_SKU,
                       SQL_SKUS)
+from ..plans.session import materialize
 from .audits import ALERT_RUNGS, daily_spend, with_baseline
 
 
@@ -211,8 +212,10 @@ def daily_alert(usage: DataFrame, as_of, lookback: int = 7,
         daily = daily_spend(usage, round_dbus=False)
     else:
         lo = yesterday - dt.timedelta(days=recent_days)
-        daily = daily_spend(within(usage, lo=lo, hi=yesterday + dt.timedelta(days=1)),
-                            round_dbus=False)
+        # Days x workspaces rows, read twice below: checkpointed (reliably, in
+        # the shared checkpoint folder) so the usage window is scanned once.
+        daily = materialize(daily_spend(within(usage, lo=lo, hi=yesterday + dt.timedelta(days=1)),
+                                        round_dbus=False))
         y = date_lit(yesterday)
         short = (daily.groupBy("workspace_id")
                  .agg(F.count_if(F.col("usage_date") < y).alias("n"),
