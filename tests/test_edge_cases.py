@@ -217,3 +217,12 @@ def test_calendar_dense_baseline_counts_idle_days_as_zero(make_usage):
     # frame for day 10 = days 3..9 = [30, 0, 0, 0, 0, 0, 0] -> mean 30/7
     assert dense[10].moving_avg_7d == round(30 / 7, 2)
     assert 4 not in dense  # an idle day is never a spike
+
+
+@pytest.mark.parametrize("max_candidates", [200_000, 0])
+def test_duplicate_ids_with_a_hot_copy_group(make_usage, max_candidates):
+    rows = [(f"u{i}", "ws", STD, "2024-01-01 00:00:00", "1", None, "1") for i in range(60)]
+    rows += [("hot", "ws", STD, "2024-01-01 00:00:00", "1", None, "1")] * 30
+    rows += [("twice", "ws", STD, "2024-01-01 00:00:00", "1", None, "1")] * 2
+    got = compliance.duplicate_rows(make_usage(rows), max_candidates=max_candidates).collect()
+    assert got[0].failing_rows == 32
