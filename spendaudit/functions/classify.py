@@ -72,9 +72,13 @@ def deviation(value: str | Column, baseline: str | Column, spread: str | Column
 
 
 def ts_lit(value) -> Column:
-    """A TIMESTAMP literal from a date, datetime or ISO string."""
+    """A TIMESTAMP literal from a date, datetime or ISO string.
+
+    A naive date/datetime is read as wall-clock time in the *session* time
+    zone (like every other date function here), not in the Python process's
+    zone; an offset-aware datetime keeps its offset."""
     if isinstance(value, dt.datetime):
-        return F.lit(value).cast("timestamp")
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp")
     if isinstance(value, dt.date):
         return F.lit(value).cast("timestamp")
     return F.lit(str(value)).cast("timestamp")
