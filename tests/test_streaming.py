@@ -86,3 +86,15 @@ def test_t3_dedup_within_watermark(spark, drops, tmp_path):
     _run(q)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == first.count() == out.select("usage_record_id").distinct().count()
+
+
+def test_t2_retried_epoch_replaces_its_output(spark, drops, tmp_path):
+    base, u = drops
+    hourly = S.hourly_warehouse_cost(u)  # batch form of the stream's output
+    run = S.spike_alert_batch(str(tmp_path / "hourly"), str(tmp_path / "alerts"),
+                              lookback_hours=24 * 40)
+    run(hourly, 0)
+    first = spark.read.parquet(str(tmp_path / "alerts")).count()
+    run(hourly, 0)  # the same epoch delivered again after a failure
+    assert spark.read.parquet(str(tmp_path / "alerts")).count() == first > 0
+    assert spark.read.parquet(str(tmp_path / "hourly")).count() == hourly.count()
