@@ -98,3 +98,25 @@ def test_t2_retried_epoch_replaces_its_output(spark, drops, tmp_path):
     run(hourly, 0)  # the same epoch delivered again after a failure
     assert spark.read.parquet(str(tmp_path / "alerts")).count() == first > 0
     assert spark.read.parquet(str(tmp_path / "hourly")).count() == hourly.count()
+
+
+def test_t3_combining_dedup_collapses_hot_copies(spark, drops, tmp_path):
+    base, u = drops
+    src = tmp_path / "dup"
+    first = u.filter(F.col("usage_start_time") < F.lit("2024-01-04").cast("timestamp"))
+    hot = first.limit(1)
+    for i in range(3):  # three deliveries of the data, the hot record 20 more times
+        first.coalesce(1).write.parquet(str(src / f"a{i}"))
+    (hot.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(20)))).drop("_copy")
+     .coalesce(1).write.parquet(str(src / "hot")))
+    spark.read.parquet(str(base / "in" / "999")).write.parquet(str(src / "z_sentinel"))
+    stream = (spark.readStream.schema(S.COSTED_USAGE_SCHEMA).option("maxFilesPerTrigger", 2)
+              .option("recursiveFileLookup", "true").parquet(str(src)))
+    q = (S.dedup_records_combining(stream, watermark="1 hour").writeStream.format("parquet")
+         .outputMode("append").option("path", str(tmp_path / "out"))
+         .option("checkpointLocation", str(tmp_path / "ckpt"))
+         .trigger(availableNow=True).start())
+    _run(q)
+    out = spark.read.parquet(str(tmp_path / "out")).filter(F.col("usage_record_id") != "sentinel")
+    assert out.count() == first.count() == out.select("usage_record_id").distinct().count()
+    assert out.exceptAll(first.select(*out.columns)).count() == 0
