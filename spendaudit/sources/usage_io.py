@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import COSTED_USAGE_SCHEMA, MONEY, PRICES_SCHEMA, USAGE_SCHEMA
+from ..schema import COSTED_USAGE_SCHEMA, MONEY, RATE, USAGE_SCHEMA
 
 
 def read_usage_csv(spark: SparkSession, path: str, with_cost: bool = True) -> DataFrame:
@@ -42,8 +42,14 @@ def read_usage_parquet(spark: SparkSession, path: str, schema=None) -> DataFrame
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
+    """Price periods (sku_name, pricing.default, price_start_time,
+    price_end_time); other fields of the ``pricing`` struct are ignored."""
     df = spark.read.parquet(path)
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PRICES_SCHEMA.fields])
+    return df.select(
+        F.col("sku_name").cast("string").alias("sku_name"),
+        F.struct(F.col("pricing.default").cast(RATE).alias("default")).alias("pricing"),
+        F.col("price_start_time").cast("timestamp").alias("price_start_time"),
+        F.col("price_end_time").cast("timestamp").alias("price_end_time"))
 
 
 def with_record_ids(usage: DataFrame, column: str = "usage_record_id") -> DataFrame:

@@ -161,3 +161,17 @@ def test_dimension_tables_as_dataframes(spark):
     b = compliance.off_hours_candidates(
         u, ev.AS_OF, workspace_rows=literal_frame(spark, ws_rows, compliance.WORKSPACE_DDL))
     assert a.exceptAll(b).count() == 0 and a.count() == b.count() > 0
+
+
+def test_read_prices_with_a_wider_pricing_struct(spark, tmp_path):
+    from spendaudit.sources.usage_io import read_prices
+    from spendaudit.functions.costing import with_list_cost
+    wide = ev.test_prices(spark).withColumn(
+        "pricing", F.struct(F.col("pricing.default").alias("default"),
+                            (F.col("pricing.default") * 0.9).alias("promotional")))
+    wide.write.parquet(str(tmp_path / "prices"))
+    p = read_prices(spark, str(tmp_path / "prices"))
+    u = ev.usage_table(spark, "/root/testdata/sf0.001")
+    a = with_list_cost(u, p).select("usage_record_id", "estimated_cost_usd")
+    b = with_list_cost(u, ev.test_prices(spark)).select("usage_record_id", "estimated_cost_usd")
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count()
