@@ -21,6 +21,7 @@ from ..functions.money import money_round, money_sum, ratio, rounded
 from ..schema import (BUDGET_ALERT_PCT, GPU_INSTANCES, GPU_SKUS, INTERACTIVE_SKUS,
                       NON_PROD_ENVS, PIPELINE_DAILY_DBU_LIMIT, POLICY_RULES,
                       WAREHOUSE_DAILY_DBU_LIMIT, WORKSPACES)
+from ..plans.session import materialize
 from ..sources.lookups import literal_frame, policy_rules
 from .monitors import _days_back, gpu_utilization
 
@@ -196,7 +197,10 @@ def duplicate_rows(usage: DataFrame, id_col: str = "usage_record_id",
     exactly, through a broadcast semi-join when that candidate set passes
     the size check, else by grouping the full ids."""
     h = usage.select(F.col(id_col).alias("_id"), F.xxhash64(id_col).alias("_h"))
-    cand = h.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_h")
+    # Colliding hashes, computed once and checkpointed in the shared folder,
+    # so the size check and the semi-join do not each rerun the hash pass.
+    cand = materialize(h.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+                       .filter(F.col("_n") > 1).select("_h"))
     cand, small = bounded_broadcast(cand, max_candidates)
     src = h.join(cand, "_h", "left_semi") if small else h
     per_id = src.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
