@@ -120,3 +120,24 @@ def test_t3_combining_dedup_collapses_hot_copies(spark, drops, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out")).filter(F.col("usage_record_id") != "sentinel")
     assert out.count() == first.count() == out.select("usage_record_id").distinct().count()
     assert out.exceptAll(first.select(*out.columns)).count() == 0
+
+
+def test_t1_costs_a_raw_stream_with_the_price_join(spark, drops, tmp_path):
+    """Production streams carry no cost: the list-price validity join runs as
+    a stream-static broadcast join inside the streaming query."""
+    from spendaudit.functions.costing import with_list_cost
+    from spendaudit.schema import USAGE_SCHEMA
+    base, u = drops
+    raw = (spark.readStream.schema(USAGE_SCHEMA).option("maxFilesPerTrigger", 10)
+           .option("recursiveFileLookup", "true").parquet(str(base / "in")))
+    costed = with_list_cost(raw, ev.test_prices(spark), known_price_rows=ev.TEST_PRICE_ROWS)
+    out = S.hourly_warehouse_cost_stream(costed, watermark="1 hour")
+    q = (S.as_hourly_cost_report(out).writeStream.outputMode("append").format("parquet")
+         .option("path", str(tmp_path / "t1raw"))
+         .option("checkpointLocation", str(tmp_path / "ckpt"))
+         .trigger(availableNow=True).start())
+    _run(q)
+    got = spark.read.parquet(str(tmp_path / "t1raw")).filter(F.col("workspace_id") != "ws-sentinel")
+    want = S.as_hourly_cost_report(S.hourly_warehouse_cost(u))
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
