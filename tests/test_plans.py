@@ -37,3 +37,12 @@ def test_monitor_windows_prune_date_partitions(spark):
 def test_price_dimension_is_broadcast(spark):
     p = plan(registry.queries()["list_cost"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in p and "BroadcastExchange" in p
+
+
+def test_idle_branches_filter_job_less_rows_before_grouping(spark):
+    """Both detection branches require no job: that conjunct is factored out
+    and evaluated before the (high-cardinality) cluster aggregation."""
+    p = plan(registry.queries()["idle_clusters"](spark, SF_SMALL))
+    first_agg = p.index("HashAggregate")
+    pushed = p.index("isnull(from_json(StructField(job_id")
+    assert pushed > first_agg  # deeper in the tree = evaluated earlier
