@@ -17,6 +17,7 @@ from ..functions.classify import deviation, ladder, spend_category, within
 from ..functions.costing import with_list_cost
 from ..functions.money import annualize, cv_pct, mean, money_sum, ratio, rounded
 from ..schema import AUDIT_DAYS, INTERACTIVE_SKUS, PIPELINE_SKU
+from .rollup import daily_totals
 
 def _all():
     """Whole-result window; only used after aggregation (<= a few thousand rows)."""
@@ -184,16 +185,17 @@ def compute_efficiency(usage: DataFrame, k: int = 25, min_cost: float = 10.0) ->
 
 
 # --------------------------------------------------------------------- O5
-def daily_spend(usage: DataFrame, round_dbus: bool = True) -> DataFrame:
+def daily_spend(usage: DataFrame | None = None, round_dbus: bool = True, *,
+                rollup: DataFrame | None = None) -> DataFrame:
     """(usage_date, workspace_id) -> daily_cost (exact decimal, 2 dp), DBUs,
-    distinct SKUs, records."""
-    dbus = (F.round(F.sum("usage_quantity"), 2).cast("double") if round_dbus
-            else F.sum("usage_quantity").cast("double"))
-    return usage.groupBy(F.to_date("usage_start_time").alias("usage_date"), "workspace_id").agg(
-        F.round(F.sum("estimated_cost_usd"), 2).alias("_daily"),
-        dbus.alias("daily_dbus"),
-        F.count_distinct("sku_name").alias("sku_count"),
-        F.count(F.lit(1)).alias("record_count"))
+    distinct SKUs, records; from usage, or from a daily roll-up
+    (``operators.rollup``) when one is given."""
+    t = rollup if rollup is not None else daily_totals(usage)
+    dbus = F.round("dbus", 2) if round_dbus else F.col("dbus")
+    return t.select("usage_date", "workspace_id",
+                    F.round("cost_usd", 2).alias("_daily"),
+                    dbus.cast("double").alias("daily_dbus"),
+                    "sku_count", "record_count")
 
 
 def densify_days(daily: DataFrame) -> DataFrame:
@@ -227,12 +229,13 @@ def with_baseline(daily: DataFrame, lookback: int = 7) -> DataFrame:
 ALERT_RUNGS = ((1.50, "EMERGENCY"), (0.75, "CRITICAL"), (0.30, "WARNING"))
 
 
-def spend_spikes(usage: DataFrame, lookback: int = 7, threshold: float = 0.30,
-                 dense_days: bool = False) -> DataFrame:
+def spend_spikes(usage: DataFrame | None = None, lookback: int = 7, threshold: float = 0.30,
+                 dense_days: bool = False, *, rollup: DataFrame | None = None) -> DataFrame:
     """Days whose spend exceeds the workspace's trailing mean by > threshold.
     The baseline frame counts daily rows (days without usage are skipped);
-    ``dense_days=True`` counts calendar days instead, idle days as zero."""
-    daily = daily_spend(usage)
+    ``dense_days=True`` counts calendar days instead, idle days as zero.
+    With ``rollup`` the daily totals are read from the roll-up table."""
+    daily = daily_spend(usage, rollup=rollup)
     b = with_baseline(densify_days(daily) if dense_days else daily, lookback)
     rel, z = deviation("daily_cost", "_base", "_spread")
     return (b.filter(F.col("_base").isNotNull() & (rel > threshold))

@@ -195,8 +195,8 @@ def pipeline_daily(usage: DataFrame, as_of, days: int = 7, savings_share: float
 
 
 # --------------------------------------------------------------------- M6
-def daily_alert(usage: DataFrame, as_of, lookback: int = 7,
-                recent_days: int | None = 35) -> DataFrame:
+def daily_alert(usage: DataFrame | None, as_of, lookback: int = 7,
+                recent_days: int | None = 35, *, rollup: DataFrame | None = None) -> DataFrame:
     """Yesterday's spend per workspace against its trailing 7-row baseline;
     every alert level is reported (NORMAL included).
 
@@ -206,9 +206,14 @@ def daily_alert(usage: DataFrame, as_of, lookback: int = 7,
     with fewer rows there (new or mostly idle ones, a list bounded by the
     number of workspaces) trigger a second read of older history, filtered
     to those ids.  ``recent_days=None`` always reads the whole history.
+    With ``rollup`` (the daily roll-up table, days x workspaces rows) the
+    whole history is read from it instead of the usage fact.
     """
     yesterday = _day(as_of) - dt.timedelta(days=1)
-    if recent_days is None:
+    if rollup is not None:
+        daily = daily_spend(rollup=rollup.filter(F.col("usage_date") <= date_lit(yesterday)),
+                            round_dbus=False)
+    elif recent_days is None:
         daily = daily_spend(usage, round_dbus=False)
     else:
         lo = yesterday - dt.timedelta(days=recent_days)

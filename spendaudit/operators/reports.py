@@ -35,13 +35,18 @@ def _all():
 
 
 # --------------------------------------------------------------------- D1
-def daily_burn(usage: DataFrame, spike_window=SPIKE_WINDOW, idle_workspace: str = IDLE_WORKSPACE,
-               window: int = 7, min_periods: int = 4, audit_days: int = AUDIT_DAYS) -> DataFrame:
+def daily_burn(usage: DataFrame | None = None, spike_window=SPIKE_WINDOW,
+               idle_workspace: str = IDLE_WORKSPACE, window: int = 7, min_periods: int = 4,
+               audit_days: int = AUDIT_DAYS, *, rollup: DataFrame | None = None) -> DataFrame:
     """Daily platform cost, its trailing mean (``window`` days incl. the
     current one, at least ``min_periods`` values), the anomaly-window flag,
-    the peak day and the idle workspace's average daily cost."""
-    cost = F.col("estimated_cost_usd")
-    d = usage.groupBy(F.to_date("usage_start_time").alias("usage_date")).agg(
+    the peak day and the idle workspace's average daily cost.  With
+    ``rollup`` the daily totals come from the roll-up table."""
+    if rollup is not None:
+        src, day, cost = rollup, F.col("usage_date"), F.col("cost_usd")
+    else:
+        src, day, cost = usage, F.to_date("usage_start_time"), F.col("estimated_cost_usd")
+    d = src.groupBy(day.alias("usage_date")).agg(
         F.sum(cost).alias("_c"),
         F.sum(F.when(F.col("workspace_id") == idle_workspace, cost)).alias("_z"))
     w = Window.orderBy("usage_date").rowsBetween(-(window - 1), 0)
