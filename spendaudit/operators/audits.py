@@ -19,6 +19,7 @@ from ..functions.money import annualize, cv_pct, mean, money_sum, ratio, rounded
 from ..schema import AUDIT_DAYS, INTERACTIVE_SKUS, PIPELINE_SKU
 from .rollup import daily_totals
 
+
 def _all():
     """Whole-result window; only used after aggregation (<= a few thousand rows)."""
     return Window.partitionBy()
