@@ -20,16 +20,18 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
+    """Exact comparison: every double the operators emit is rounded through a
+    decimal, so both engines produce bit-identical values."""
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6)
+        return repr(v)
     if hasattr(v, "isoformat"):
         return v.isoformat() if not hasattr(v, "to_pydatetime") else v.to_pydatetime().isoformat()
     if hasattr(v, "as_tuple"):  # Decimal
-        return round(float(v), 6)
+        return repr(float(v))
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     return v
