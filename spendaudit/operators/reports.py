@@ -26,7 +26,7 @@ from .savings import (DEFAULT_RULES, SavingsRule, _masked_sums, _prepared, estim
 SPIKE_WINDOW = (dt.date(2026, 2, 10), dt.date(2026, 2, 13))
 IDLE_WORKSPACE = "ws-zombie-008"
 LABELS = {r[0]: r[5] for r in WORKSPACES}
-MATRIX_ORDER = ("idle_cluster", "gpu_overprovisioning", "sql_spike", "weekend_waste",
+MATRIX_ORDER = ("idle_cluster", "gpu_overprovisioning", "sql_spike", "weekend_dev",
                 "continuous_pipeline")
 
 

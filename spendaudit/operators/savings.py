@@ -59,7 +59,7 @@ DEFAULT_RULES: tuple[SavingsRule, ...] = (
                 start=dt.date(2026, 2, 10), end=dt.date(2026, 2, 13)),
     SavingsRule("gpu_overprovisioning", ("ws-retail-forecast-002",), ("GPU_SERVERLESS_COMPUTE",),
                 "0.50", waste_share="0.50"),
-    SavingsRule("weekend_waste", ("ws-sandbox-ds-005", "ws-health-analytics-003"),
+    SavingsRule("weekend_dev", ("ws-sandbox-ds-005", "ws-health-analytics-003"),
                 ("STANDARD_ALL_PURPOSE_COMPUTE",), "0.05", weekend_only=True),
     SavingsRule("continuous_pipeline", ("ws-fsi-trading-001",), ("JOBS_SERVERLESS_COMPUTE",),
                 "0.40", waste_share="0.60", require_pipeline=True),

@@ -28,7 +28,7 @@ def test_default_rule_masks(make_usage):
     got = {r.finding: r for r in savings.estimate_savings(u).collect()}
     assert {k: v.cost_before_90d for k, v in got.items()} == {
         "idle_cluster": 10.0, "sql_spike": 20.0, "gpu_overprovisioning": 30.0,
-        "weekend_waste": 4.0, "continuous_pipeline": 10.0}
+        "weekend_dev": 4.0, "continuous_pipeline": 10.0}
     z = got["idle_cluster"]
     assert (z.cost_after_90d, z.savings_90d, z.savings_annual) == (0.5, 9.5, 38.53)
     w = savings.waste_summary(u).collect()[0]
