@@ -18,7 +18,7 @@ from ..functions import meta as M
 from ..functions.classify import ladder, within
 from ..functions.costing import bounded_broadcast, with_list_cost
 from ..functions.money import money_round, money_sum, ratio, rounded
-from ..schema import (BUDGET_ALERT_PCT, GPU_INSTANCES, GPU_SKUS, INTERACTIVE_SKUS,
+from ..schema import (BUDGET_ALERT_PCT, BUDGET_PIPELINE_ID, BUDGET_WAREHOUSE_ID, GPU_INSTANCES, GPU_SKUS, INTERACTIVE_SKUS,
                       NON_PROD_ENVS, PIPELINE_DAILY_DBU_LIMIT, POLICY_RULES,
                       WAREHOUSE_DAILY_DBU_LIMIT, WORKSPACES)
 from ..plans.session import materialize
@@ -67,8 +67,8 @@ def policy_compliance(usage: DataFrame, rules: Sequence[tuple] = POLICY_RULES) -
 
 
 # --------------------------------------------------------------------- R2
-def default_budgets(workspace_rows=WORKSPACES, warehouse_id: str = "sql-wh-bi-auto-004",
-                    pipeline_id: str = "pipe-risk-factor-etl",
+def default_budgets(workspace_rows=WORKSPACES, warehouse_id: str = BUDGET_WAREHOUSE_ID,
+                    pipeline_id: str = BUDGET_PIPELINE_ID,
                     alert_pct: int = BUDGET_ALERT_PCT) -> list[tuple]:
     """(scope_kind, scope_id, daily_dbu_limit, alert_pct) for every workspace,
     the serverless BI warehouse and the trading pipeline."""

@@ -126,8 +126,11 @@ POLICY_RULES = [
     ("gpu", "gpu", "autotermination_minutes", "range", 15, 60, None),
 ]
 
-# Daily DBU budgets of the serverless warehouse and of the pipeline, alert at 80 %.
+# Daily DBU budgets of the serverless BI warehouse and of the continuous
+# pipeline, alert at 80 %.
+BUDGET_WAREHOUSE_ID = "sql-wh-bi-auto-004"
 WAREHOUSE_DAILY_DBU_LIMIT = 300
+BUDGET_PIPELINE_ID = "pipe-risk-factor-etl"
 PIPELINE_DAILY_DBU_LIMIT = 150
 BUDGET_ALERT_PCT = 80
 
