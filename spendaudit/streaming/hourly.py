@@ -5,7 +5,7 @@
 * ``spike_alert_batch`` (T2): row-count frames are not supported on
   streams, so a ``foreachBatch`` sink appends each batch of closed hours to
   an hourly table and evaluates the batch spike rule (``hourly_spikes``) on
-  the new hours against that table.
+  the new hours against that table (exact 24-row frames, date-pruned reads).
 * ``dedup_records`` (T3): drops re-delivered usage records by id within the
   watermark (state is bounded by the watermark, not by the stream's length);
   ``dedup_records_combining`` is the form that pre-aggregates copies before
@@ -91,10 +91,13 @@ def spike_alert_batch(hourly_path: str, alerts_path: str, *, lookback_hours: int
     """T2: a ``foreachBatch`` function.  Writes the batch's closed hours to
     the hourly table at ``hourly_path`` and the spike alerts of those hours
     to ``alerts_path``.  Each epoch overwrites its own ``epoch_id=N`` folder,
-    so a retried epoch replaces its output instead of duplicating it.  The
-    baseline reads the table's last ``lookback_hours`` before the batch's
-    earliest hour, enough for ``baseline_rows`` rows unless a warehouse was
-    idle for longer."""
+    so a retried epoch replaces its output instead of duplicating it.
+
+    The baseline reads the hourly table's last ``lookback_hours`` before the
+    batch's earliest hour (partition-pruned by day).  Warehouses of the batch
+    with fewer than ``baseline_rows`` earlier rows in that window (a list
+    bounded by the warehouses in the batch) also get their older rows, so
+    the row frame is exact."""
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
@@ -106,10 +109,23 @@ def spike_alert_batch(hourly_path: str, alerts_path: str, *, lookback_hours: int
             (b.write.mode("overwrite").partitionBy("hour_date")
              .parquet(f"{hourly_path}/epoch_id={epoch_id}"))
             lo = first - dt.timedelta(hours=lookback_hours)
-            table = (spark.read.parquet(hourly_path)
-                     .filter((F.col("hour_date") >= F.lit(lo.date()))
-                             & (F.col("hour_bucket") >= F.lit(lo))))
-            alerts = (hourly_spikes(table, baseline_rows=baseline_rows)
+            table = spark.read.parquet(hourly_path)
+            recent = table.filter((F.col("hour_date") >= F.lit(lo.date()))
+                                  & (F.col("hour_bucket") >= F.lit(lo)))
+            before = (recent.filter(F.col("hour_bucket") < F.lit(first))
+                      .groupBy("warehouse_id").agg(F.count(F.lit(1)).alias("n")))
+            short = (b.select("warehouse_id").distinct()
+                     .join(before, "warehouse_id", "left")
+                     .filter(F.coalesce("n", F.lit(0)) < baseline_rows))
+            ids = [r[0] for r in short.collect()]  # at most the batch's warehouses
+            if ids:
+                wanted = F.col("warehouse_id").isin(*[i for i in ids if i is not None])
+                if None in ids:
+                    wanted = wanted | F.col("warehouse_id").isNull()
+                older = table.filter((F.col("hour_date") <= F.lit(lo.date()))
+                                     & (F.col("hour_bucket") < F.lit(lo)) & wanted)
+                recent = recent.unionByName(older)
+            alerts = (hourly_spikes(recent, baseline_rows=baseline_rows)
                       .filter(F.col("hour_bucket") >= F.lit(first)))
             alerts.write.mode("overwrite").parquet(f"{alerts_path}/epoch_id={epoch_id}")
         finally:

@@ -54,15 +54,17 @@ def test_t1_hourly_stream_equals_batch(spark, drops):
     assert got.exceptAll(want.select(*got.columns)).count() == 0
 
 
-def test_t2_foreach_batch_alerts_equal_batch(spark, drops):
+@pytest.mark.parametrize("lookback_hours", [24 * 40, 3])
+def test_t2_foreach_batch_alerts_equal_batch(spark, drops, tmp_path, lookback_hours):
     base, u = drops
     hourly = S.hourly_warehouse_cost_stream(_stream(spark, base), watermark="1 hour")
-    sink = S.spike_alert_batch(str(base / "hourly"), str(base / "alerts"), lookback_hours=24 * 40)
+    sink = S.spike_alert_batch(str(tmp_path / "hourly"), str(tmp_path / "alerts"),
+                               lookback_hours=lookback_hours)
     q = (hourly.writeStream.outputMode("append").foreachBatch(sink)
-         .option("checkpointLocation", str(base / "t2_ckpt"))
+         .option("checkpointLocation", str(tmp_path / "t2_ckpt"))
          .trigger(availableNow=True).start())
     _run(q)
-    got = (spark.read.parquet(str(base / "alerts")).drop("epoch_id")
+    got = (spark.read.parquet(str(tmp_path / "alerts")).drop("epoch_id")
            .filter(F.col("workspace_id") != "ws-sentinel"))
     want = hourly_spikes(warehouse_hourly(u))
     assert want.count() > 0
