@@ -226,3 +226,15 @@ def test_duplicate_ids_with_a_hot_copy_group(make_usage, max_candidates):
     rows += [("twice", "ws", STD, "2024-01-01 00:00:00", "1", None, "1")] * 2
     got = compliance.duplicate_rows(make_usage(rows), max_candidates=max_candidates).collect()
     assert got[0].failing_rows == 32
+
+
+def test_catalog_category_and_lookup(spark):
+    from spendaudit.functions.classify import catalog_category
+    from spendaudit.sources.lookups import sku_catalog
+    cat = {r.sku_name: (r.category, r.spend_category, r.attribution_category)
+           for r in sku_catalog(spark).collect()}
+    assert len(cat) == 12
+    assert cat["DELTA_STORAGE"] == ("Storage", "Production / Value", "Platform")
+    assert cat["VECTOR_SEARCH_COMPUTE"] == ("AI/ML", "AI / Innovation", "Platform")
+    df = spark.createDataFrame([("UNITY_CATALOG_COMPUTE",), ("NEW_SKU",)], "sku_name string")
+    assert [r[0] for r in df.select(catalog_category()).collect()] == ["Governance", None]
