@@ -149,3 +149,16 @@ def test_read_prices_with_a_wider_pricing_struct(spark, tmp_path):
     a = with_list_cost(u, p).select("usage_record_id", "estimated_cost_usd")
     b = with_list_cost(u, ev.test_prices(spark)).select("usage_record_id", "estimated_cost_usd")
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+
+
+def test_written_usage_files_are_ordered_for_row_group_skipping(spark, tmp_path):
+    import glob
+    import pyarrow.parquet as pq
+    u = ev.usage_table(spark, "/root/testdata/sf0.001").drop("usage_date").repartition(3)
+    write_usage(u, str(tmp_path / "pq"))
+    files = glob.glob(str(tmp_path / "pq" / "usage_date=*" / "*.parquet"))
+    assert files
+    for f in files:
+        t = pq.read_table(f, columns=["sku_name", "workspace_id", "usage_start_time"]).to_pylist()
+        keys = [(r["sku_name"], r["workspace_id"], r["usage_start_time"]) for r in t]
+        assert keys == sorted(keys)
