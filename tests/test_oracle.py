@@ -24,11 +24,15 @@ def test_matches_oracle_sf001(spark, duck_oracle, name):
     assert info["ok"], info
 
 
-@pytest.mark.parametrize("name", ["idle_clusters", "spend_spikes", "estimate_savings",
-                                  "waterfall", "policy_compliance", "quality_gates"])
-def test_matches_oracle_sf0001(spark, name):
-    con = verify.duck(SF_SMALL)
-    info = verify.compare(spark, con, name, registry.queries()[name],
+@pytest.fixture(scope="module")
+def duck_small():
+    return verify.duck(SF_SMALL)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_matches_oracle_sf0001(spark, duck_small, name):
+    """Tiny data: single-row groups, empty baselines, sparse hours."""
+    info = verify.compare(spark, duck_small, name, registry.queries()[name],
                           registry.oracle_sql()[name], SF_SMALL)
     assert info["ok"], info
 
