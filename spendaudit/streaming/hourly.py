@@ -24,14 +24,19 @@ from pyspark.sql import functions as F
 
 from ..functions import meta as M
 from ..operators.monitors import hourly_spikes
-from ..schema import COSTED_USAGE_SCHEMA, SQL_SKUS
+from ..schema import COSTED_USAGE_SCHEMA, SQL_SKUS, USAGE_SCHEMA
 
 
 def read_usage_stream(spark: SparkSession, path: str, fmt: str = "parquet",
-                      max_files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(COSTED_USAGE_SCHEMA).format(fmt)
+                      max_files_per_trigger: int | None = None, costed: bool = True,
+                      **options) -> DataFrame:
+    """File stream of usage records with the fixed schema (with or without
+    the cost column); extra keyword arguments are source options."""
+    r = spark.readStream.schema(COSTED_USAGE_SCHEMA if costed else USAGE_SCHEMA).format(fmt)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    for k, v in options.items():
+        r = r.option(k, v)
     return r.load(path)
 
 

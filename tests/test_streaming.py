@@ -36,8 +36,8 @@ def _run(query):
 
 
 def _stream(spark, base):
-    return (spark.readStream.schema(S.COSTED_USAGE_SCHEMA).option("maxFilesPerTrigger", 5)
-            .option("recursiveFileLookup", "true").parquet(str(base / "in")))
+    return S.read_usage_stream(spark, str(base / "in"), max_files_per_trigger=5,
+                               recursiveFileLookup="true")
 
 
 def test_t1_hourly_stream_equals_batch(spark, drops):
@@ -128,10 +128,9 @@ def test_t1_costs_a_raw_stream_with_the_price_join(spark, drops, tmp_path):
     """Production streams carry no cost: the list-price validity join runs as
     a stream-static broadcast join inside the streaming query."""
     from spendaudit.functions.costing import with_list_cost
-    from spendaudit.schema import USAGE_SCHEMA
     base, u = drops
-    raw = (spark.readStream.schema(USAGE_SCHEMA).option("maxFilesPerTrigger", 10)
-           .option("recursiveFileLookup", "true").parquet(str(base / "in")))
+    raw = S.read_usage_stream(spark, str(base / "in"), max_files_per_trigger=10, costed=False,
+                              recursiveFileLookup="true")
     costed = with_list_cost(raw, ev.test_prices(spark), known_price_rows=ev.TEST_PRICE_ROWS)
     out = S.hourly_warehouse_cost_stream(costed, watermark="1 hour")
     q = (S.as_hourly_cost_report(out).writeStream.outputMode("append").format("parquet")
