@@ -26,7 +26,7 @@ def _costed(spark: SparkSession, sf_dir: str) -> DataFrame:
     application and shared by every query, as a report job would."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _COSTED:
-        _COSTED[key] = ev.test_usage(spark, sf_dir)
+        _COSTED[key] = ev.fixture_usage(spark, sf_dir)
     return _COSTED[key]
 
 
@@ -48,8 +48,8 @@ def queries() -> dict[str, Query]:
         "cluster_activity": _audit(audits.cluster_activity),
         "idle_clusters": _audit(audits.idle_clusters),
         "idle_clusters_ported": lambda spark, d: audits.idle_clusters_ported(
-            ev.usage_table(spark, d), ev.test_prices(spark), ev.AS_OF,
-            known_price_rows=ev.TEST_PRICE_ROWS),
+            ev.usage_table(spark, d), ev.fixture_prices(spark), ev.AS_OF,
+            known_price_rows=ev.FIXTURE_PRICE_ROWS),
         "compute_efficiency": _audit(audits.compute_efficiency),
         "spend_spikes": _audit(audits.spend_spikes),
         "pipeline_waste": _audit(audits.pipeline_waste),
@@ -61,11 +61,11 @@ def queries() -> dict[str, Query]:
         "daily_alert": _audit(monitors.daily_alert, as_of=ev.AS_OF),
         "weekly_attribution": _audit(monitors.weekly_attribution, as_of=ev.AS_OF),
         "estimate_savings": lambda spark, d: savings.estimate_savings(
-            _costed(spark, d), ev.test_rules()),
+            _costed(spark, d), ev.fixture_rules()),
         "savings_rollup": lambda spark, d: savings.savings_rollup(
-            _costed(spark, d), ev.test_rules()),
+            _costed(spark, d), ev.fixture_rules()),
         "waste_summary": lambda spark, d: savings.waste_summary(
-            _costed(spark, d), ev.test_rules()),
+            _costed(spark, d), ev.fixture_rules()),
         "dataset_profile": _audit(savings.dataset_profile),
         "catalog_cost": lambda spark, d: record_costs(
             with_catalog_cost(ev.usage_table(spark, d))),
@@ -73,16 +73,16 @@ def queries() -> dict[str, Query]:
         "daily_burn": _audit(reports.daily_burn, spike_window=ev.SPIKE_WINDOW,
                              idle_workspace=ev.IDLE_WORKSPACE),
         "category_spend": _audit(reports.category_spend),
-        "cost_matrix": lambda spark, d: reports.cost_matrix(_costed(spark, d), ev.test_rules()),
+        "cost_matrix": lambda spark, d: reports.cost_matrix(_costed(spark, d), ev.fixture_rules()),
         "gpu_util_vs_cost": lambda spark, d: reports.gpu_util_vs_cost(
-            _costed(spark, d), ev.test_labels()),
-        "waterfall": lambda spark, d: reports.waterfall(_costed(spark, d), ev.test_rules()),
+            _costed(spark, d), ev.fixture_labels()),
+        "waterfall": lambda spark, d: reports.waterfall(_costed(spark, d), ev.fixture_rules()),
         "policy_compliance": _audit(compliance.policy_compliance),
         "budget_status": lambda spark, d: compliance.budget_status(
-            _costed(spark, d), ev.AS_OF, budgets=ev.test_budgets()),
+            _costed(spark, d), ev.AS_OF, budgets=ev.fixture_budgets()),
         "right_size_candidates": _audit(compliance.right_size_candidates, as_of=ev.AS_OF),
         "off_hours_candidates": _audit(compliance.off_hours_candidates, as_of=ev.AS_OF,
-                                       workspace_rows=ev.test_workspace_rows()),
+                                       workspace_rows=ev.fixture_workspace_rows()),
         "hourly_warehouse_cost": lambda spark, d: stream_hourly.as_hourly_cost_report(
             stream_hourly.hourly_warehouse_cost(_costed(spark, d))),
         "record_ids": lambda spark, d: with_record_ids(
@@ -91,8 +91,8 @@ def queries() -> dict[str, Query]:
                 "usage_start_time", "usage_quantity")).select(
             "source_id", "usage_record_id"),
         "quality_gates": lambda spark, d: compliance.quality_gates(
-            ev.usage_table(spark, d), ev.test_prices(spark),
-            known_price_rows=ev.TEST_PRICE_ROWS),
+            ev.usage_table(spark, d), ev.fixture_prices(spark),
+            known_price_rows=ev.FIXTURE_PRICE_ROWS),
     }
     return q
 

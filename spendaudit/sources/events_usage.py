@@ -122,7 +122,7 @@ def usage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _TABLES[memo]
 
 
-def test_prices(spark: SparkSession) -> DataFrame:
+def fixture_prices(spark: SparkSession) -> DataFrame:
     """Catalogue rates valid from 2023 and open-ended, except: the premium
     interactive SKU costs 0.50 before 2024-01-15 and 0.55 after; the catalog
     SKU is deliberately unpriced."""
@@ -143,35 +143,35 @@ def test_prices(spark: SparkSession) -> DataFrame:
         F.col("e").cast("timestamp").alias("price_end_time"))
 
 
-TEST_PRICE_ROWS = len(SKU_CATALOG)  # 11 priced SKUs, one of them with two periods
+FIXTURE_PRICE_ROWS = len(SKU_CATALOG)  # 11 priced SKUs, one of them with two periods
 
 
-def test_workspace_id(n: int) -> str:
+def fixture_workspace_id(n: int) -> str:
     return "ws-%03d" % n
 
 
-def test_workspace_rows():
+def fixture_workspace_rows():
     """The estate's workspace attributes keyed by ordinal test ids."""
-    return [(test_workspace_id(i),) + tuple(r[1:]) for i, r in enumerate(WORKSPACES, 1)]
+    return [(fixture_workspace_id(i),) + tuple(r[1:]) for i, r in enumerate(WORKSPACES, 1)]
 
 
-def test_labels() -> dict[str, str]:
-    return {test_workspace_id(i): r[5] for i, r in enumerate(WORKSPACES, 1)}
+def fixture_labels() -> dict[str, str]:
+    return {fixture_workspace_id(i): r[5] for i, r in enumerate(WORKSPACES, 1)}
 
 
-def test_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fixture_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costed usage of an sf directory (list-price validity join)."""
     from ..functions.costing import with_list_cost
-    return with_list_cost(usage_table(spark, sf_dir), test_prices(spark),
-                          known_price_rows=TEST_PRICE_ROWS)
+    return with_list_cost(usage_table(spark, sf_dir), fixture_prices(spark),
+                          known_price_rows=FIXTURE_PRICE_ROWS)
 
 
-def test_rules():
+def fixture_rules():
     """The estate's savings rules with workspaces renamed to their ordinal
     test ids and the spike window moved into the events window."""
     import dataclasses
     from ..operators.savings import DEFAULT_RULES
-    ids = {r[0]: test_workspace_id(i) for i, r in enumerate(WORKSPACES, 1)}
+    ids = {r[0]: fixture_workspace_id(i) for i, r in enumerate(WORKSPACES, 1)}
     out = []
     for r in DEFAULT_RULES:
         kw = {"workspaces": tuple(ids[w] for w in r.workspaces)}
@@ -181,11 +181,11 @@ def test_rules():
     return tuple(out)
 
 
-IDLE_WORKSPACE = test_workspace_id(8)
+IDLE_WORKSPACE = fixture_workspace_id(8)
 
 
-def test_budgets():
+def fixture_budgets():
     """Daily DBU budgets: each test workspace's estate budget, the BI
     workspace's warehouse (``wh-3``) and the continuous pipeline (``p-1``)."""
     from ..operators.compliance import default_budgets
-    return default_budgets(test_workspace_rows(), warehouse_id="wh-3", pipeline_id="p-1")
+    return default_budgets(fixture_workspace_rows(), warehouse_id="wh-3", pipeline_id="p-1")

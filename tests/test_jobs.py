@@ -7,7 +7,7 @@ from spendaudit.sources import events_usage as ev
 
 
 def test_monitor_job_writes_each_result(spark, tmp_path):
-    u = ev.test_usage(spark, SF_ORACLE)
+    u = ev.fixture_usage(spark, SF_ORACLE)
     paths = jobs.run_monitors(u, ev.AS_OF, str(tmp_path / "out"),
                               rollup_path=str(tmp_path / "rollup"), refresh_days=40)
     assert len(paths) == 7
@@ -19,8 +19,8 @@ def test_monitor_job_writes_each_result(spark, tmp_path):
 
 
 def test_report_job(spark, tmp_path):
-    u = ev.test_usage(spark, SF_ORACLE)
-    paths = jobs.run_audit_report(u, ev.AS_OF, str(tmp_path / "rep"), rules=ev.test_rules())
+    u = ev.fixture_usage(spark, SF_ORACLE)
+    paths = jobs.run_audit_report(u, ev.AS_OF, str(tmp_path / "rep"), rules=ev.fixture_rules())
     got = spark.read.parquet(paths["estimate_savings"])
-    want = savings.estimate_savings(u, ev.test_rules())
+    want = savings.estimate_savings(u, ev.fixture_rules())
     assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == 5

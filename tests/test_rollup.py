@@ -13,7 +13,7 @@ def same(a, b):
 
 
 def test_rollup_answers_equal_direct(spark, tmp_path):
-    u = ev.test_usage(spark, SF_ORACLE)
+    u = ev.fixture_usage(spark, SF_ORACLE)
     path = str(tmp_path / "rollup")
     refresh_daily_rollup(u, path)
     r = read_daily_rollup(spark, path)
@@ -24,7 +24,7 @@ def test_rollup_answers_equal_direct(spark, tmp_path):
 
 
 def test_incremental_refresh_replaces_only_recomputed_days(spark, tmp_path):
-    u = ev.test_usage(spark, SF_ORACLE)
+    u = ev.fixture_usage(spark, SF_ORACLE)
     path = str(tmp_path / "rollup")
     refresh_daily_rollup(u, path, hi=dt.date(2024, 1, 20))       # first load
     refresh_daily_rollup(u, path, lo=dt.date(2024, 1, 15))       # later refresh, overlapping

@@ -40,8 +40,8 @@ def test_default_rule_masks(make_usage):
 
 
 def test_rollup_equals_sum_of_rows_and_shares_sum_to_100(spark):
-    u = ev.test_usage(spark, SF_ORACLE)
-    rules = ev.test_rules()
+    u = ev.fixture_usage(spark, SF_ORACLE)
+    rules = ev.fixture_rules()
     rows = savings.estimate_savings(u, rules).collect()
     roll = savings.savings_rollup(u, rules).collect()[0]
     assert roll.total_savings_annual == pytest.approx(sum(r.savings_annual for r in rows), abs=0.011)
@@ -55,7 +55,7 @@ def test_rollup_equals_sum_of_rows_and_shares_sum_to_100(spark):
 
 
 def test_results_do_not_depend_on_partitioning(spark):
-    u = ev.test_usage(spark, SF_ORACLE)
+    u = ev.fixture_usage(spark, SF_ORACLE)
     for fn in (audits.top_cost_centers, audits.spend_spikes, audits.cluster_activity):
         a = sorted(map(tuple, fn(u).collect()), key=repr)
         b = sorted(map(tuple, fn(u.repartition(3, "usage_record_id")).collect()), key=repr)
@@ -93,16 +93,16 @@ def test_budget_thresholds(make_usage):
 
 
 def test_right_size_and_off_hours(spark):
-    u = ev.test_usage(spark, SF_ORACLE)
+    u = ev.fixture_usage(spark, SF_ORACLE)
     rs = compliance.right_size_candidates(u, ev.AS_OF).collect()
     assert rs and all(r.instance_type == "p4d.24xlarge" and r.recommended_instance == "g5.12xlarge"
                       for r in rs)
-    off = compliance.off_hours_candidates(u, ev.AS_OF, workspace_rows=ev.test_workspace_rows()).collect()
+    off = compliance.off_hours_candidates(u, ev.AS_OF, workspace_rows=ev.fixture_workspace_rows()).collect()
     assert {r.env for r in off} <= {"sandbox", "development", "staging"}
 
 
 def test_csv_and_partitioned_parquet_round_trip(spark, tmp_path):
-    u = ev.test_usage(spark, "/root/testdata/sf0.001").drop("usage_date")
+    u = ev.fixture_usage(spark, "/root/testdata/sf0.001").drop("usage_date")
     write_usage_csv(u, str(tmp_path / "csv"))
     back = read_usage_csv(spark, str(tmp_path / "csv"))
     assert back.exceptAll(u).count() == 0 and u.exceptAll(back).count() == 0
@@ -125,12 +125,12 @@ def test_record_ids_are_unique_and_stable(spark):
 
 def test_dimension_tables_as_dataframes(spark):
     from spendaudit.sources.lookups import literal_frame
-    u = ev.test_usage(spark, SF_ORACLE)
-    rows = ev.test_budgets()
+    u = ev.fixture_usage(spark, SF_ORACLE)
+    rows = ev.fixture_budgets()
     as_list = compliance.budget_status(u, ev.AS_OF, budgets=rows)
     as_df = compliance.budget_status(u, ev.AS_OF, budgets=literal_frame(spark, rows, compliance.BUDGET_DDL))
     assert as_list.exceptAll(as_df).count() == 0 and as_list.count() == as_df.count() > 0
-    ws_rows = ev.test_workspace_rows()
+    ws_rows = ev.fixture_workspace_rows()
     a = compliance.off_hours_candidates(u, ev.AS_OF, workspace_rows=ws_rows)
     b = compliance.off_hours_candidates(
         u, ev.AS_OF, workspace_rows=literal_frame(spark, ws_rows, compliance.WORKSPACE_DDL))
@@ -140,14 +140,14 @@ def test_dimension_tables_as_dataframes(spark):
 def test_read_prices_with_a_wider_pricing_struct(spark, tmp_path):
     from spendaudit.sources.usage_io import read_prices
     from spendaudit.functions.costing import with_list_cost
-    wide = ev.test_prices(spark).withColumn(
+    wide = ev.fixture_prices(spark).withColumn(
         "pricing", F.struct(F.col("pricing.default").alias("default"),
                             (F.col("pricing.default") * 0.9).alias("promotional")))
     wide.write.parquet(str(tmp_path / "prices"))
     p = read_prices(spark, str(tmp_path / "prices"))
     u = ev.usage_table(spark, "/root/testdata/sf0.001")
     a = with_list_cost(u, p).select("usage_record_id", "estimated_cost_usd")
-    b = with_list_cost(u, ev.test_prices(spark)).select("usage_record_id", "estimated_cost_usd")
+    b = with_list_cost(u, ev.fixture_prices(spark)).select("usage_record_id", "estimated_cost_usd")
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
 
 

@@ -16,7 +16,7 @@ def drops(spark, tmp_path_factory):
     final file with one far-future record that pushes the watermark past
     every real hour."""
     base = tmp_path_factory.mktemp("drops")
-    u = ev.test_usage(spark, "/root/testdata/sf0.01").drop("usage_date")
+    u = ev.fixture_usage(spark, "/root/testdata/sf0.01").drop("usage_date")
     days = sorted(r[0] for r in u.select(F.to_date("usage_start_time")).distinct().collect())
     for i, d in enumerate(days):
         (u.filter(F.to_date("usage_start_time") == F.lit(d)).coalesce(1)
@@ -131,7 +131,7 @@ def test_t1_costs_a_raw_stream_with_the_price_join(spark, drops, tmp_path):
     base, u = drops
     raw = S.read_usage_stream(spark, str(base / "in"), max_files_per_trigger=10, costed=False,
                               recursiveFileLookup="true")
-    costed = with_list_cost(raw, ev.test_prices(spark), known_price_rows=ev.TEST_PRICE_ROWS)
+    costed = with_list_cost(raw, ev.fixture_prices(spark), known_price_rows=ev.FIXTURE_PRICE_ROWS)
     out = S.hourly_warehouse_cost_stream(costed, watermark="1 hour")
     q = (S.as_hourly_cost_report(out).writeStream.outputMode("append").format("parquet")
          .option("path", str(tmp_path / "t1raw"))
