@@ -41,11 +41,6 @@ def double_field(name: str) -> Column:
     return field(name).try_cast("double")
 
 
-def non_empty(name: str) -> Column:
-    """Truthiness of a string field: present and not ''."""
-    return field(name).isNotNull() & (field(name) != "")
-
-
 def field_of(name: str) -> Column:
     """One metadata field straight from the document (no struct column kept)."""
     return parsed().getField(name)

@@ -109,10 +109,6 @@ def _finding_rows(rules: Sequence[SavingsRule], prefix: str = "_b") -> Column:
         for i, r in enumerate(rules)]))
 
 
-SAVINGS_COLUMNS = ["position", "finding", "workspace", "cost_before_90d", "cost_after_90d",
-                   "savings_90d", "savings_annual", "retained_share"]
-
-
 def _savings_projection(window_days: int) -> list[Column]:
     before = F.col("_before")
     after = before * F.col("_retained")

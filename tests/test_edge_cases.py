@@ -238,3 +238,11 @@ def test_catalog_category_and_lookup(spark):
     assert cat["VECTOR_SEARCH_COMPUTE"] == ("AI/ML", "AI / Innovation", "Platform")
     df = spark.createDataFrame([("UNITY_CATALOG_COMPUTE",), ("NEW_SKU",)], "sku_name string")
     assert [r[0] for r in df.select(catalog_category()).collect()] == ["Governance", None]
+
+
+def test_dimension_lookups(spark):
+    from spendaudit.sources.lookups import gpu_instances, workspaces
+    gi = {r.instance_type: (r.relative_cost, r.status) for r in gpu_instances(spark).collect()}
+    assert gi["g5.12xlarge"] == (1.0, "RECOMMENDED") and len(gi) == 6
+    ws = {r.workspace_id: r.env for r in workspaces(spark).collect()}
+    assert len(ws) == 8 and sorted(set(ws.values())) == ["development", "production", "sandbox", "staging"]
