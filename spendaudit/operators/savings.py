@@ -38,6 +38,7 @@ class SavingsRule:
     end: dt.date | None = None
     weekend_only: bool = False
     require_pipeline: bool = False
+    clusters: tuple[str, ...] = ()  # optional: only these cluster ids (metadata)
 
     def mask(self) -> Column:
         m = F.col("workspace_id").isin(*self.workspaces) & F.col("sku_name").isin(*self.skus)
@@ -49,6 +50,8 @@ class SavingsRule:
             m = m & (F.weekday(F.col("usage_start_time")) >= 5)
         if self.require_pipeline:
             m = m & F.col("_pipeline_id").isNotNull() & (F.col("_pipeline_id") != "")
+        if self.clusters:
+            m = m & F.col("_cluster_id").isin(*self.clusters)
         return m
 
 
@@ -75,18 +78,21 @@ def waste_rules(rules: Sequence[SavingsRule]) -> tuple[SavingsRule, ...]:
 
 
 def _prepared(usage: DataFrame, rules: Sequence[SavingsRule]) -> DataFrame:
-    """The columns the masks read.  The pipeline id is parsed from the JSON
-    document only for rows of a pipeline rule's workspaces and SKUs (CASE
-    evaluates its branch lazily), not for every usage record."""
+    """The columns the masks read.  Metadata fields (pipeline id, cluster id)
+    are parsed from the JSON document only for rows in the scope of a rule
+    that needs them (CASE evaluates its branch lazily), not for every record."""
     cols = ["workspace_id", "sku_name", "usage_start_time", "estimated_cost_usd"]
-    need = [r for r in rules if r.require_pipeline]
-    if not need:
-        return usage.select(*cols)
-    scope = None
-    for r in need:
-        c = F.col("workspace_id").isin(*r.workspaces) & F.col("sku_name").isin(*r.skus)
-        scope = c if scope is None else scope | c
-    return usage.select(*cols, F.when(scope, M.field_of("pipeline_id")).alias("_pipeline_id"))
+    extra = []
+    for name, needs in (("pipeline_id", lambda r: r.require_pipeline),
+                        ("cluster_id", lambda r: bool(r.clusters))):
+        scope = None
+        for r in rules:
+            if needs(r):
+                c = F.col("workspace_id").isin(*r.workspaces) & F.col("sku_name").isin(*r.skus)
+                scope = c if scope is None else scope | c
+        if scope is not None:
+            extra.append(F.when(scope, M.field_of(name)).alias(f"_{name}"))
+    return usage.select(*cols, *extra)
 
 
 def _masked_sums(rules: Sequence[SavingsRule], prefix: str) -> list[Column]:

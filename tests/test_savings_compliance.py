@@ -162,3 +162,16 @@ def test_written_usage_files_are_ordered_for_row_group_skipping(spark, tmp_path)
         t = pq.read_table(f, columns=["sku_name", "workspace_id", "usage_start_time"]).to_pylist()
         keys = [(r["sku_name"], r["workspace_id"], r["usage_start_time"]) for r in t]
         assert keys == sorted(keys)
+
+
+def test_savings_rule_cluster_filter(make_usage):
+    rows = [("1", "ws-a", "PREMIUM_ALL_PURPOSE_COMPUTE", "2026-01-01 00:00:00", "1",
+             {"cluster_id": "zombie"}, "10"),
+            ("2", "ws-a", "PREMIUM_ALL_PURPOSE_COMPUTE", "2026-01-01 00:00:00", "1",
+             {"cluster_id": "busy"}, "7")]
+    whole = savings.SavingsRule("idle", ("ws-a",), ("PREMIUM_ALL_PURPOSE_COMPUTE",), "0.05")
+    one = savings.SavingsRule("idle_one", ("ws-a",), ("PREMIUM_ALL_PURPOSE_COMPUTE",), "0.05",
+                              clusters=("zombie",))
+    got = {r.finding: r.cost_before_90d
+           for r in savings.estimate_savings(make_usage(rows), [whole, one]).collect()}
+    assert got == {"idle": 17.0, "idle_one": 10.0}
