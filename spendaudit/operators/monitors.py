@@ -24,7 +24,7 @@ from ..functions.money import cv_pct, mean, money_round, money_sum, ratio, round
 from ..schema import (GPU_SKUS, INTERACTIVE_SKUS, LARGE_GPU_INSTANCES, PIPELINE_SKU,
                       SQL_SKUS)
 from ..plans.session import materialize
-from .audits import ALERT_RUNGS, daily_spend, with_baseline
+from .audits import ALERT_RUNGS, daily_spend, densify_days, with_baseline
 
 
 def _day(d) -> dt.date:
@@ -196,7 +196,8 @@ def pipeline_daily(usage: DataFrame, as_of, days: int = 7, savings_share: float
 
 # --------------------------------------------------------------------- M6
 def daily_alert(usage: DataFrame | None, as_of, lookback: int = 7,
-                recent_days: int | None = 35, *, rollup: DataFrame | None = None) -> DataFrame:
+                recent_days: int | None = 35, *, rollup: DataFrame | None = None,
+                dense_days: bool = False) -> DataFrame:
     """Yesterday's spend per workspace against its trailing 7-row baseline;
     every alert level is reported (NORMAL included).
 
@@ -208,8 +209,13 @@ def daily_alert(usage: DataFrame | None, as_of, lookback: int = 7,
     to those ids.  ``recent_days=None`` always reads the whole history.
     With ``rollup`` (the daily roll-up table, days x workspaces rows) the
     whole history is read from it instead of the usage fact.
+    ``dense_days=True`` counts calendar days (idle days as zero spend); a
+    dense frame depends on each workspace's whole calendar, so it reads the
+    full history (or the roll-up) rather than the pruned window.
     """
     yesterday = _day(as_of) - dt.timedelta(days=1)
+    if dense_days and rollup is None:
+        recent_days = None
     if rollup is not None:
         daily = daily_spend(rollup=rollup.filter(F.col("usage_date") <= date_lit(yesterday)),
                             round_dbus=False)
@@ -232,7 +238,7 @@ def daily_alert(usage: DataFrame | None, as_of, lookback: int = 7,
             older = daily_spend(within(usage, hi=lo).filter(F.col("workspace_id").isin(*ids)),
                                 round_dbus=False)
             daily = daily.unionByName(older)
-    b = with_baseline(daily, lookback)
+    b = with_baseline(densify_days(daily) if dense_days else daily, lookback)
     rel, z = deviation("daily_cost", "_base", "_spread")
     return (b.filter(F.col("_base").isNotNull() & (F.col("usage_date") == date_lit(yesterday)))
             .select("usage_date", "workspace_id", "daily_cost",

@@ -246,3 +246,13 @@ def test_dimension_lookups(spark):
     assert gi["g5.12xlarge"] == (1.0, "RECOMMENDED") and len(gi) == 6
     ws = {r.workspace_id: r.env for r in workspaces(spark).collect()}
     assert len(ws) == 8 and sorted(set(ws.values())) == ["development", "production", "sandbox", "staging"]
+
+
+def test_daily_alert_dense_days(make_usage):
+    # active on days 1..3 and on day 10 (yesterday for as_of = day 11)
+    u = _daily(make_usage, [10, 20, 30, 100], days=[0, 1, 2, 9])
+    as_of = dt.date(2024, 1, 11)
+    rows = monitors.daily_alert(u, as_of).collect()
+    assert [r.baseline_7d_avg for r in rows] == [20.0]            # rows 1..3
+    dense = monitors.daily_alert(u, as_of, dense_days=True).collect()
+    assert [r.baseline_7d_avg for r in dense] == [round(30 / 7, 2)]  # days 3..9
