@@ -43,3 +43,25 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert df.columns[:3] == ["workspace_id", "cluster_id", "cluster_name"]
     assert len(rows) >= 1 and rows[0]["detection_branch"] == "GOVERNANCE_VIOLATION"
+
+
+@pytest.mark.parametrize("name", ["spend_spikes", "idle_clusters", "estimate_savings",
+                                  "quality_gates", "warehouse_hourly_spikes", "top_cost_centers"])
+def test_matches_oracle_under_cluster_settings(spark, duck_oracle, name):
+    """Partitioning for a large cluster (many shuffle partitions, AQE skew
+    settings) must not change any value."""
+    from spendaudit.plans.session import cluster_settings
+    settings = cluster_settings(total_cores=100)
+    saved = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        info = verify.compare(spark, duck_oracle, name, registry.queries()[name],
+                              registry.oracle_sql()[name], SF_ORACLE)
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert info["ok"], info
