@@ -256,3 +256,13 @@ def test_daily_alert_dense_days(make_usage):
     assert [r.baseline_7d_avg for r in rows] == [20.0]            # rows 1..3
     dense = monitors.daily_alert(u, as_of, dense_days=True).collect()
     assert [r.baseline_7d_avg for r in dense] == [round(30 / 7, 2)]  # days 3..9
+
+
+def test_catalog_cost_with_a_caller_catalogue(spark, make_usage):
+    from spendaudit.sources.lookups import literal_frame
+    u = make_usage([("1", "ws", STD, "2024-01-01 00:00:00", "10", None, None),
+                    ("2", "ws", "NEW_SKU", "2024-01-01 00:00:00", "10", None, None)], with_cost=False)
+    cat = literal_frame(spark, [(STD, "0.5")], "sku_name string, rate string")
+    got = {r.usage_record_id: float(r.estimated_cost_usd)
+           for r in with_catalog_cost(u, cat).collect()}
+    assert got == {"1": 5.0, "2": 2.0}  # listed rate; default 0.20 for the unknown SKU
