@@ -53,3 +53,43 @@ def test_explain_tool_summarises_a_plan(spark):
     s = summary(formatted(registry.queries()["weekly_attribution"](spark, SF_SMALL)))
     assert s["partition_filters"] and s["pushed_filters"] and s["broadcasts"] == 1
     assert s["forbidden"] == []
+
+
+def _raw_row_exchanges(plan_text: str) -> list[str]:
+    """Non-broadcast exchanges whose input reaches a file scan without an
+    aggregate in between, i.e. shuffles of raw records."""
+    lines = plan_text.splitlines()
+
+    def depth(line):
+        return next((i for i, ch in enumerate(line) if ch.isalpha()), len(line))
+
+    bad = []
+    for i, line in enumerate(lines):
+        if "Exchange" not in line or "BroadcastExchange" in line:
+            continue
+        d, agg, scan = depth(line), False, False
+        for nxt in lines[i + 1:]:
+            if depth(nxt) <= d:
+                break
+            if "Exchange" in nxt and "BroadcastExchange" not in nxt:
+                break  # the next stage is judged on its own
+            agg = agg or "Aggregate" in nxt
+            scan = scan or "FileScan" in nxt
+            if agg:
+                break
+        if scan and not agg:
+            bad.append(line.strip())
+    return bad
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_no_shuffle_of_raw_usage_rows(spark, name):
+    p = plan(registry.queries()[name](spark, SF_SMALL))
+    assert _raw_row_exchanges(p) == [], p
+
+
+def test_raw_shuffle_checker_detects_a_raw_repartition(spark):
+    from spendaudit.sources import events_usage as ev
+    u = ev.usage_table(spark, SF_SMALL)
+    assert _raw_row_exchanges(plan(u.repartition(4, "workspace_id"))) != []
+    assert _raw_row_exchanges(plan(u.groupBy("workspace_id").count())) == []
