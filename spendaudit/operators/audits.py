@@ -71,8 +71,9 @@ def sku_breakdown(usage: DataFrame, k: int = 12) -> DataFrame:
 
 
 # --------------------------------------------------------------------- O3
-def cluster_activity(usage: DataFrame) -> DataFrame:
-    """Interactive usage per cluster configuration with flatness (CV)."""
+def cluster_activity(usage: DataFrame, window_days: int = AUDIT_DAYS) -> DataFrame:
+    """Interactive usage per cluster configuration with flatness (CV); the
+    annual projection scales a ``window_days`` total to 365 days."""
     q = F.col("usage_quantity")
     src = (usage.filter(F.col("sku_name").isin(*INTERACTIVE_SKUS))
            .select("workspace_id", "usage_quantity", "estimated_cost_usd",
@@ -92,7 +93,7 @@ def cluster_activity(usage: DataFrame) -> DataFrame:
         rounded(mean(q), 4).alias("avg_hourly_dbu"),
         rounded(sd, 4).alias("stddev_hourly_dbu"),
         rounded(cv_pct(sd, mean(q)), 2).alias("usage_cv_pct"),
-        rounded(annualize(F.sum("estimated_cost_usd")), 2).alias("projected_annual_cost"))
+        rounded(annualize(F.sum("estimated_cost_usd"), window_days), 2).alias("projected_annual_cost"))
 
 
 IDLE_COLUMNS = ["workspace_id", "cluster_id", "cluster_name", "total_hours_active",
@@ -102,7 +103,8 @@ IDLE_COLUMNS = ["workspace_id", "cluster_id", "cluster_name", "total_hours_activ
 
 
 def idle_clusters(usage: DataFrame, *, min_hours: int = 200, critical_hours: int = 400,
-                  suspect_hours: int | None = 100, max_cv: float = 10.0) -> DataFrame:
+                  suspect_hours: int | None = 100, max_cv: float = 10.0,
+                  window_days: int = AUDIT_DAYS) -> DataFrame:
     """Idle ('zombie') interactive clusters from two detection branches.
 
     Behavioural: no job, more than ``min_hours`` hours and CV below ``max_cv``.
@@ -112,7 +114,7 @@ def idle_clusters(usage: DataFrame, *, min_hours: int = 200, critical_hours: int
     already unique per (group, branch), so no DISTINCT shuffle is needed.
     ``suspect_hours=None`` drops the SUSPECT rung (the ported variant).
     """
-    a = cluster_activity(usage)
+    a = cluster_activity(usage, window_days)
     no_job = F.col("job_id").isNull()
     hours, cv, auto = F.col("total_hours_active"), F.col("usage_cv_pct"), F.col("autotermination_min")
     behavioural = no_job & (hours > min_hours) & (cv < max_cv)
@@ -262,7 +264,8 @@ PIPELINE_COLUMNS = ["workspace_id", "pipeline_id", "pipeline_name", "pipeline_mo
                     "waste_classification", "recommended_fix"]
 
 
-def pipeline_waste(usage: DataFrame, savings_share: float = 0.60) -> DataFrame:
+def pipeline_waste(usage: DataFrame, savings_share: float = 0.60,
+                   window_days: int = AUDIT_DAYS) -> DataFrame:
     """Continuous-mode pipelines that mostly process no data."""
     src = (usage.filter(F.col("sku_name") == PIPELINE_SKU)
            .select("workspace_id", "usage_quantity", "estimated_cost_usd",
@@ -282,7 +285,7 @@ def pipeline_waste(usage: DataFrame, savings_share: float = 0.60) -> DataFrame:
         money_sum("estimated_cost_usd").alias("total_cost_usd"),
         F.count_if(gb == 0).alias("idle_hours"),
         rounded(F.sum(gb), 2).alias("total_data_processed_gb"),
-        rounded(annualize(F.sum("estimated_cost_usd")), 2).alias("projected_annual_cost"))
+        rounded(annualize(F.sum("estimated_cost_usd"), window_days), 2).alias("projected_annual_cost"))
     idle_rate = rounded(ratio("idle_hours", "total_hours_active") * 100, 1)
     continuous = F.col("pipeline_mode") == "CONTINUOUS"
     rate = F.col("idle_rate_pct")
