@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,17 +29,23 @@ from .common import slices, whole_text
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 LONG_PIECE = 192       # bytes; longer pieces take the position-row query
-CACHE = 300_000        # segments and pieces a worker remembers, each way
+REMEMBERED = 400_000   # segments (either way) and pieces a worker remembers, twice over
 CHARS = 4_000_000      # characters of text a worker takes up at a time
 QUERY_PIECES = 50_000  # pieces per recursive query
 
-# One row per piece: its tokens, the merge result of every adjacent pair, and the least of
-# them.  A step replaces the leftmost least pair and looks up its two new neighbours.
+# One row per piece: its tokens and the merge result of every adjacent pair.  Rows arrive in
+# position order and are gathered as they come; ``_UNORDERED`` proves it, and otherwise the
+# lists are gathered again with a sort.
+_FIRST = """
+CREATE OR REPLACE TEMP TABLE first AS
+SELECT s.w, list(s.t{order}) AS toks, list(m.r{order}) AS pairs, list(s.p{order}) AS places
+FROM start s LEFT JOIN merges m ON m.a = s.t AND m.b = s.nt GROUP BY s.w
+"""
+_UNORDERED = "SELECT count(*) FROM first WHERE places <> range(len(places))"
+
+# A step replaces each piece's leftmost least pair and looks up its two new neighbours.
 _ENCODE = """
-WITH RECURSIVE first AS (
-  SELECT s.w, list(s.t ORDER BY s.p) AS toks, list(m.r ORDER BY s.p) AS pairs
-  FROM start s LEFT JOIN merges m ON m.a = s.t AND m.b = s.nt GROUP BY s.w),
-word(w, toks, pairs, least) AS (
+WITH RECURSIVE word(w, toks, pairs, least) AS (
   SELECT w, toks, pairs, list_min(pairs) FROM first
   UNION ALL
   SELECT w, toks, pairs, list_min(pairs) FROM (
@@ -52,28 +59,33 @@ word(w, toks, pairs, least) AS (
 SELECT w, toks FROM word WHERE least IS NULL ORDER BY w
 """
 
-# The same on rows (piece, position, token).  ``safe`` tokens never merge on into a token
-# of lower rank, so all their leftmost non-overlapping occurrences can be made at once:
-# in a run of overlapping pairs, every other one.
+# The same on rows (piece, position, token) for long pieces.  All occurrences of the least
+# pair are contracted at once, left to right without overlap (in a run of overlapping
+# pairs, every other one), up to the first whose new token forms a pair of lower rank with
+# a neighbour: there the order of contractions starts to matter.
 _ENCODE_LONG = """
 WITH RECURSIVE word(w, p, t, done) AS (
   SELECT w, p, t, FALSE FROM start
   UNION ALL
   SELECT w, p, CASE WHEN take THEN r ELSE t END, least IS NULL FROM (
     SELECT *, lag(take, 1, FALSE) OVER (PARTITION BY w ORDER BY p) AS taken FROM (
-      SELECT *, r IS NOT NULL AND r = least AND (run_at % 2 = 1) AND (safe OR nth = 1) AS take
+      SELECT *, hit AND run_at % 2 = 1 AND coalesce(sum(CASE WHEN turns AND run_at % 2 = 1
+          THEN 1 ELSE 0 END) OVER (PARTITION BY w ORDER BY p
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS take
       FROM (
-        SELECT *, row_number() OVER (PARTITION BY w, hit, run ORDER BY p) AS run_at,
-               row_number() OVER (PARTITION BY w, hit ORDER BY p) AS nth
-        FROM (
+        SELECT *, row_number() OVER (PARTITION BY w, hit, run ORDER BY p) AS run_at FROM (
           SELECT *, row_number() OVER (PARTITION BY w ORDER BY p)
                     - row_number() OVER (PARTITION BY w, hit ORDER BY p) AS run
           FROM (
-            SELECT *, coalesce(r = least, FALSE) AS hit FROM (
-              SELECT x.*, m.r, m.safe, min(m.r) OVER (PARTITION BY x.w) AS least FROM (
-                SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS nt
-                FROM word WHERE NOT done) x
-              LEFT JOIN merges m ON m.a = x.t AND m.b = x.nt)))))
+            SELECT x.w, x.p, x.t, x.r, x.least, coalesce(x.r = x.least, FALSE) AS hit,
+                   x.r = x.least AND coalesce(a.r, b.r, c.r) IS NOT NULL AS turns FROM (
+              SELECT y.*, m.r, m.safe, min(m.r) OVER (PARTITION BY y.w) AS least FROM (
+                SELECT w, p, t, lag(t) OVER v AS pt, lead(t) OVER v AS nt, lead(t, 2) OVER v AS nnt
+                FROM word WHERE NOT done WINDOW v AS (PARTITION BY w ORDER BY p)) y
+              LEFT JOIN merges m ON m.a = y.t AND m.b = y.nt) x
+            LEFT JOIN merges a ON NOT x.safe AND a.a = x.pt AND a.b = x.r AND a.r < x.r
+            LEFT JOIN merges b ON NOT x.safe AND b.a = x.r AND b.b = x.nnt AND b.r < x.r
+            LEFT JOIN merges c ON NOT x.safe AND c.a = x.r AND c.b = x.r AND c.r < x.r))))
   ) WHERE NOT taken)
 SELECT w, list(t ORDER BY p) AS toks FROM word WHERE done GROUP BY w ORDER BY w
 """
@@ -97,6 +109,24 @@ def merge_rows(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({"a": a, "b": b, "r": r, "safe": ~np.isin(r, unsafe)})
 
 
+class Memory:
+    """Bounded memory of two generations: entries in use are kept, and a generation that
+    was not asked for while the next one filled up is let go."""
+
+    def __init__(self, size: int = REMEMBERED):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """``keys`` that are not remembered; the others can then be read in ``young``."""
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        rest = keys - young.keys()
+        for k in rest & old.keys():
+            young[k] = old[k]
+        return rest - old.keys()
+
+
 class Codec:
     """Encoder and decoder of one worker over a rank file and a pre-token pattern."""
 
@@ -104,6 +134,7 @@ class Codec:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}
         self.find = regex.compile(pattern).findall
+        self.plain = pattern == public_tokenizers.PATTERN   # letter runs are pieces there
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.whole = ranks
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB",
@@ -121,11 +152,20 @@ class Codec:
         # tokens that start with a space or a line feed: where decoding cuts segments
         self.cuts = np.zeros(max(ranks.values()) + 1, dtype=bool)
         self.cuts[[r for t, r in ranks.items() if t[:1] in (b" ", b"\n")]] = True
-        self.pieces: dict[str, bytes] = {}
-        self.segments: dict[str, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
+        self.pieces, self.segments, self.decoded = Memory(), Memory(), Memory()
 
     # -- encoding ---------------------------------------------------------------
+    def _pieces(self, segment: str) -> list[str]:
+        """Matches of the pattern; a word, alone or with one mark after it, needs no search."""
+        core = segment[1:] if segment[0] == " " else segment
+        if not core or not self.plain:
+            return self.find(segment)
+        if core.isalpha():
+            return [segment]
+        if core[-1] in ".,;:!?" and core[:-1].isalpha():
+            return [segment[:-1], segment[-1]]
+        return self.find(segment)
+
     def _merge(self, pieces: list[str]) -> list[bytes]:
         """Ids (little-endian 32-bit) of pieces by the recursive queries."""
         out: list[bytes] = [b""] * len(pieces)
@@ -145,6 +185,10 @@ class Codec:
                     "w": np.repeat(np.arange(len(part), dtype=np.int32), lengths),
                     "p": at.astype(np.int32), "t": tokens, "nt": following})
                 self.db.register("start", start)
+                if query is _ENCODE:
+                    self.db.execute(_FIRST.format(order=""))
+                    if self.db.execute(_UNORDERED).fetchall()[0][0]:
+                        self.db.execute(_FIRST.format(order=" ORDER BY s.p"))
                 found = self.db.sql(query).to_arrow_table()
                 self.db.unregister("start")
                 toks = found.column("toks").combine_chunks()
@@ -154,28 +198,23 @@ class Codec:
                     out[i] = flat[x:y]
         return out
 
-    def _learn(self, segments: set[str]) -> None:
-        """Encode segments that are not remembered, over their distinct new pieces."""
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        cut = {s: self.find(s) for s in segments}
-        new = {p for ps in cut.values() for p in ps} - self.pieces.keys()
-        whole = {p: self.whole.get(p.encode()) for p in new}
-        self.pieces.update((p, r.to_bytes(4, "little")) for p, r in whole.items()
-                           if r is not None)
-        rest = sorted(p for p, r in whole.items() if r is None)
-        self.pieces.update(zip(rest, self._merge(rest)))
-        for s, ps in cut.items():
-            self.segments[s] = b"".join([self.pieces[p] for p in ps])
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [_segments(t) for t in texts]
-        needed = set().union(*split)
-        if len(self.segments) + len(needed - self.segments.keys()) > CACHE:
-            self.segments.clear()
-        self._learn(needed - self.segments.keys())
-        get = self.segments.__getitem__
+        cut = {s: self._pieces(s) for s in self.segments.missing(set().union(*split))}
+        new = self.pieces.missing({p for ps in cut.values() for p in ps})
+        pieces, rest = self.pieces.young, []
+        for p in new:
+            rank = self.whole.get(p.encode())
+            if rank is None:
+                rest.append(p)
+            else:
+                pieces[p] = rank.to_bytes(4, "little")
+        pieces.update(zip(rest, self._merge(rest)))
+        segments = self.segments.young
+        for s, ps in cut.items():
+            segments[s] = b"".join([pieces[p] for p in ps])
+        get = segments.__getitem__
         return [b"".join(list(map(get, s))) for s in split]
 
     # -- decoding ---------------------------------------------------------------
@@ -193,9 +232,8 @@ class Codec:
             parts = [ids[x:y] for x, y in zip(edges, edges[1:])] if ids else []
             cut.append(parts)
             new.update(parts)
-        if len(self.decoded) + len(new - self.decoded.keys()) > CACHE:
-            self.decoded.clear()
-        todo = sorted(new - self.decoded.keys())
+        todo = list(self.decoded.missing(new))
+        decoded = self.decoded.young
         for first in range(0, len(todo), QUERY_PIECES):
             part = todo[first:first + QUERY_PIECES]
             lengths = np.array([len(x) // 4 for x in part], dtype=np.int64)
@@ -208,8 +246,8 @@ class Codec:
             self.db.register("ids", rows)
             found = self.db.sql(_DECODE).to_arrow_table().column("bytes").to_pylist()
             self.db.unregister("ids")
-            self.decoded.update(zip(part, (s.encode("latin-1") for s in found)))
-        get = self.decoded.__getitem__
+            decoded.update(zip(part, (s.encode("latin-1") for s in found)))
+        get = decoded.__getitem__
         return [b"".join(list(map(get, parts))) for parts in cut]
 
 
@@ -238,7 +276,6 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     NULL texts are empty and have no tokens.  Whole texts are encoded, each match of
     the pattern by itself, without special tokens.  Rows stay where they are: no shuffle.
     """
-    import public_tokenizers
     path = path or public_tokenizers.path(TOKENIZER)
     pattern = pattern or public_tokenizers.PATTERN
     rows = docs.select(F.col(id_col), whole_text(text_col).alias("__llm_text"))
