@@ -87,12 +87,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, n_col: str, total:
 
     Heavy groups meet their rows by broadcast, so a hot key never gathers in one
     task; the remaining keys hold at most 1/HEAVY_SHARE of the rows each and are
-    joined by shuffle.  ``key`` must not be NULL.
+    joined by shuffle, by the same plan at every size.  ``key`` must not be NULL.
     """
     heavy = heavy_groups(groups, n_col, total)
     light = groups.where(F.col(n_col) * F.lit(HEAVY_SHARE) <= F.lit(total))
     hot = rows.join(F.broadcast(heavy), key, how)
-    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(
+        light.hint("merge"), key, how)
     return hot.unionByName(rest)
 
 

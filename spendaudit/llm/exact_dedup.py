@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import (FILE, ROW, cut, join_groups, keep_rows, land_at, shared_path, total_rows,
                      whole_text, with_locator)
 
+PREFIXES = 1 << 20     # hash values that members are sifted by before texts are compared
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
@@ -100,13 +101,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _collided(members: DataFrame, state: DataFrame, total: int) -> DataFrame:
     """Digests whose members are not all the same bytes.
 
-    Only digests hit more than once are compared.  Heavy ones collapse to one row per
-    distinct text in each map task, so a huge group of copies costs no more than a
-    small one.
+    Only digests hit more than once are compared.  Members are first sifted by a hash
+    of the digest, against the at most PREFIXES values that hits have, so that few other
+    texts are moved.  Heavy digests collapse to one row per distinct text in each map
+    task: a huge group of copies costs no more than a small one.
     """
     hits = state.where("n > 1").select("digest", "n")
-    hit_members = join_groups(members.select("digest", "text"), hits, "digest", "n", total,
-                              how="left_semi")
+    sieve = F.pmod(F.xxhash64("digest"), F.lit(PREFIXES)).cast("int").alias("sieve")
+    sifted = members.select("digest", "text", sieve).join(
+        F.broadcast(hits.select(sieve).distinct()), "sieve", "left_semi").drop("sieve")
+    hit_members = join_groups(sifted, hits, "digest", "n", total, how="left_semi")
     return cut(hit_members.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"))
                .groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
                .where("texts > 1").select("digest"))
