@@ -26,6 +26,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # no log space set aside in advance: it adds up over many state partitions
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
