@@ -29,7 +29,7 @@ from .common import slices, whole_text
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 LONG_PIECE = 192       # bytes; longer pieces take the position-row query
-REMEMBERED = 400_000   # segments (either way) and pieces a worker remembers, twice over
+REMEMBERED = 150_000   # segments (either way) and pieces a worker remembers, twice over
 CHARS = 4_000_000      # characters of text a worker takes up at a time
 QUERY_PIECES = 50_000  # pieces per recursive query
 
