@@ -235,8 +235,10 @@ def daily_alert(usage: DataFrame | None, as_of, lookback: int = 7,
                  .select("workspace_id"))
         ids = [r[0] for r in short.collect()]  # at most one id per workspace
         if ids:
-            older = daily_spend(within(usage, hi=lo).filter(F.col("workspace_id").isin(*ids)),
-                                round_dbus=False)
+            named = F.col("workspace_id").isin(*[i for i in ids if i is not None])
+            if None in ids:  # usage without a workspace has a history too
+                named = F.coalesce(named, F.lit(True))
+            older = daily_spend(within(usage, hi=lo).filter(named), round_dbus=False)
             daily = daily.unionByName(older)
     b = with_baseline(densify_days(daily) if dense_days else daily, lookback)
     rel, z = deviation("daily_cost", "_base", "_spread")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from ..operators import audits, compliance, monitors, reports, savings
-from ..operators.rollup import read_daily_rollup, refresh_daily_rollup
+from ..operators.rollup import refresh_daily_rollup
 from ..operators.savings import DEFAULT_RULES, SavingsRule
 
 
@@ -31,12 +31,11 @@ def run_monitors(costed: DataFrame, as_of: dt.date, out_dir: str, *,
     previous day, warehouse spikes of the last 24 h, GPU, weekend and
     pipeline monitors of the last 7 days, the daily alert and the weekly
     attribution.  With ``rollup_path`` the last ``refresh_days`` days of the
-    daily roll-up are refreshed first and the alert reads the roll-up."""
-    rollup = None
+    daily roll-up are refreshed as well.  The alert reads the usage itself: a new
+    or lapsed roll-up does not hold the baseline it needs."""
     if rollup_path is not None:
         refresh_daily_rollup(costed, rollup_path, lo=as_of - dt.timedelta(days=refresh_days),
                              hi=as_of + dt.timedelta(days=1))
-        rollup = read_daily_rollup(costed.sparkSession, rollup_path)
     as_of_ts = dt.datetime.combine(as_of, dt.time())
     outputs = {
         "nightly_idle_sweep": monitors.nightly_idle_sweep(costed, as_of - dt.timedelta(days=1)),
@@ -44,8 +43,7 @@ def run_monitors(costed: DataFrame, as_of: dt.date, out_dir: str, *,
         "gpu_utilization": monitors.gpu_utilization(costed, as_of),
         "weekend_spend": monitors.weekend_spend(costed, as_of),
         "pipeline_daily": monitors.pipeline_daily(costed, as_of),
-        "daily_alert": (monitors.daily_alert(None, as_of, rollup=rollup) if rollup is not None
-                        else monitors.daily_alert(costed, as_of)),
+        "daily_alert": monitors.daily_alert(costed, as_of),
         "weekly_attribution": monitors.weekly_attribution(costed, as_of),
     }
     return _write(outputs, out_dir, as_of)

@@ -266,3 +266,15 @@ def test_catalog_cost_with_a_caller_catalogue(spark, make_usage):
     got = {r.usage_record_id: float(r.estimated_cost_usd)
            for r in with_catalog_cost(u, cat).collect()}
     assert got == {"1": 5.0, "2": 2.0}  # listed rate; default 0.20 for the unknown SKU
+
+
+def test_daily_alert_keeps_the_history_of_a_null_workspace(make_usage):
+    import datetime as dt
+
+    from spendaudit.operators import monitors
+    rows = [(f"{w}-{d}", w, "JOBS_COMPUTE", f"2024-01-{d:02d} 10:00:00", 1, None,
+             100 if d == 30 else 10) for w in (None, "ws-a") for d in (1, 2, 3, 4, 30)]
+    got = [{tuple(r) for r in monitors.daily_alert(make_usage(rows), dt.date(2024, 1, 31),
+                                                   recent_days=n).collect()}
+           for n in (None, 10)]
+    assert got[0] == got[1] and len(got[0]) == 2

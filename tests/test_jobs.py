@@ -9,7 +9,7 @@ from spendaudit.sources import events_usage as ev
 def test_monitor_job_writes_each_result(spark, tmp_path):
     u = ev.fixture_usage(spark, SF_ORACLE)
     paths = jobs.run_monitors(u, ev.AS_OF, str(tmp_path / "out"),
-                              rollup_path=str(tmp_path / "rollup"), refresh_days=40)
+                              rollup_path=str(tmp_path / "rollup"))
     assert len(paths) == 7
     got = spark.read.parquet(paths["daily_alert"])
     want = monitors.daily_alert(u, ev.AS_OF)
