@@ -74,10 +74,10 @@ def category_spend(usage: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- D3
 def cost_matrix(usage: DataFrame, rules: Sequence[SavingsRule] = DEFAULT_RULES,
-                order: Sequence[str] = MATRIX_ORDER) -> DataFrame:
-    """90-day cost and annual savings per finding, in chart order."""
+                order: Sequence[str] = MATRIX_ORDER, window_days: int = AUDIT_DAYS) -> DataFrame:
+    """Audit-window cost and annual savings per finding, in chart order."""
     pos = F.create_map(*[x for i, code in enumerate(order) for x in (F.lit(code), F.lit(i + 1))])
-    return (estimate_savings(usage, rules)
+    return (estimate_savings(usage, rules, window_days)
             .select(pos[F.col("finding")].alias("position"), "finding",
                     F.col("cost_before_90d").alias("cost_90d"),
                     F.col("savings_annual").alias("annual_savings"))

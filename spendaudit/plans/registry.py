@@ -45,14 +45,14 @@ def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "top_cost_centers": _audit(audits.top_cost_centers),
         "sku_breakdown": _audit(audits.sku_breakdown),
-        "cluster_activity": _audit(audits.cluster_activity),
-        "idle_clusters": _audit(audits.idle_clusters),
+        "cluster_activity": _audit(audits.cluster_activity, window_days=ev.WINDOW_DAYS),
+        "idle_clusters": _audit(audits.idle_clusters, window_days=ev.WINDOW_DAYS),
         "idle_clusters_ported": lambda spark, d: audits.idle_clusters_ported(
             ev.usage_table(spark, d), ev.fixture_prices(spark), ev.AS_OF,
-            known_price_rows=ev.FIXTURE_PRICE_ROWS),
+            known_price_rows=ev.FIXTURE_PRICE_ROWS, window_days=ev.WINDOW_DAYS),
         "compute_efficiency": _audit(audits.compute_efficiency),
         "spend_spikes": _audit(audits.spend_spikes),
-        "pipeline_waste": _audit(audits.pipeline_waste),
+        "pipeline_waste": _audit(audits.pipeline_waste, window_days=ev.WINDOW_DAYS),
         "nightly_idle_sweep": _audit(monitors.nightly_idle_sweep, day=ev.SWEEP_DAY),
         "warehouse_hourly_spikes": _audit(monitors.warehouse_hourly_spikes, as_of_ts=ev.AS_OF_TS),
         "gpu_utilization": _audit(monitors.gpu_utilization, as_of=ev.AS_OF),
@@ -61,22 +61,24 @@ def queries() -> dict[str, Query]:
         "daily_alert": _audit(monitors.daily_alert, as_of=ev.AS_OF),
         "weekly_attribution": _audit(monitors.weekly_attribution, as_of=ev.AS_OF),
         "estimate_savings": lambda spark, d: savings.estimate_savings(
-            _costed(spark, d), ev.fixture_rules()),
+            _costed(spark, d), ev.fixture_rules(), window_days=ev.WINDOW_DAYS),
         "savings_rollup": lambda spark, d: savings.savings_rollup(
-            _costed(spark, d), ev.fixture_rules()),
+            _costed(spark, d), ev.fixture_rules(), window_days=ev.WINDOW_DAYS),
         "waste_summary": lambda spark, d: savings.waste_summary(
-            _costed(spark, d), ev.fixture_rules()),
+            _costed(spark, d), ev.fixture_rules(), window_days=ev.WINDOW_DAYS),
         "dataset_profile": _audit(savings.dataset_profile),
         "catalog_cost": lambda spark, d: record_costs(
             with_catalog_cost(ev.usage_table(spark, d))),
         "list_cost": lambda spark, d: record_costs(_costed(spark, d)),
         "daily_burn": _audit(reports.daily_burn, spike_window=ev.SPIKE_WINDOW,
-                             idle_workspace=ev.IDLE_WORKSPACE),
+                             idle_workspace=ev.IDLE_WORKSPACE, audit_days=ev.WINDOW_DAYS),
         "category_spend": _audit(reports.category_spend),
-        "cost_matrix": lambda spark, d: reports.cost_matrix(_costed(spark, d), ev.fixture_rules()),
+        "cost_matrix": lambda spark, d: reports.cost_matrix(
+            _costed(spark, d), ev.fixture_rules(), window_days=ev.WINDOW_DAYS),
         "gpu_util_vs_cost": lambda spark, d: reports.gpu_util_vs_cost(
             _costed(spark, d), ev.fixture_labels()),
-        "waterfall": lambda spark, d: reports.waterfall(_costed(spark, d), ev.fixture_rules()),
+        "waterfall": lambda spark, d: reports.waterfall(
+            _costed(spark, d), ev.fixture_rules(), window_days=ev.WINDOW_DAYS),
         "policy_compliance": _audit(compliance.policy_compliance),
         "budget_status": lambda spark, d: compliance.budget_status(
             _costed(spark, d), ev.AS_OF, budgets=ev.fixture_budgets()),

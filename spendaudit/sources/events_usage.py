@@ -35,6 +35,7 @@ SKUS = [s for s, _r, _c in SKU_CATALOG]
 # window (2024-01-01 .. 2024-01-30).
 AS_OF = dt.date(2024, 1, 31)
 AS_OF_TS = dt.datetime(2024, 1, 31, 0, 0, 0)
+WINDOW_DAYS = 30  # days that the events cover: base of the annual projections
 SWEEP_DAY = dt.date(2024, 1, 30)
 SPIKE_WINDOW = (dt.date(2024, 1, 10), dt.date(2024, 1, 13))
 PRICE_CHANGE = "2024-01-15 00:00:00"
