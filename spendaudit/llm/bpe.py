@@ -29,9 +29,10 @@ from .common import slices, whole_text
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 LONG_PIECE = 192       # bytes; longer pieces take the position-row query
-REMEMBERED = 150_000   # segments (either way) and pieces a worker remembers, twice over
+REMEMBERED = 225_000   # segments and pieces (each) that a worker remembers, twice over
 CHARS = 4_000_000      # characters of text a worker takes up at a time
 QUERY_PIECES = 50_000  # pieces per recursive query
+QUERY_IDS = 1_000_000  # ids per decoding query
 
 # One row per piece: its tokens and the merge result of every adjacent pair.  Rows arrive in
 # position order and are gathered as they come; ``_UNORDERED`` proves it, and otherwise the
@@ -91,7 +92,7 @@ SELECT w, list(t ORDER BY p) AS toks FROM word WHERE done GROUP BY w ORDER BY w
 """
 
 _DECODE = """
-SELECT i.w, string_agg(v.bytes, '' ORDER BY i.p) AS bytes
+SELECT i.w, array_to_string(list(v.bytes ORDER BY i.p), '') AS bytes
 FROM ids i JOIN vocab v ON v.id = i.id GROUP BY i.w ORDER BY i.w
 """
 
@@ -149,10 +150,7 @@ class Codec:
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
         self.db.unregister("merges_in")
         self.db.unregister("vocab_in")
-        # tokens that start with a space or a line feed: where decoding cuts segments
-        self.cuts = np.zeros(max(ranks.values()) + 1, dtype=bool)
-        self.cuts[[r for t, r in ranks.items() if t[:1] in (b" ", b"\n")]] = True
-        self.pieces, self.segments, self.decoded = Memory(), Memory(), Memory()
+        self.pieces, self.segments = Memory(), Memory()
 
     # -- encoding ---------------------------------------------------------------
     def _pieces(self, segment: str) -> list[str]:
@@ -219,36 +217,22 @@ class Codec:
 
     # -- decoding ---------------------------------------------------------------
     def decode(self, encoded: list[bytes]) -> list[bytes]:
-        """Bytes of each id sequence.  A sequence is cut before tokens that start with
-        white space; distinct segments are decoded by one ordered aggregation."""
-        cut: list[list[bytes]] = []
-        new: set[bytes] = set()
-        for ids in encoded:
-            flags = self.cuts[np.frombuffer(ids, dtype="<u4")]
-            edges = (np.flatnonzero(flags) * 4).tolist()
-            if not edges or edges[0]:
-                edges.insert(0, 0)
-            edges.append(len(ids))
-            parts = [ids[x:y] for x, y in zip(edges, edges[1:])] if ids else []
-            cut.append(parts)
-            new.update(parts)
-        todo = list(self.decoded.missing(new))
-        decoded = self.decoded.young
-        for first in range(0, len(todo), QUERY_PIECES):
-            part = todo[first:first + QUERY_PIECES]
-            lengths = np.array([len(x) // 4 for x in part], dtype=np.int64)
-            ids = np.frombuffer(b"".join(part), dtype="<u4").astype(np.int32)
-            ends = np.cumsum(lengths)
-            rows = pa.table({
-                "w": np.repeat(np.arange(len(part), dtype=np.int32), lengths),
-                "p": (np.arange(len(ids)) - np.repeat(ends - lengths, lengths)).astype(np.int32),
-                "id": ids})
-            self.db.register("ids", rows)
-            found = self.db.sql(_DECODE).to_arrow_table().column("bytes").to_pylist()
+        """Bytes of each id sequence, by ordered aggregations over ``QUERY_IDS`` ids each.
+        A sequence that spans several of them is put together from its parts."""
+        out: list[list[bytes]] = [[] for _ in encoded]
+        lengths = np.array([len(x) // 4 for x in encoded], dtype=np.int64)
+        ids = np.frombuffer(b"".join(encoded), dtype="<u4").astype(np.int32)
+        owner = np.repeat(np.arange(len(encoded), dtype=np.int32), lengths)
+        place = np.arange(min(QUERY_IDS, len(ids)), dtype=np.int32)
+        for first in range(0, len(ids), QUERY_IDS):
+            part = ids[first:first + QUERY_IDS]
+            self.db.register("ids", pa.table({"w": owner[first:first + QUERY_IDS],
+                                              "p": place[:len(part)], "id": part}))
+            found = self.db.sql(_DECODE).to_arrow_table()
             self.db.unregister("ids")
-            decoded.update(zip(part, (s.encode("latin-1") for s in found)))
-        get = decoded.__getitem__
-        return [b"".join(list(map(get, parts))) for parts in cut]
+            for w, text in zip(found.column("w").to_pylist(), found.column("bytes").to_pylist()):
+                out[w].append(text.encode("latin-1"))
+        return [b"".join(parts) for parts in out]
 
 
 def _segments(text: str) -> list[str]:

@@ -333,3 +333,15 @@ def test_bpe_odd_texts():
     ids = c.encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [enc.encode_ordinary(t) for t in texts]
     assert c.decode(ids) == [t.encode() for t in texts]
+
+
+def test_bpe_decoding_across_queries(monkeypatch):
+    """A sequence cut by the size of a decoding query is put together again, also inside a
+    character, and empty sequences keep their place."""
+    c = bpe.codec(public_tokenizers.path(bpe.TOKENIZER), public_tokenizers.PATTERN)
+    texts = ["", "naïve 日本語 🙂\x00 text", "", "a b  c\n\n" * 9, ""]
+    ids = c.encode(texts)
+    for size in (1, 2, 7, 1_000_000):
+        monkeypatch.setattr(bpe, "QUERY_IDS", size)
+        assert c.decode(ids) == [t.encode() for t in texts]
+        assert c.decode([]) == [] and c.decode([b""]) == [b""]
