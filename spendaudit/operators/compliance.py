@@ -32,24 +32,27 @@ SCOPE_SKUS = {"interactive": INTERACTIVE_SKUS, "gpu": GPU_SKUS}
 def policy_compliance(usage: DataFrame, rules: Sequence[tuple] = POLICY_RULES) -> DataFrame:
     """Usage that ran on configurations violating a compute-policy rule.
 
-    Each record's checked metadata fields are unpivoted into (field, value)
-    pairs and broadcast-joined to the rule table on (scope, field); range,
-    allow-list and fixed-value rules are then evaluated per pair.  A field
-    that is absent (or not an integer for a range rule) is not evaluable and
+    Records are first counted by resource and checked field values; only these groups
+    are unpivoted into (field, value) pairs and broadcast-joined to the rule table on
+    (scope, field); range, allow-list and fixed-value rules are then evaluated per pair.
+    A field that is absent (or not an integer for a range rule) is not evaluable and
     is not reported.  Result: one row per resource, rule and observed value.
     """
     spark: SparkSession = usage.sparkSession
     fields = sorted({r[2] for r in rules})
     scopes = sorted({r[1] for r in rules})
     scope = ladder([(F.col("sku_name").isin(*SCOPE_SKUS[s]), s) for s in scopes], None)
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), M.field(f).alias("value")) for f in fields])
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_v_{f}").alias("value"))
+                      for f in fields])
     src = (usage.filter(F.col("sku_name").isin(*[k for s in scopes for k in SCOPE_SKUS[s]]))
            .select("workspace_id", "estimated_cost_usd", scope.alias("scope"),
                    M.parsed().alias(M.META_COL))
-           .select("workspace_id", "estimated_cost_usd", "scope",
-                   F.coalesce(M.field("cluster_id"), M.field("job_name"),
-                              M.field("warehouse_id")).alias("resource_id"),
-                   F.inline(pairs))
+           .groupBy("workspace_id", "scope",
+                    F.coalesce(M.field("cluster_id"), M.field("job_name"),
+                               M.field("warehouse_id")).alias("resource_id"),
+                    *[M.field(f).alias(f"_v_{f}") for f in fields])
+           .agg(F.count(F.lit(1)).alias("_n"), F.sum("estimated_cost_usd").alias("_cost"))
+           .select("workspace_id", "scope", "resource_id", "_n", "_cost", F.inline(pairs))
            .filter(F.col("value").isNotNull()))
     rt, _ = bounded_broadcast(policy_rules(spark, rules), known_rows=len(rules))
     v = F.col("value")
@@ -61,8 +64,8 @@ def policy_compliance(usage: DataFrame, rules: Sequence[tuple] = POLICY_RULES) -
     j = src.join(rt, ["scope", "field"]).filter(violated)
     return (j.groupBy("policy", "field", "kind", "workspace_id", "resource_id",
                       F.col("value").alias("observed_value"))
-            .agg(F.count(F.lit(1)).alias("violating_records"),
-                 money_sum("estimated_cost_usd").alias("violating_cost_usd"))
+            .agg(F.sum("_n").alias("violating_records"),
+                 money_sum("_cost").alias("violating_cost_usd"))
             .orderBy(F.desc_nulls_last("violating_cost_usd"), "policy", "field", "workspace_id"))
 
 
@@ -102,15 +105,17 @@ def budget_status(usage: DataFrame, as_of, days: int = 7,
     lo, hi = _days_back(as_of, days)
     key_of = {"workspace": F.col("workspace_id"), "warehouse": M.field("warehouse_id"),
               "pipeline": M.field("pipeline_id")}
-    keys = F.array(*[F.struct(F.lit(k).alias("scope_kind"), key_of[k].alias("scope_id"))
+    keys = F.array(*[F.struct(F.lit(k).alias("scope_kind"), F.col(f"_{k}").alias("scope_id"))
                      for k in kinds])
     daily = (within(usage, lo=lo, hi=hi)
              .select(F.to_date("usage_start_time").alias("usage_date"), "usage_quantity",
                      "workspace_id", M.parsed().alias(M.META_COL))
-             .select("usage_date", "usage_quantity", F.inline(keys))
+             .groupBy("usage_date", *[key_of[k].alias(f"_{k}") for k in kinds])
+             .agg(F.sum("usage_quantity").alias("_q"))
+             .select("usage_date", "_q", F.inline(keys))
              .filter(F.col("scope_id").isNotNull())
              .groupBy("usage_date", "scope_kind", "scope_id")
-             .agg(F.sum("usage_quantity").alias("_dbus")))
+             .agg(F.sum("_q").alias("_dbus")))
     pct = ratio(F.col("_dbus").cast("double") * 100, "daily_dbu_limit")
     return (daily.join(bt, ["scope_kind", "scope_id"])
             .select("usage_date", "scope_kind", "scope_id",

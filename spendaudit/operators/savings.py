@@ -179,13 +179,17 @@ def waste_summary(usage: DataFrame, rules: Sequence[SavingsRule] = DEFAULT_RULES
 
 
 def dataset_profile(usage: DataFrame) -> DataFrame:
-    """Row count, date range, totals and distinct workspaces / SKUs."""
+    """Row count, date range, totals and distinct workspaces / SKUs, from one row per
+    (workspace, SKU): the distinct counts expand those, not the records."""
     day = F.to_date("usage_start_time")
-    return usage.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.min(day).alias("first_date"),
-        F.max(day).alias("last_date"),
-        money_round(F.sum("usage_quantity")).alias("total_dbus"),
-        money_round(F.sum("estimated_cost_usd")).alias("total_cost_usd"),
+    groups = usage.groupBy("workspace_id", "sku_name").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(day).alias("_first"), F.max(day).alias("_last"),
+        F.sum("usage_quantity").alias("_dbus"), F.sum("estimated_cost_usd").alias("_cost"))
+    return groups.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_records"),
+        F.min("_first").alias("first_date"),
+        F.max("_last").alias("last_date"),
+        money_round(F.sum("_dbus")).alias("total_dbus"),
+        money_round(F.sum("_cost")).alias("total_cost_usd"),
         F.count_distinct("workspace_id").alias("unique_workspaces"),
         F.count_distinct("sku_name").alias("unique_skus"))

@@ -93,3 +93,12 @@ def test_raw_shuffle_checker_detects_a_raw_repartition(spark):
     u = ev.usage_table(spark, SF_SMALL)
     assert _raw_row_exchanges(plan(u.repartition(4, "workspace_id"))) != []
     assert _raw_row_exchanges(plan(u.groupBy("workspace_id").count())) == []
+
+
+@pytest.mark.parametrize("name", ["policy_compliance", "budget_status", "dataset_profile"])
+def test_records_are_aggregated_before_rows_multiply(spark, name):
+    """Deeper in the tree is later in the text: the first aggregate over usage lies below
+    every Generate and Expand."""
+    p = plan(registry.queries()[name](spark, SF_SMALL))
+    assert max(p.rfind("Generate"), p.rfind("Expand")) < p.rindex("HashAggregate")
+    assert "Generate" in p or "Expand" in p
