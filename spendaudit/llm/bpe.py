@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, whole_text
+from .common import release_memory, slices, whole_text
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 LONG_PIECE = 192       # bytes; longer pieces take the position-row query
@@ -152,6 +152,12 @@ class Codec:
         self.db.unregister("vocab_in")
         self.pieces, self.segments = Memory(), Memory()
 
+    def forget(self) -> None:
+        """Give back what was remembered: an idle worker holds the tables alone."""
+        self.pieces, self.segments = Memory(), Memory()
+        self.db.execute("DROP TABLE IF EXISTS first")
+        release_memory()
+
     # -- encoding ---------------------------------------------------------------
     def _pieces(self, segment: str) -> list[str]:
         """Matches of the pattern; a word, alone or with one mark after it, needs no search."""
@@ -272,6 +278,12 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
+        try:
+            yield from encoded(c, batches)
+        finally:
+            c.forget()
+
+    def encoded(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, CHARS):
             texts = batch.column(1).to_pylist()
             ids = c.encode(texts)

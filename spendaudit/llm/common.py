@@ -3,6 +3,7 @@ landing tables in the shared folder and joins that survive a hot key."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -116,3 +117,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterato
         starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
         for i, j in zip(starts, starts[1:] + [len(lengths)]):
             yield batch.slice(i, j - i)
+
+
+def release_memory() -> None:
+    """Unused memory of a Python worker back to the system, where the allocators can: workers
+    outlive their tasks, and what an idle one holds counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
