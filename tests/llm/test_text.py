@@ -34,6 +34,14 @@ def test_automaton_against_edit_distance():
         assert auto.match(w) == want, w
 
 
+def test_automaton_admits_swaps():
+    auto = toxicity.LexiconAutomaton(["idiot", "moron", "scum"])
+    for w in ["idoit", "diiot", "idito", "omron", "morno"]:
+        assert auto.match(w) == toxicity.FUZZY, w
+    for w in ["idtoi", "dioit", "idoitt", "omrno", "sucm"]:
+        assert auto.match(w) == toxicity.NONE, w
+
+
 def test_quotation_is_not_abuse():
     m = toxicity.Matcher(toxicity.ToxicityModel(("idiot",)))
     assert toxicity.hits("you are an idiot", m)[:3] == (1, 0, 0)
@@ -64,6 +72,30 @@ def test_toxicity_learns_and_filters(spark):
     assert empty.words == () and toxicity.with_score(docs.limit(0), empty, score_col="s").count() == 0
 
 
+def test_misspelled_terms_alone_reject(spark):
+    """The labelled texts hold exact terms only."""
+    random.seed(5)
+    calm = "amber brook cedar delta ember flint grove haven inlet jetty".split()
+    rows, labels = [], []
+    for i in range(400):
+        words = [random.choice(calm) + str(random.randrange(50)) for _ in range(30)]
+        if i % 8 == 0:
+            words[i % 29] = random.choice(["moron", "idiot"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 8 == 0)))
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"),
+                           spark.createDataFrame(labels, "doc_id long, toxic int"),
+                           lambda c: F.lit(True))
+    assert model.words == ("idiot", "moron")
+    texts = [(1, "amber m0ron brook"), (2, "amber idoit brook"), (3, "mroon idi0t idito moorn"),
+             (4, "amber moron brook"), (5, "amber brook"), (6, 'the word "idoit" is old')]
+    got = {r.doc_id: r.score for r in toxicity.with_score(
+        spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert all(got[i] >= toxicity.THRESHOLD for i in (1, 2, 3, 4))
+    assert got[5] < toxicity.THRESHOLD and got[6] < toxicity.THRESHOLD
+    assert got[1] < got[4]   # the discount
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Big  &amp; bold</h1><p>First para&shy;graph<br>of text.<div class="ad">Buy</div>
