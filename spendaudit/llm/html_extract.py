@@ -7,6 +7,9 @@ contiguous region of the largest total.  The weights come from labelled pages: p
 mark their article (one ``article`` or ``main`` element) tell, for every kind of
 container and tag, how many words lie inside and outside of it; fixed prior counts stand
 for containers that the labelled pages do not show.
+
+Inside a container of boilerplate that container decides, however strong the evidence of
+the article around it is.  Tags are charged where words do not score positive.
 """
 
 from __future__ import annotations
@@ -54,6 +57,9 @@ BOILERPLATE = frozenset(
     "teaser toolbar topbar widget widgets alert complementary contentinfo discussion responses "
     "feedback legal copyright toc rail".split())
 ARTICLE_NAMES = frozenset("article articlebody content entry main post story".split())
+# Containers that decide alone.  WRAPPERS may also be put around a whole page.
+WRAPPERS = frozenset("form header label fieldset search #boilerplate".split())
+DECIDING = WRAPPERS | frozenset("nav aside footer menu dialog".split())
 PRIOR_BOILERPLATE, PRIOR_ARTICLE = (2, 998), (800, 200)
 TAG_COST = 1.0         # of a tag that never occurs inside articles
 WORD_CAP = 1.0         # score of a word, at most, either way
@@ -64,10 +70,13 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label|hidden|style)\b(?:\s*=\s*"
                         r"(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
+_ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 
 
-def names_in(attributes: str) -> tuple[str, ...]:
-    """Boilerplate or article features of a tag's class, id and role."""
+def names_in(attributes: str, name: str = "", inside: bool = False) -> tuple[str, ...]:
+    """Boilerplate or article features of a tag's class, id and role.  Names on the page
+    itself or on its main element say nothing about boilerplate, nor do those of an
+    article that is also named as one, nor does a header inside an article."""
     out = set()
     for m in _ATTRIBUTE.finditer(attributes):
         kind = m.group(1).lower()
@@ -77,7 +86,9 @@ def names_in(attributes: str) -> tuple[str, ...]:
         elif kind in ("class", "id", "role", "itemprop"):
             value = re.sub(r"[^a-z0-9]+", " ", value)
             found = set(_NAME.findall(value))
-            if found & BOILERPLATE:
+            harmless = (name in ("html", "body", "main")
+                        or (name == "article" and found & ARTICLE_NAMES))
+            if not harmless and found & BOILERPLATE - ({"header"} if inside else set()):
                 out.add("#boilerplate")
             elif found & ARTICLE_NAMES:
                 out.add("#article")
@@ -87,7 +98,8 @@ def names_in(attributes: str) -> tuple[str, ...]:
 @dataclass
 class Block:
     """A run of text between block tags: its words joined by single spaces, the features of
-    the containers around it, and the tags since the block before."""
+    the containers around it (without wrappers of the whole article), and the tags since
+    the block before."""
     text: str
     context: tuple[str, ...]
     tags: tuple[str, ...]
@@ -98,7 +110,9 @@ def parse(html: str) -> list[Block]:
     """Blocks of a page in order.  Comments, and elements that hold no page text, are
     skipped; tags that are never closed or never opened are put up with."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []   # open elements and their features
+    # open elements, each with the context and article depth around it
+    stack: list[tuple[str, tuple[str, ...], int]] = []
+    sole = len(_ARTICLE.findall(html)) == 1
     parts: list[str] = []
     tags: list[str] = []
     context: tuple[str, ...] = ()
@@ -113,13 +127,23 @@ def parse(html: str) -> list[Block]:
                 blocks.append(Block(text, context, tuple(tags), depth_article > 0))
                 tags = []
 
-    def reset():
+    def leave() -> str:
+        nonlocal context, depth_article
+        top, context, depth_article = stack.pop()
+        return top
+
+    def enter(name: str, features: tuple[str, ...]):
         nonlocal context, depth_article
-        seen: list[str] = []
-        for _, features in stack:
-            seen += [f for f in features if f not in seen]
-        context = tuple(seen)
-        depth_article = sum(name in ("article", "main") for name, _ in stack)
+        stack.append((name, context, depth_article))
+        if name in ("article", "main"):
+            if not depth_article:   # what wraps the article is no boilerplate inside it
+                named = sole or name == "main"
+                context = tuple(f for f in context if f not in WRAPPERS
+                                or (f == "#boilerplate" and not named))
+            depth_article += 1
+        new = tuple(f for f in features if f not in context)
+        if new:
+            context += new
 
     lower = None
     at, end = 0, len(html)
@@ -155,15 +179,9 @@ def parse(html: str) -> list[Block]:
             flush()
         if m.group(1):
             tags.append(name)
-            if any(name == x for x, _ in stack):
-                changed = False
-                while stack:
-                    top, features = stack.pop()
-                    changed = changed or bool(features)
-                    if top == name:
-                        break
-                if changed:
-                    reset()
+            if any(name == x[0] for x in stack):
+                while leave() != name:
+                    pass
             continue
         tags.append(name)
         if name in VOID or m.group(3).endswith("/"):
@@ -172,17 +190,15 @@ def parse(html: str) -> list[Block]:
             # a paragraph ends where another block starts
             while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a", "u",
                                              "small", "font"):
-                if not any(x == "p" for x, _ in stack[-4:]):
+                if not any(x[0] == "p" for x in stack[-4:]):
                     break
-                stack.pop()
-        features = names_in(m.group(3)) if m.group(3) else ()
-        if name in CONTAINERS:
-            inside = any(x in ("article", "main") for x, _ in stack)
-            features = ((name,) if not (name == "header" and inside) else ()) + features
-        stack.append((name, features))
+                leave()
+        features = names_in(m.group(3), name, depth_article > 0) if m.group(3) else ()
+        if name in CONTAINERS and not (name == "header" and depth_article):
+            features = (name,) + features
+        enter(name, features)
         if len(stack) > 200:      # runaway nesting of tags that are never closed
             del stack[100:150]
-        reset()
     flush()
     return blocks
 
@@ -207,8 +223,10 @@ class Weights:
     tag: dict[str, float]
 
     def of(self, context: tuple[str, ...]) -> float:
-        """Score of a word: the summed evidence of its containers, squashed."""
-        z = sum(self.word.get(f, 0.0) for f in context)
+        """Score of a word: the evidence of the strongest boilerplate container, or the
+        summed evidence if there is none, squashed."""
+        against = min((self.word.get(f, 0.0) for f in context if f in DECIDING), default=0.0)
+        z = against if against < 0 else sum(self.word.get(f, 0.0) for f in context)
         return WORD_CAP * math.tanh(z)
 
 
@@ -270,7 +288,7 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> Weights:
         total: Counter = Counter()
         for batch in slices(batches, 0, CHARS):
             for html in batch.column(0).to_pylist():
-                if len(re.findall(r"<(?:article|main)\b", html, re.I)) == 1:
+                if len(_ARTICLE.findall(html)) == 1:
                     one: Counter = Counter()
                     _add(one, parse(html))
                     for k, n in one.items():

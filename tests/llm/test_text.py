@@ -116,6 +116,27 @@ def test_main_text(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+def test_boilerplate_decides_against_many_labelled_pages():
+    """Weights of a large labelled set that shows no aside, form or section."""
+    counts = {"w+article": 10 ** 6, "w+body": 10 ** 6, "w+p": 10 ** 6, "w-body": 10 ** 5,
+              "w-p": 10 ** 4, "w-nav": 10 ** 5, "t+p": 10 ** 5, "t-p": 10 ** 3}
+    weights = html_extract.weights_from(counts)
+    def got(body, tag="<body>"):
+        return html_extract.extract(f"<html>{tag}{body}</body></html>", weights)
+    rest = "one two three four five six seven eight nine ten"
+    for block in ("<aside><p>No no</p></aside>", "<form><p>No no</p></form>",
+                  "<section class='comments'><p>No no</p></section>",
+                  "<div class='sidebar'><div><p>No no</p></div></div>",
+                  "<section class='comments'><article><p>No no</p></article></section>"):
+        assert got(f"<article><p>{rest}</p>{block}<p>{rest}</p></article>") == f"{rest}\n{rest}"
+        assert got(f"{block}<article><p>One two</p></article>{block}") == "One two"
+    article = "<article><p>One two</p></article>"
+    for page in (article, f"<form>{article}</form>", f"<div class='page sidebar'>{article}</div>"):
+        assert got(page) == "One two"
+    assert got("<article class='post tag-search'><p>One two</p></article>",
+               "<body class='has-sidebar'>") == "One two"
+
+
 def test_best_region():
     random.seed(6)
     for _ in range(200):
