@@ -29,9 +29,12 @@ from pyspark.sql import types as T
 from .common import slices
 
 CHARS = 4_000_000
-# Fixed values.  Elements whose content is never page text.
-SKIPPED = frozenset("script style noscript template head title svg math iframe object canvas "
-                    "textarea select option button audio video datalist".split())
+# Fixed values.  Elements whose content is never page text.  That of RAW elements is no
+# markup and goes on to the end of the page without an end tag; any other element without
+# an end tag is an ordinary one.
+RAW = frozenset("script style title textarea iframe".split())
+SKIPPED = RAW | frozenset("noscript template head svg annotation annotation-xml canvas select "
+                          "option button audio video datalist".split())
 # Elements that end a block of text.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt "
                    "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
@@ -70,6 +73,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label|hidden|style)\b(?:\s*=\s*"
                         r"(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
+_RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for x in RAW}
 _ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 
 
@@ -95,6 +99,29 @@ def names_in(attributes: str, name: str = "", inside: bool = False) -> tuple[str
     return tuple(out)
 
 
+def element_ends(html: str) -> dict[int, int]:
+    """End of the whole element by the end of its start tag, for SKIPPED elements that are
+    not RAW and have an end tag of their own."""
+    ends: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    at = 0
+    while m := _TOKEN.search(html, at):
+        at = m.end()
+        name = m.group(2).lower() if m.group(2) else None
+        if name not in SKIPPED:
+            continue
+        if m.group(1):
+            if begun.get(name):
+                ends[begun[name].pop()] = at
+        elif not m.group(0).endswith("/>"):
+            if name in RAW:
+                close = _RAW_END[name].search(html, at)
+                at = close.end() if close else len(html)
+            else:
+                begun.setdefault(name, []).append(at)
+    return ends
+
+
 @dataclass
 class Block:
     """A run of text between block tags: its words joined by single spaces, the features of
@@ -112,6 +139,7 @@ def parse(html: str) -> list[Block]:
     blocks: list[Block] = []
     # open elements, each with the context and article depth around it
     stack: list[tuple[str, tuple[str, ...], int]] = []
+    opened: Counter = Counter()
     sole = len(_ARTICLE.findall(html)) == 1
     parts: list[str] = []
     tags: list[str] = []
@@ -130,11 +158,13 @@ def parse(html: str) -> list[Block]:
     def leave() -> str:
         nonlocal context, depth_article
         top, context, depth_article = stack.pop()
+        opened[top] -= 1
         return top
 
     def enter(name: str, features: tuple[str, ...]):
         nonlocal context, depth_article
         stack.append((name, context, depth_article))
+        opened[name] += 1
         if name in ("article", "main"):
             if not depth_article:   # what wraps the article is no boilerplate inside it
                 named = sole or name == "main"
@@ -145,7 +175,7 @@ def parse(html: str) -> list[Block]:
         if new:
             context += new
 
-    lower = None
+    ends = None
     at, end = 0, len(html)
     while at < end:
         m = _TOKEN.search(html, at)
@@ -160,15 +190,16 @@ def parse(html: str) -> list[Block]:
             continue
         name = name.lower()
         if name in SKIPPED:
-            if not m.group(1) and not m.group(0).endswith("/>"):
-                lower = html.lower() if lower is None else lower
-                if len(lower) != len(html):   # lower-casing changed lengths: search as is
-                    lower = html
-                close = lower.find("</" + name, at)
-                if name == "head" and close < 0:
-                    continue
-                stop = html.find(">", close) if close >= 0 else -1
-                at = stop + 1 if stop >= 0 else end
+            if m.group(1) or m.group(0).endswith("/>"):
+                continue
+            if name in RAW:
+                close = _RAW_END[name].search(html, at)
+                stop = close.end() if close else end
+            else:
+                ends = element_ends(html) if ends is None else ends
+                stop = ends.get(at)
+            if stop is not None:
+                at = stop
                 if name not in ("script", "style", "title", "head"):
                     parts.append(" ")
             continue
@@ -179,7 +210,7 @@ def parse(html: str) -> list[Block]:
             flush()
         if m.group(1):
             tags.append(name)
-            if any(name == x[0] for x in stack):
+            if opened[name]:
                 while leave() != name:
                     pass
             continue
@@ -197,8 +228,6 @@ def parse(html: str) -> list[Block]:
         if name in CONTAINERS and not (name == "header" and depth_article):
             features = (name,) + features
         enter(name, features)
-        if len(stack) > 200:      # runaway nesting of tags that are never closed
-            del stack[100:150]
     flush()
     return blocks
 

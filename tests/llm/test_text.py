@@ -137,6 +137,31 @@ def test_boilerplate_decides_against_many_labelled_pages():
                "<body class='has-sidebar'>") == "One two"
 
 
+def page_words(html):
+    return " ".join(b.text for b in html_extract.parse(html)).split()
+
+
+def test_parser_keeps_page_text():
+    assert page_words("<html><head><title>T</title><body><article><header><h1>Big</h1></header>"
+                      "<p>one</p></article>") == ["Big", "one"]
+    assert page_words("<head><title>T</title></head ><header>top</header>") == ["top"]
+    for name in ("button", "svg", "canvas", "audio", "video", "template", "option", "select"):
+        assert page_words(f"<p>one <{name}> two</p><p>three</p>") == ["one", "two", "three"]
+        assert page_words(f"<p>a <{name}>b<!-- </{name}> -->c</{name}> d</p>") == ["a", "d"]
+        assert page_words(f"<p>a <{name}>b</p><p>c <{name}>d</{name}> e") == ["a", "b", "c", "e"]
+    assert page_words("<article>a <math><mi>x</mi></math> <object>b</object> c") == [
+        "a", "x", "b", "c"]
+    assert page_words("<p>a <script>var x = 1;</scripts>b</p>") == ["a"]
+
+
+def test_parser_keeps_deep_containers():
+    for n in (50, 400, 20_000):
+        page = "<div>" * 110 + "<article>" + "<div>" * n + "<p>one" + "</div>" * n + "<p>two"
+        blocks = html_extract.parse(page)
+        assert [b.text for b in blocks] == ["one", "two"]
+        assert all(b.labelled and "article" in b.context for b in blocks)
+
+
 def test_best_region():
     random.seed(6)
     for _ in range(200):
