@@ -1,6 +1,7 @@
-"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
+"""Document fingerprints: invertible Bloom lookup sketches of passage digests.
 
-A text is cut into paragraphs (lines, long lines into sentences), each hashed to 64
+A text is cut into passages of a few words at places chosen by the words themselves, the
+first words one by one so that short texts have several passages too; each is hashed to 64
 bits.  The sketch is a fixed number of cells (count, key sum, check sum) that every
 digest is XORed into three times.  Subtracting the sketches of two versions leaves
 only the digests in which they differ, and peeling cells that hold one digest
@@ -26,45 +27,58 @@ from pyspark.sql import types as T
 from .common import whole_text
 
 CELLS = 24             # cells of a published fingerprint (three sub-tables)
-LONG_LINE = 400        # a line beyond this many characters is cut into sentences
-LONG_SENTENCE = 400    # and a sentence beyond this at words chosen by their content
+HEAD = 8               # so many first words of a text are passages of their own
+LONGEST = 16           # words of a passage at most
+LONG_WORD = 16         # a word beyond this many characters is cut like a text
 ROWS_PER_RANGE = 2048  # rows of one id range in ``neighbour_fingerprints``
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def paragraphs(text: str) -> list[str]:
-    """Lines of a text; long lines as sentences, and sentences without an end in
-    sight as passages that stop after words whose CRC is divisible by 8, so that cuts
-    stay where they are when the text changes elsewhere."""
+def pieces(word: str) -> list[str]:
+    """A long word (or text without spaces) in pieces of at most LONG_WORD characters, cut
+    after three characters whose CRC is divisible by 8."""
+    out, start = [], 0
+    for i in range(1, len(word) + 1):
+        if i - start >= LONG_WORD or (i - start >= 3
+                                      and not zlib.crc32(word[i - 3:i].encode()) & 7):
+            out.append(word[start:i])
+            start = i
+    if start < len(word):
+        out.append(word[start:])
+    return out
+
+
+def passages(text: str) -> list[str]:
+    """Passages of a text, in order: they end at line ends, after words whose CRC is
+    divisible by 8, and after LONGEST words, so that cuts stay where they are when the
+    text changes elsewhere.  The first HEAD words are passages of their own."""
     out: list[str] = []
+    head = HEAD
     for line in text.split("\n"):
-        if len(line) <= LONG_LINE:
-            if line:
-                out.append(line)
+        if not line:
             continue
-        for sentence in line.split(". "):
-            if len(sentence) <= LONG_SENTENCE:
-                if sentence:
-                    out.append(sentence)
-                continue
-            passage: list[str] = []
-            for word in sentence.split(" "):
-                passage.append(word)
-                if not zlib.crc32(word.encode()) & 7:
-                    out.append(" ".join(passage))
-                    passage = []
-            if passage:
-                out.append(" ".join(passage))
+        words = line.split(" ")
+        if len(line) > LONG_WORD and max(map(len, words)) > LONG_WORD:
+            words = [p for w in words for p in (pieces(w) if len(w) > LONG_WORD else (w,))]
+        if head:
+            out += words[:head]
+            words, head = words[head:], head - min(head, len(words))
+        start, n = 0, len(words)
+        for i, word in enumerate(words, 1):
+            if (i - start == LONGEST or i == n
+                    or (word and not zlib.crc32(word.encode()) & 7)):
+                out.append(" ".join(words[start:i]))
+                start = i
     return out
 
 
 def digests(text: str) -> list[int]:
-    """64-bit digests of the paragraphs.  The n-th repeat of a paragraph is hashed
+    """64-bit digests of the passages.  The n-th repeat of a passage is hashed
     with seed n, so repeats are told apart and do not cancel."""
     seen: dict[str, int] = {}
     out = []
-    for p in paragraphs(text):
+    for p in passages(text):
         n = seen.get(p, 0)
         seen[p] = n + 1
         out.append(xxhash.xxh64_intdigest(p.encode(), n))
@@ -147,8 +161,8 @@ def difference(a: list[int], b: list[int], sa: Sketch | None = None,
 
 
 def likeness(a: list[int], b: list[int], sa: Sketch, sb: Sketch) -> float:
-    """Share of both texts' paragraphs that the other has too, 0 to 1; two texts
-    without paragraphs are alike."""
+    """Share of both texts' passages that the other has too, 0 to 1; two texts
+    without passages are alike."""
     if not a and not b:
         return 1.0
     left, right = difference(a, b, sa, sb)
@@ -178,6 +192,7 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
                            rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Fingerprint of every text and of its edited version, and their likeness to each
     other and to the next document (descending id; after the last comes the first).
+    n_paragraphs counts passages.
 
     The texts are shuffled once, into ranges of ids; the first document of each range
     is also sent to the range before, so every row meets its successor in one task

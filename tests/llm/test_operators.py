@@ -86,6 +86,22 @@ def test_sketch_peels_and_retries():
     assert fingerprints.Sketch.from_text(s.to_text()).keys == s.keys
 
 
+def test_one_line_and_repetitive_texts_keep_likeness():
+    """An edit of the last third leaves about two thirds of the digests."""
+    following = " ".join(f"other{i}" for i in range(3000))
+    long_line = " ".join(f"word{i * i % 977}" for i in range(2000))
+    for text in (sentence(1, 10), sentence(2), sentence(3, 60), long_line, "Shti " * 400,
+                 "Shti" * 400, "x" * 5000, "".join(chr(0x4e00 + i * i % 997) for i in range(300)),
+                 " ".join(["Shti"] * 100) + "\n" + sentence(4)):
+        edited = fingerprints.edited_text(text, following)
+        a, b = fingerprints.digests(text), fingerprints.digests(edited)
+        near = fingerprints.likeness(a, b, fingerprints.Sketch(24, a), fingerprints.Sketch(24, b))
+        assert 0.5 <= near <= 0.9, (text[:30], near)
+    for text in (sentence(5, 40), "  a  b\tc ", " ", "x" * 40):   # nothing is lost
+        assert "".join("".join(fingerprints.passages(text)).split()) == "".join(text.split())
+    assert fingerprints.digests("a  b") != fingerprints.digests("a b")
+
+
 @pytest.mark.parametrize("per_range", [3, 2048])
 def test_neighbour_fingerprints(docs, rows, no_docs, per_range):
     got = fingerprints.neighbour_fingerprints(docs.where("doc_id <> 5"), rows_per_range=per_range)
