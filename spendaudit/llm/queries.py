@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, exact_dedup, fingerprints, html_extract, lm, merkle, mixing, sharding, simhash,
-               token_counts, toxicity, whitening)
+from . import (bpe, exact_dedup, fingerprints, html_extract, lm, merkle, mixing, quality, sharding,
+               simhash, token_counts, toxicity, whitening)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def crc_fold(folds: int, fold: int):
     return lambda c: F.crc32(c.cast("string")) % folds == fold
 
 
-def _train_toxicity(c):
+def _train_labelled(c):
     return ~crc_fold(3, 1)(c)
 
 
@@ -29,7 +29,7 @@ def _train_lm(c):
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.learn(documents(spark, sf_dir), labels, _train_toxicity)
+    return toxicity.learn(documents(spark, sf_dir), labels, _train_labelled)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,16 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.get("explained", "at").alias("explained"), "identity_error"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.with_score(docs, quality.learn(docs, labels, _train_labelled),
+                                score_col="score")
+    held_out = F.coalesce(crc_fold(3, 1)(F.col("doc_id")), F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.prove(documents(spark, sf_dir))
 
@@ -98,7 +108,8 @@ def queries() -> dict:
     import corpus_pipeline
     found = [op1_exact_dedup, op2_document_fingerprints, op3_toxicity, op4_token_counts,
              op5_source_mixing, op6_simhash, op7_sharding, op8_lm_scoring, op9_byte_bpe,
-             op10_html_extraction, op11_embedding_whitening, op13_merkle_manifest]
+             op10_html_extraction, op11_embedding_whitening, op12_quality_classifier,
+             op13_merkle_manifest]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
