@@ -139,14 +139,13 @@ def idle_clusters(usage: DataFrame, *, min_hours: int = 200, critical_hours: int
 
 
 def idle_clusters_ported(usage: DataFrame, prices: DataFrame, as_of, *,
-                         lookback_days: int = AUDIT_DAYS, known_price_rows: int | None = None,
-                         window_days: int = AUDIT_DAYS) -> DataFrame:
+                         lookback_days: int = AUDIT_DAYS, window_days: int = AUDIT_DAYS) -> DataFrame:
     """Idle clusters on the production schema: raw usage is costed by the
     list-price validity join over the last ``lookback_days`` before
     ``as_of``; no SUSPECT rung."""
     import datetime as dt
     lo = dt.datetime.combine(as_of, dt.time()) - dt.timedelta(days=lookback_days)
-    costed = with_list_cost(within(usage, lo=lo), prices, known_price_rows=known_price_rows)
+    costed = with_list_cost(within(usage, lo=lo), prices)
     return idle_clusters(costed, suspect_hours=None, window_days=window_days)
 
 

@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import meta as M
 from ..functions.classify import ladder, within
-from ..functions.costing import bounded_broadcast, with_list_cost
+from ..functions.costing import PriceIndex, with_list_cost
 from ..functions.money import money_round, money_sum, ratio, rounded
 from ..schema import (BUDGET_ALERT_PCT, BUDGET_PIPELINE_ID, BUDGET_WAREHOUSE_ID, GPU_INSTANCES, GPU_SKUS, INTERACTIVE_SKUS,
                       NON_PROD_ENVS, PIPELINE_DAILY_DBU_LIMIT, POLICY_RULES,
                       WAREHOUSE_DAILY_DBU_LIMIT, WORKSPACES)
-from ..plans.session import materialize
 from ..sources.lookups import literal_frame, policy_rules
 from .monitors import _days_back, gpu_utilization
 
@@ -54,7 +53,7 @@ def policy_compliance(usage: DataFrame, rules: Sequence[tuple] = POLICY_RULES) -
            .agg(F.count(F.lit(1)).alias("_n"), F.sum("estimated_cost_usd").alias("_cost"))
            .select("workspace_id", "scope", "resource_id", "_n", "_cost", F.inline(pairs))
            .filter(F.col("value").isNotNull()))
-    rt, _ = bounded_broadcast(policy_rules(spark, rules), known_rows=len(rules))
+    rt = F.broadcast(policy_rules(spark, rules))  # the rule list
     v = F.col("value")
     iv = v.try_cast("int")
     kind = F.col("kind")
@@ -90,17 +89,15 @@ def budget_status(usage: DataFrame, as_of, days: int = 7,
     its limit: OVER_LIMIT above 100 %, ALERT from ``alert_pct``.
 
     ``budgets`` is a list of (scope_kind, scope_id, daily_dbu_limit,
-    alert_pct) or a DataFrame with those columns; it is broadcast after its
-    size is checked and joined to the daily aggregates (never to raw rows)."""
+    alert_pct), which is broadcast, or a DataFrame with those columns, where Spark
+    chooses by its size; it is joined to the daily aggregates (never to raw rows)."""
     spark = usage.sparkSession
     if isinstance(budgets, DataFrame):
-        bt, _ = bounded_broadcast(budgets.select("scope_kind", "scope_id",
-                                                 "daily_dbu_limit", "alert_pct"))
+        bt = budgets.select("scope_kind", "scope_id", "daily_dbu_limit", "alert_pct")
         kinds = ["pipeline", "warehouse", "workspace"]
     else:
         budgets = list(budgets if budgets is not None else default_budgets())
-        bt, _ = bounded_broadcast(literal_frame(spark, budgets, BUDGET_DDL),
-                                  known_rows=len(budgets))
+        bt = F.broadcast(literal_frame(spark, budgets, BUDGET_DDL))  # the caller's list
         kinds = sorted({b[0] for b in budgets})
     lo, hi = _days_back(as_of, days)
     key_of = {"workspace": F.col("workspace_id"), "warehouse": M.field("warehouse_id"),
@@ -165,14 +162,13 @@ def off_hours_candidates(usage: DataFrame, as_of, days: int = 7,
 
     Off-hours usage is aggregated per cluster first; the workspace dimension
     (rows or a DataFrame with workspace_id, team, env) is joined to those
-    aggregates, broadcast when its size check allows."""
+    aggregates."""
     spark = usage.sparkSession
     if isinstance(workspace_rows, DataFrame):
-        ws, _ = bounded_broadcast(workspace_rows.select("workspace_id", "env", "team"))
+        ws = workspace_rows.select("workspace_id", "env", "team")
     else:
-        rows = list(workspace_rows)
-        ws, _ = bounded_broadcast(literal_frame(spark, rows, WORKSPACE_DDL)
-                                  .select("workspace_id", "env", "team"), known_rows=len(rows))
+        ws = F.broadcast(literal_frame(spark, list(workspace_rows), WORKSPACE_DDL)
+                         .select("workspace_id", "env", "team"))  # the caller's list
     lo, hi = _days_back(as_of, days)
     ts = F.col("usage_start_time")
     dow, hour = F.dayofweek(ts), F.hour(ts)  # Sunday=1 .. Saturday=7
@@ -192,35 +188,43 @@ def off_hours_candidates(usage: DataFrame, as_of, days: int = 7,
 
 
 # --------------------------------------------------------------------- R5
-def duplicate_rows(usage: DataFrame, id_col: str = "usage_record_id",
-                   max_candidates: int = 200_000) -> DataFrame:
+# Words of the filter that holds the hashes of repeated ids: 64 bits each.
+FILTER_WORDS = 1 << 16
+
+
+def duplicate_rows(usage: DataFrame, id_col: str = "usage_record_id") -> DataFrame:
     """One-row DataFrame: the number of records whose id occurs more than once.
 
-    Exact, and cheap to shuffle: ids are first grouped by their 64-bit hash
-    (8 bytes per row through the shuffle, copies of a hot id pre-aggregated
-    map-side); only the ids of colliding hash groups are then counted
-    exactly, through a broadcast semi-join when that candidate set passes
-    the size check, else by grouping the full ids."""
-    h = usage.select(F.col(id_col).alias("_id"), F.xxhash64(id_col).alias("_h"))
-    # Colliding hashes, computed once and checkpointed in the shared folder,
-    # so the size check and the semi-join do not each rerun the hash pass.
-    cand = materialize(h.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
-                       .filter(F.col("_n") > 1).select("_h"))
-    cand, small = bounded_broadcast(cand, max_candidates)
-    src = h.join(cand, "_h", "left_semi") if small else h
-    per_id = src.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
+    Exact, lazy, and cheap to shuffle.  Ids are first grouped by their 64-bit hash (8 bytes
+    a row through the shuffle, copies of a hot id combined on the map side).  The hashes
+    that occur more than once set bits of a filter, which an aggregation builds and which
+    has FILTER_WORDS rows at most, whatever the table: it is broadcast and probed by all
+    ids.  No repeated id is missed; those that pass are counted by the id itself.  The more
+    repeated ids there are, the more others pass with them, up to all: the plan and the
+    result stay the same.
+    """
+    id_, h = F.col(id_col), F.xxhash64(id_col)
+    word = F.pmod(F.col("_h"), F.lit(FILTER_WORDS)).alias("_word")
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(shiftright(_h, {FILTER_WORDS.bit_length() - 1}), 64) AS INT))")
+    ids = usage.select(id_.alias("_id"), h.alias("_h"))
+    bits = (ids.select("_h").groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+            .groupBy(word).agg(F.bit_or(bit).alias("_bits")))
+    suspects = (ids.withColumn("_word", word).join(F.broadcast(bits), "_word")
+                .where(F.col("_bits").bitwiseAND(bit) != 0))
+    per_id = suspects.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
     return per_id.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))
                       .cast("bigint").alias("failing_rows"))
 
 
 def quality_gates(usage: DataFrame, prices: DataFrame, *,
-                  known_price_rows: int | None = None) -> DataFrame:
+                  index: PriceIndex | None = None) -> DataFrame:
     """Failing rows per data-quality gate: duplicated record ids, records
     whose end is not start + 1 hour, records without a valid price, and price
-    periods overlapping the next period of the same SKU."""
+    periods overlapping the next period of the same SKU.  ``index`` is the
+    prices' index where it is already there."""
     costed = with_list_cost(
         usage.select("sku_name", "usage_start_time", "usage_end_time", "usage_quantity"),
-        prices, known_price_rows=known_price_rows)
+        index or prices)
     bad_duration = (F.col("usage_end_time").isNull()
                     | (F.col("usage_end_time") != F.col("usage_start_time") + F.expr("INTERVAL 1 HOUR")))
     counts = costed.agg(F.count_if(bad_duration).alias("bad"),

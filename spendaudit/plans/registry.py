@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.costing import with_catalog_cost
-from ..sources.usage_io import with_record_ids
+from ..sources.usage_io import number_records, with_record_ids
 from ..operators import audits, compliance, monitors, reports, savings
 from ..sources import events_usage as ev
 from ..streaming import hourly as stream_hourly
@@ -48,8 +48,8 @@ def queries() -> dict[str, Query]:
         "cluster_activity": _audit(audits.cluster_activity, window_days=ev.WINDOW_DAYS),
         "idle_clusters": _audit(audits.idle_clusters, window_days=ev.WINDOW_DAYS),
         "idle_clusters_ported": lambda spark, d: audits.idle_clusters_ported(
-            ev.usage_table(spark, d), ev.fixture_prices(spark), ev.AS_OF,
-            known_price_rows=ev.FIXTURE_PRICE_ROWS, window_days=ev.WINDOW_DAYS),
+            ev.usage_table(spark, d), ev.fixture_price_index(spark), ev.AS_OF,
+            window_days=ev.WINDOW_DAYS),
         "compute_efficiency": _audit(audits.compute_efficiency),
         "spend_spikes": _audit(audits.spend_spikes),
         "pipeline_waste": _audit(audits.pipeline_waste, window_days=ev.WINDOW_DAYS),
@@ -88,13 +88,14 @@ def queries() -> dict[str, Query]:
         "hourly_warehouse_cost": lambda spark, d: stream_hourly.as_hourly_cost_report(
             stream_hourly.hourly_warehouse_cost(_costed(spark, d))),
         "record_ids": lambda spark, d: with_record_ids(
-            ev.usage_table(spark, d).select(
-                F.col("usage_record_id").alias("source_id"), "workspace_id", "sku_name",
-                "usage_start_time", "usage_quantity")).select(
-            "source_id", "usage_record_id"),
+            ev.usage_table(spark, d).withColumnRenamed("usage_record_id", "source_id"),
+            ignore=("source_id",)).select("source_id", "usage_record_id"),
+        "record_sequence": lambda spark, d: number_records(
+            ev.redelivered_usage(spark, d)).select(
+            "usage_record_id", "usage_start_time", "occurrence", "record_seq"),
         "quality_gates": lambda spark, d: compliance.quality_gates(
             ev.usage_table(spark, d), ev.fixture_prices(spark),
-            known_price_rows=ev.FIXTURE_PRICE_ROWS),
+            index=ev.fixture_price_index(spark)),
     }
     return q
 

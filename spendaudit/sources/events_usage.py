@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from ..schema import MONEY, SKU_CATALOG, WORKSPACES
 from .lookups import literal_frame
-from .usage_io import (PARTITIONED_USAGE_SCHEMA, read_usage_parquet, write_table_once,
-                       write_usage)
+from ..functions.costing import PriceIndex, price_index
+from .usage_io import (PARTITIONED_USAGE_SCHEMA, read_price_index, read_usage_parquet,
+                       write_price_index, write_table_once, write_usage)
 
 SKUS = [s for s, _r, _c in SKU_CATALOG]
 
@@ -89,7 +90,7 @@ def usage_from_events(events: DataFrame) -> DataFrame:
 
 EVENTS_SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
                  "value DOUBLE, props STRING")
-ADAPTER_VERSION = "2"
+ADAPTER_VERSION = "3"
 
 
 def read_events_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +101,23 @@ def read_events_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
+def source_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, size, modification time) of the files of a table, listed through the file
+    system that Spark reads it with."""
+    conf = spark._jsc.hadoopConfiguration()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    found = fs.listFiles(at, True) if fs.getFileStatus(at).isDirectory() else None
+    out = []
+    while found is not None and found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    if found is None:
+        f = fs.getFileStatus(at)
+        out = [(f.getPath().toString(), f.getLen(), f.getModificationTime())]
+    return sorted(out)
+
+
 def usage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The usage fact derived from ``events``, stored the way production
     stores it: Parquet partitioned by ``usage_date``, written once into the
@@ -108,13 +126,12 @@ def usage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     with an explicit schema.  The table is immutable once written, so the
     DataFrame (and its file listing) is reused within the application."""
     import hashlib
-    import os
     from ..plans.session import ensure_checkpoint_dir
-    src = os.path.abspath(f"{sf_dir}/events.parquet")
-    st = os.stat(src)
+    src = f"{sf_dir}/events.parquet"
+    files = source_files(spark, src)
     tz = spark.conf.get("spark.sql.session.timeZone")  # the NTZ -> TIMESTAMP cast depends on it
     key = hashlib.sha1(
-        f"{src}|{st.st_size}|{st.st_mtime_ns}|{tz}|{ADAPTER_VERSION}".encode()).hexdigest()
+        f"{src}|{files}|{tz}|{ADAPTER_VERSION}".encode()).hexdigest()
     memo = (spark.sparkContext.applicationId, key)
     if memo not in _TABLES:
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/spendaudit-usage/{key[:16]}"
@@ -123,6 +140,18 @@ def usage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _TABLES[memo]
 
 
+def redelivered_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usage fact as a source that delivers at least once would send it: records of
+    every seventh event arrive twice, those of every 49th five times, and the records of
+    event 0 a third as often as there are events (one hot record)."""
+    events = spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    n = events.select((F.count(F.lit(1)) / 3).cast("int")).scalar()
+    usage = usage_table(spark, sf_dir)
+    event = F.col("usage_record_id").cast("bigint")
+    copies = (F.when(event == 0, n).when(event % 49 == 0, 5).when(event % 7 == 0, 2).otherwise(1))
+    return (usage.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy"))
+
+
 def fixture_prices(spark: SparkSession) -> DataFrame:
     """Catalogue rates valid from 2023 and open-ended, except: the premium
     interactive SKU costs 0.50 before 2024-01-15 and 0.55 after; the catalog
@@ -144,7 +173,18 @@ def fixture_prices(spark: SparkSession) -> DataFrame:
         F.col("e").cast("timestamp").alias("price_end_time"))
 
 
-FIXTURE_PRICE_ROWS = len(SKU_CATALOG)  # 11 priced SKUs, one of them with two periods
+_INDEXES: dict[str, PriceIndex] = {}
+
+
+def fixture_price_index(spark: SparkSession) -> PriceIndex:
+    """The index of ``fixture_prices``, written once per application to the shared folder."""
+    from ..plans.session import ensure_checkpoint_dir
+    app = spark.sparkContext.applicationId
+    if app not in _INDEXES:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/spendaudit-prices/{app}"
+        write_price_index(price_index(fixture_prices(spark)), path, mode="overwrite")
+        _INDEXES[app] = read_price_index(spark, path)
+    return _INDEXES[app]
 
 
 def fixture_workspace_id(n: int) -> str:
@@ -163,8 +203,7 @@ def fixture_labels() -> dict[str, str]:
 def fixture_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costed usage of an sf directory (list-price validity join)."""
     from ..functions.costing import with_list_cost
-    return with_list_cost(usage_table(spark, sf_dir), fixture_prices(spark),
-                          known_price_rows=FIXTURE_PRICE_ROWS)
+    return with_list_cost(usage_table(spark, sf_dir), fixture_price_index(spark))
 
 
 def fixture_rules():

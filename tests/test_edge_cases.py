@@ -78,10 +78,44 @@ def test_unknown_sku_and_price_change_boundary(spark, make_usage):
                         (PREM, "0.55", "2024-01-15 00:00:00", None)])
     lst = {r.usage_record_id: r.estimated_cost_usd for r in with_list_cost(u, p).collect()}
     assert lst["1"] is None and float(lst["2"]) == 5.0 and float(lst["3"]) == 5.5
-    # the bucketed fallback (no broadcast) gives the same answer
-    fb = {r.usage_record_id: r.estimated_cost_usd
-          for r in with_list_cost(u, p, max_broadcast_rows=0).collect()}
-    assert fb == lst
+
+
+def test_validity_index_equals_the_plain_join(spark, make_usage):
+    """Overlapping, adjacent, open-ended, empty and reversed periods, periods without start
+    or rate, SKUs whose prices all end: the index gives the rows of the left join, also
+    with both joins shuffled."""
+    import random
+    random.seed(11)
+    days = [f"20{y:02d}-{m:02d}-{d:02d} {h:02d}:00:00" for y in range(20, 26) for m in (1, 6, 12)
+            for d in (1, 28) for h in (0, 13)]
+    rows = [(sku, random.choice(["0.1", "0.25", None]), random.choice(days + [None]),
+             random.choice(days + [None, None, None])) for sku in "ABCDEF" for _ in range(12)]
+    rows += [("G", "0.5", "2021-01-01 00:00:00", None), ("H", "0.5", "2021-01-01 00:00:00",
+                                                         "2021-01-01 00:00:01")]
+    p = _prices(spark, rows)
+    u = make_usage([(f"{sku}{i}{j}", "ws", sku, f"{t[:17]}0{j}", "3", None, None)
+                    for sku in [*"ABCDEFGH", None] for i, t in enumerate(days) for j in range(2)]
+                   + [("no-time", "ws", "A", None, "3", None, None)], with_cost=False)
+    valid = ((F.col("usage_start_time") >= F.col("price_start_time"))
+             & (F.col("price_end_time").isNull()
+                | (F.col("usage_start_time") < F.col("price_end_time"))))
+    plain = (u.join(p.withColumnRenamed("sku_name", "k"), (F.col("sku_name") == F.col("k")) & valid, "left")
+             .select("usage_record_id", F.round(F.col("usage_quantity") * F.col("pricing.default"), 4)
+                     .cast("decimal(18,4)").alias("estimated_cost_usd")))
+
+    def listed(df):
+        return sorted(map(repr, df.select("usage_record_id", "estimated_cost_usd").collect()))
+    want = listed(plain)
+    assert len(want) > u.count()  # overlaps duplicate records
+    assert listed(with_list_cost(u, p)) == want
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        shuffled = with_list_cost(u, p)
+        assert "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
+        assert listed(shuffled) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
 
 
 def test_quality_gates_report_overlaps_duplicates_durations(spark, make_usage):

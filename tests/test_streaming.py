@@ -131,7 +131,7 @@ def test_t1_costs_a_raw_stream_with_the_price_join(spark, drops, tmp_path):
     base, u = drops
     raw = S.read_usage_stream(spark, str(base / "in"), max_files_per_trigger=10, costed=False,
                               recursiveFileLookup="true")
-    costed = with_list_cost(raw, ev.fixture_prices(spark), known_price_rows=ev.FIXTURE_PRICE_ROWS)
+    costed = with_list_cost(raw, ev.fixture_prices(spark))
     out = S.hourly_warehouse_cost_stream(costed, watermark="1 hour")
     q = (S.as_hourly_cost_report(out).writeStream.outputMode("append").format("parquet")
          .option("path", str(tmp_path / "t1raw"))
