@@ -86,8 +86,22 @@ def warehouse_hourly(usage: DataFrame, lo=None, hi=None) -> DataFrame:
         F.sum(M.long_field("query_count_hourly")).alias("total_queries"))
 
 
+def spike_report(judged: DataFrame, warn_x: float = 2.0, critical_x: float = 5.0,
+                 carry: tuple[str, ...] = ()) -> DataFrame:
+    """Spike rows of hourly rows whose ``hourly_cost`` is above ``warn_x`` times their
+    baseline ``_base``."""
+    cost, avg = F.col("hourly_cost"), F.col("_base")
+    return (judged.filter(cost > avg * warn_x)
+            .select("hour_bucket", "workspace_id", "warehouse_name", "hourly_cost",
+                    rounded(avg, 4).alias("avg_24h_cost"), "total_queries",
+                    rounded(F.try_divide(cost - avg, avg) * 100, 1).alias("pct_above_baseline"),
+                    ladder([(cost > avg * critical_x, "CRITICAL"),
+                            (cost > avg * warn_x, "WARNING")], "NORMAL").alias("alert_level"),
+                    *carry))
+
+
 def hourly_spikes(hourly: DataFrame, *, baseline_rows: int = 24, warn_x: float = 2.0,
-                  critical_x: float = 5.0) -> DataFrame:
+                  critical_x: float = 5.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """Spike rows of warehouse-hour aggregates (``warehouse_hourly`` output):
     hourly cost above ``warn_x`` times the mean of the warehouse's previous
     ``baseline_rows`` hour rows.  Rows of one warehouse are ordered by
@@ -97,14 +111,8 @@ def hourly_spikes(hourly: DataFrame, *, baseline_rows: int = 24, warn_x: float =
          .orderBy("hour_bucket", "workspace_id", "warehouse_name")
          .rowsBetween(-baseline_rows, -1))
     base = ratio(F.sum("_hc").over(w), F.count("_hc").over(w))
-    b = hourly.withColumn("hourly_cost", F.col("_hc").cast("double")).withColumn("_base", base)
-    cost, avg = F.col("hourly_cost"), F.col("_base")
-    return (b.filter(cost > avg * warn_x)
-            .select("hour_bucket", "workspace_id", "warehouse_name", "hourly_cost",
-                    rounded(avg, 4).alias("avg_24h_cost"), "total_queries",
-                    rounded(F.try_divide(cost - avg, avg) * 100, 1).alias("pct_above_baseline"),
-                    ladder([(cost > avg * critical_x, "CRITICAL"),
-                            (cost > avg * warn_x, "WARNING")], "NORMAL").alias("alert_level")))
+    return spike_report(hourly.withColumn("hourly_cost", F.col("_hc").cast("double"))
+                        .withColumn("_base", base), warn_x, critical_x, carry)
 
 
 def warehouse_hourly_spikes(usage: DataFrame, as_of_ts, *, window_hours: int = 24,

@@ -3,17 +3,20 @@ through the events adapter and the price join into one operator."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from ..functions.costing import with_catalog_cost
+from ..functions.costing import with_catalog_cost, with_list_cost
 from ..sources.usage_io import number_records, with_record_ids
 from ..operators import audits, compliance, monitors, reports, savings
 from ..sources import events_usage as ev
 from ..streaming import hourly as stream_hourly
+from ..streaming import spikes
+from .session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +44,45 @@ def record_costs(df: DataFrame) -> DataFrame:
                      F.col("estimated_cost_usd").cast("double").alias("estimated_cost_usd"))
 
 
+def _fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/spendaudit-{name}-{uuid.uuid4().hex}"
+
+
+def _usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored usage fact as a stream, costed by the stream-static price join."""
+    stream = stream_hourly.read_usage_stream(spark, ev.usage_table_path(spark, sf_dir), costed=False)
+    return with_list_cost(stream, ev.fixture_price_index(spark))
+
+
+def hourly_cost_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _fresh_folder(spark, "hourly")
+    stream_hourly.run_hourly_costs(_usage_stream(spark, sf_dir), folder)
+    return stream_hourly.as_hourly_cost_report(stream_hourly.hourly_costs(spark, folder))
+
+
+def spike_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _fresh_folder(spark, "spikes")
+    spikes.run_spike_alerts(
+        stream_hourly.hourly_warehouse_cost_stream(_usage_stream(spark, sf_dir)), folder)
+    return spikes.spike_alerts(spark, folder)
+
+
+def deduped_usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries come in two waves, each record's first ones (with copies, one record hot)
+    and then more copies of some, most of them later than the watermark; the stream is
+    stopped in between."""
+    folder = _fresh_folder(spark, "dedup")
+    sent = ev.redelivered_usage(spark, sf_dir).drop("usage_date")
+    schema = stream_hourly.USAGE_SCHEMA
+    for wave in (sent, sent.where("CAST(usage_record_id AS BIGINT) % 7 = 0")):
+        wave.write.mode("append").parquet(f"{folder}/deliveries")
+        stream_hourly.run_dedup(stream_hourly.read_usage_stream(
+            spark, f"{folder}/deliveries", costed=False), folder)
+    return stream_hourly.deduped(spark, folder, schema).select(
+        "usage_record_id", "workspace_id", "sku_name", "usage_start_time",
+        F.col("usage_quantity").cast("double").alias("usage_quantity"))
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "top_cost_centers": _audit(audits.top_cost_centers),
@@ -87,6 +129,9 @@ def queries() -> dict[str, Query]:
                                        workspace_rows=ev.fixture_workspace_rows()),
         "hourly_warehouse_cost": lambda spark, d: stream_hourly.as_hourly_cost_report(
             stream_hourly.hourly_warehouse_cost(_costed(spark, d))),
+        "hourly_warehouse_cost_stream": hourly_cost_stream,
+        "spike_alert_stream": spike_alert_stream,
+        "deduped_usage_stream": deduped_usage_stream,
         "record_ids": lambda spark, d: with_record_ids(
             ev.usage_table(spark, d).withColumnRenamed("usage_record_id", "source_id"),
             ignore=("source_id",)).select("source_id", "usage_record_id"),

@@ -118,25 +118,27 @@ def source_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     return sorted(out)
 
 
-def usage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The usage fact derived from ``events``, stored the way production
+def usage_table_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the usage fact derived from ``events``, stored the way production
     stores it: Parquet partitioned by ``usage_date``, written once into the
-    session's shared checkpoint folder (keyed by the source file's path,
-    size and modification time and the session time zone) and read back
-    with an explicit schema.  The table is immutable once written, so the
-    DataFrame (and its file listing) is reused within the application."""
+    session's shared checkpoint folder (keyed by the source files' paths,
+    sizes and modification times and the session time zone)."""
     import hashlib
     from ..plans.session import ensure_checkpoint_dir
     src = f"{sf_dir}/events.parquet"
-    files = source_files(spark, src)
     tz = spark.conf.get("spark.sql.session.timeZone")  # the NTZ -> TIMESTAMP cast depends on it
     key = hashlib.sha1(
-        f"{src}|{files}|{tz}|{ADAPTER_VERSION}".encode()).hexdigest()
-    memo = (spark.sparkContext.applicationId, key)
+        f"{src}|{source_files(spark, src)}|{tz}|{ADAPTER_VERSION}".encode()).hexdigest()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/spendaudit-usage/{key[:16]}"
+    return write_table_once(spark, lambda: read_events_usage(spark, sf_dir), path, write_usage)
+
+
+def usage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored usage fact, read with an explicit schema.  The table is immutable once
+    written, so the DataFrame (and its file listing) is reused within the application."""
+    memo = (spark.sparkContext.applicationId, usage_table_path(spark, sf_dir))
     if memo not in _TABLES:
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/spendaudit-usage/{key[:16]}"
-        write_table_once(spark, lambda: read_events_usage(spark, sf_dir), path, write_usage)
-        _TABLES[memo] = read_usage_parquet(spark, path, PARTITIONED_USAGE_SCHEMA)
+        _TABLES[memo] = read_usage_parquet(spark, memo[1], PARTITIONED_USAGE_SCHEMA)
     return _TABLES[memo]
 
 

@@ -2,29 +2,28 @@
 
 * ``hourly_warehouse_cost_stream`` (T1): event-time hourly warehouse cost
   with a watermark, emitted once per closed hour (append mode).
-* ``spike_alert_batch`` (T2): row-count frames are not supported on
-  streams, so a ``foreachBatch`` sink appends each batch of closed hours to
-  an hourly table and evaluates the batch spike rule (``hourly_spikes``) on
-  the new hours against that table (exact 24-row frames, date-pruned reads).
+* T2, spike alerts on these hours, is in ``spikes``.
 * ``dedup_records`` (T3): drops re-delivered usage records by id within the
   watermark (state is bounded by the watermark, not by the stream's length);
   ``dedup_records_combining`` is the form that pre-aggregates copies before
   the shuffle, for sources where one record may be re-delivered en masse.
 
+``run_hourly_costs`` and ``run_dedup`` run T1 and T3 into Parquet tables; ``hourly_costs``
+and ``deduped`` read them back together with what the streams' state still holds.
+
 Sources are file streams of usage records (``readStream.schema(...)``), so
 the same code runs on Parquet drops or any other streaming source.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import meta as M
-from ..operators.monitors import hourly_spikes
 from ..schema import COSTED_USAGE_SCHEMA, SQL_SKUS, USAGE_SCHEMA
+from .sink import open_groups, read_table, run_available
 
 
 def read_usage_stream(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -40,6 +39,9 @@ def read_usage_stream(spark: SparkSession, path: str, fmt: str = "parquet",
     return r.load(path)
 
 
+DEDUP_KEYS = ("usage_record_id", "usage_start_time")
+
+
 def dedup_records(stream: DataFrame, watermark: str = "24 hours") -> DataFrame:
     """T3: at-most-once per ``usage_record_id`` within the watermark."""
     return (stream.withWatermark("usage_start_time", watermark)
@@ -53,12 +55,11 @@ def dedup_records_combining(stream: DataFrame, watermark: str = "24 hours") -> D
     partial aggregation before the shuffle, so even a re-delivery storm of
     one record does not land in one task; each record is emitted once the
     watermark passes its start time (append mode)."""
-    keys = ["usage_record_id", "usage_start_time"]
-    rest = [c for c in stream.columns if c not in keys]
+    rest = [c for c in stream.columns if c not in DEDUP_KEYS]
     return (stream.withWatermark("usage_start_time", watermark)
-            .groupBy(*keys)
+            .groupBy(*DEDUP_KEYS)
             .agg(F.min(F.struct(*rest)).alias("_row"))
-            .select(*keys, "_row.*")
+            .select(*DEDUP_KEYS, "_row.*")
             .select(*stream.columns))
 
 
@@ -91,49 +92,56 @@ def as_hourly_cost_report(hourly: DataFrame) -> DataFrame:
                          "records")
 
 
-def spike_alert_batch(hourly_path: str, alerts_path: str, *, lookback_hours: int = 24 * 7,
-                      baseline_rows: int = 24):
-    """T2: a ``foreachBatch`` function.  Writes the batch's closed hours to
-    the hourly table at ``hourly_path`` and the spike alerts of those hours
-    to ``alerts_path``.  Each epoch overwrites its own ``epoch_id=N`` folder,
-    so a retried epoch replaces its output instead of duplicating it.
-
-    The baseline reads the hourly table's last ``lookback_hours`` before the
-    batch's earliest hour (partition-pruned by day).  Warehouses of the batch
-    with fewer than ``baseline_rows`` earlier rows in that window (a list
-    bounded by the warehouses in the batch) also get their older rows, so
-    the row frame is exact."""
-
-    def run(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        b = batch.withColumn("hour_date", F.to_date("hour_bucket")).persist()
-        try:
-            first = b.agg(F.min("hour_bucket").alias("m")).first()["m"]
-            if first is None:
-                return
-            (b.write.mode("overwrite").partitionBy("hour_date")
-             .parquet(f"{hourly_path}/epoch_id={epoch_id}"))
-            lo = first - dt.timedelta(hours=lookback_hours)
-            table = spark.read.parquet(hourly_path)
-            recent = table.filter((F.col("hour_date") >= F.lit(lo.date()))
-                                  & (F.col("hour_bucket") >= F.lit(lo)))
-            before = (recent.filter(F.col("hour_bucket") < F.lit(first))
-                      .groupBy("warehouse_id").agg(F.count(F.lit(1)).alias("n")))
-            short = (b.select("warehouse_id").distinct()
-                     .join(before, "warehouse_id", "left")
-                     .filter(F.coalesce("n", F.lit(0)) < baseline_rows))
-            ids = [r[0] for r in short.collect()]  # at most the batch's warehouses
-            if ids:
-                wanted = F.col("warehouse_id").isin(*[i for i in ids if i is not None])
-                if None in ids:
-                    wanted = wanted | F.col("warehouse_id").isNull()
-                older = table.filter((F.col("hour_date") <= F.lit(lo.date()))
-                                     & (F.col("hour_bucket") < F.lit(lo)) & wanted)
-                recent = recent.unionByName(older)
-            alerts = (hourly_spikes(recent, baseline_rows=baseline_rows)
-                      .filter(F.col("hour_bucket") >= F.lit(first)))
-            alerts.write.mode("overwrite").parquet(f"{alerts_path}/epoch_id={epoch_id}")
-        finally:
-            b.unpersist()
-
-    return run
+HOURLY_SCHEMA = ("hour_bucket timestamp, workspace_id string, warehouse_id string, "
+                 "warehouse_name string, _hc decimal(28,4), total_queries long, records long")
+
+
+def open_hours(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The hourly rows that a stream of ``hourly_warehouse_cost_stream`` has not released
+    yet, from its state."""
+    groups = open_groups(
+        spark, checkpoint,
+        "struct<w: struct<start: timestamp, end: timestamp>, ws: string, id: string, name: string>",
+        "struct<cost: decimal(28,4), no_cost: boolean, queries: bigint, records: bigint>")
+    return groups.select(
+        F.col("key.w.start").alias("hour_bucket"), F.col("key.ws").alias("workspace_id"),
+        F.col("key.id").alias("warehouse_id"), F.col("key.name").alias("warehouse_name"),
+        F.when(~F.col("value.no_cost"), F.col("value.cost")).alias("_hc"),
+        F.col("value.queries").alias("total_queries"), F.col("value.records").alias("records"))
+
+
+def run_hourly_costs(usage: DataFrame, folder: str, watermark: str = "24 hours") -> None:
+    """T1 as a job: take up all costed usage that the stream has now; hours that the
+    watermark has passed are appended to ``<folder>/closed``, open ones stay in the state
+    at ``<folder>/state``.  Run it again with the same folder when more usage has come."""
+    run_available(hourly_warehouse_cost_stream(usage, watermark), f"{folder}/closed",
+                  f"{folder}/state")
+
+
+def hourly_costs(spark: SparkSession, folder: str, *, flush: bool = True) -> DataFrame:
+    """Hourly rows as of the last run: the released hours and, with ``flush``, what the
+    open ones have come to so far."""
+    closed = read_table(spark, f"{folder}/closed", HOURLY_SCHEMA)
+    return closed.unionByName(open_hours(spark, f"{folder}/state")) if flush else closed
+
+
+def run_dedup(stream: DataFrame, folder: str, watermark: str = "24 hours") -> None:
+    """T3 as a job: deliveries to a table with one row per record (``dedup_records_combining``).
+    Records are appended to ``<folder>/closed`` once the watermark has passed their start;
+    copies that come even later are dropped as late."""
+    run_available(dedup_records_combining(stream, watermark), f"{folder}/closed",
+                  f"{folder}/state")
+
+
+def deduped(spark: SparkSession, folder: str, schema: T.StructType, *, flush: bool = True
+            ) -> DataFrame:
+    """One row per record as of the last run; ``schema`` is the stream's."""
+    closed = read_table(spark, f"{folder}/closed", schema)
+    if not flush:
+        return closed
+    types = {f.name: f.dataType.simpleString() for f in schema.fields}
+    rest = ", ".join(f"`{c}`: {t}" for c, t in types.items() if c not in DEDUP_KEYS)
+    groups = open_groups(spark, f"{folder}/state",
+                         f"struct<{', '.join(f'{c}: {types[c]}' for c in DEDUP_KEYS)}>",
+                         f"struct<row: struct<{rest}>>")
+    return closed.unionByName(groups.select("key.*", "value.row.*"))

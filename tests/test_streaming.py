@@ -1,11 +1,17 @@
 """Streaming operators equal their batch counterparts (T1-T3)."""
 
+import datetime as dt
+import random
+import shutil
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from spendaudit.operators.monitors import hourly_spikes, warehouse_hourly
 from spendaudit.sources import events_usage as ev
 from spendaudit.streaming import hourly as S
+from spendaudit.streaming import spikes
 
 SENTINEL_TS = "2030-01-01 00:00:00"
 
@@ -29,6 +35,11 @@ def drops(spark, tmp_path_factory):
     return base, u
 
 
+def same(a, b):
+    b = b.select(*a.columns)
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def _run(query):
     query.processAllAvailable()
     query.awaitTermination(120)
@@ -54,22 +65,76 @@ def test_t1_hourly_stream_equals_batch(spark, drops):
     assert got.exceptAll(want.select(*got.columns)).count() == 0
 
 
-@pytest.mark.parametrize("lookback_hours", [24 * 40, 3])
-def test_t2_foreach_batch_alerts_equal_batch(spark, drops, tmp_path, lookback_hours):
+def _day_files(base):
+    return sorted((base / "in").glob("0*/*.parquet"))
+
+
+def test_t1_flush_has_every_hour_after_a_restart_without_a_sentinel(spark, drops, tmp_path):
+    """Days arrive in two runs of the same stream; no later record closes the last hours."""
     base, u = drops
-    hourly = S.hourly_warehouse_cost_stream(_stream(spark, base), watermark="1 hour")
-    sink = S.spike_alert_batch(str(tmp_path / "hourly"), str(tmp_path / "alerts"),
-                               lookback_hours=lookback_hours)
-    q = (hourly.writeStream.outputMode("append").foreachBatch(sink)
-         .option("checkpointLocation", str(tmp_path / "t2_ckpt"))
-         .trigger(availableNow=True).start())
-    _run(q)
-    got = (spark.read.parquet(str(tmp_path / "alerts")).drop("epoch_id")
-           .filter(F.col("workspace_id") != "ws-sentinel"))
-    want = hourly_spikes(warehouse_hourly(u))
-    assert want.count() > 0
-    assert got.exceptAll(want.select(*got.columns)).count() == 0
-    assert want.exceptAll(got.select(*want.columns)).count() == 0
+    files = _day_files(base)
+    for part in (files[:12], files[12:]):
+        for f in part:
+            (tmp_path / "in" / f.parent.name).mkdir(parents=True)
+            shutil.copy(f, tmp_path / "in" / f.parent.name)
+        S.run_hourly_costs(_stream(spark, tmp_path), str(tmp_path / "t1"), "24 hours")
+    closed = S.hourly_costs(spark, str(tmp_path / "t1"), flush=False)
+    whole = S.hourly_costs(spark, str(tmp_path / "t1"))
+    want = S.hourly_warehouse_cost(u)
+    last = u.agg(F.max("usage_start_time")).first()[0] - dt.timedelta(hours=24)
+    assert same(whole, want)
+    assert same(closed.where(F.col("hour_bucket") < last - dt.timedelta(hours=1)),
+                want.where(F.col("hour_bucket") < last - dt.timedelta(hours=1)))
+    assert 0 < closed.count() < want.count()
+
+
+def test_t2_state_alerts_equal_batch_after_a_restart(spark, drops, tmp_path):
+    base, u = drops
+    files = _day_files(base)
+    for part in (files[:9], files[9:20], files[20:]):
+        for f in part:
+            (tmp_path / "in" / f.parent.name).mkdir(parents=True)
+            shutil.copy(f, tmp_path / "in" / f.parent.name)
+        hourly = S.hourly_warehouse_cost_stream(_stream(spark, tmp_path), "24 hours")
+        spikes.run_spike_alerts(hourly, str(tmp_path / "t2"))
+    got, want = spikes.spike_alerts(spark, str(tmp_path / "t2")), hourly_spikes(warehouse_hourly(u))
+    assert want.count() > 0 and same(got, want)
+    # a run without new input judges nothing anew
+    judged = spark.read.parquet(str(tmp_path / "t2" / "judged")).count()
+    spikes.run_spike_alerts(S.hourly_warehouse_cost_stream(_stream(spark, tmp_path), "24 hours"),
+                            str(tmp_path / "t2"))
+    assert spark.read.parquet(str(tmp_path / "t2" / "judged")).count() == judged
+
+
+def _final(judged):
+    last = {}
+    for j in judged:
+        last[j[:3]] = max(last.get(j[:3], j), j, key=lambda x: x[5])
+    return {k: j[6] for k, j in last.items()}
+
+
+def test_t2_late_rows_are_put_in_place():
+    """Any order of arrival, in any batches, ends with the baselines of the sorted rows."""
+    rng = random.Random(3)
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), w, None if h % 5 == 0 else "n",
+             None if h % 7 == 0 else Decimal(rng.randrange(1, 9999)) / 100, 1, 0)
+            for h in range(20) for w in ("a", None)]
+    order = sorted(rows, key=spikes._place)
+    want = {}
+    for i, r in enumerate(order):
+        known = [x[3] for x in order[max(0, i - 4):i] if x[3] is not None]
+        want[r[:3]] = float(sum(known)) / len(known) if known else None
+    for _ in range(20):
+        left, kept, judged = rng.sample(rows, len(rows)), [], []
+        while left:
+            n = rng.randrange(1, 9)
+            kept, out = spikes.judge(kept, left[:n] + left[:1], 4, 1000, False)
+            judged += out
+            left = left[n:]
+        assert _final(judged) == want
+    # rows that are no longer kept cannot be judged; nothing else changes
+    kept, _ = spikes.judge([], order, 4, 8, False)
+    assert len(kept) == 8 and spikes.judge(kept, order[:1], 4, 8, True) == (kept, [])
 
 
 def test_t3_dedup_within_watermark(spark, drops, tmp_path):
@@ -90,16 +155,18 @@ def test_t3_dedup_within_watermark(spark, drops, tmp_path):
     assert out.count() == first.count() == out.select("usage_record_id").distinct().count()
 
 
-def test_t2_retried_epoch_replaces_its_output(spark, drops, tmp_path):
+def test_t3_job_drops_late_copies_and_flushes_open_records(spark, drops, tmp_path):
     base, u = drops
-    hourly = S.hourly_warehouse_cost(u)  # batch form of the stream's output
-    run = S.spike_alert_batch(str(tmp_path / "hourly"), str(tmp_path / "alerts"),
-                              lookback_hours=24 * 40)
-    run(hourly, 0)
-    first = spark.read.parquet(str(tmp_path / "alerts")).count()
-    run(hourly, 0)  # the same epoch delivered again after a failure
-    assert spark.read.parquet(str(tmp_path / "alerts")).count() == first > 0
-    assert spark.read.parquet(str(tmp_path / "hourly")).count() == hourly.count()
+    raw = u.select(*[c for c in u.columns if c != "estimated_cost_usd"])
+    hot = raw.limit(1).withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("_c")
+    early = raw.where("usage_start_time < '2024-01-05'")
+    for wave in (raw.unionByName(hot), early.unionByName(raw.where("usage_start_time > '2024-01-29'"))):
+        wave.write.mode("append").parquet(str(tmp_path / "in"))
+        S.run_dedup(S.read_usage_stream(spark, str(tmp_path / "in"), costed=False),
+                    str(tmp_path / "t3"))
+    got = S.deduped(spark, str(tmp_path / "t3"), S.USAGE_SCHEMA)
+    assert same(got, raw)
+    assert 0 < S.deduped(spark, str(tmp_path / "t3"), S.USAGE_SCHEMA, flush=False).count() < raw.count()
 
 
 def test_t3_combining_dedup_collapses_hot_copies(spark, drops, tmp_path):
