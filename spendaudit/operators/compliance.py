@@ -18,6 +18,7 @@ from ..functions import meta as M
 from ..functions.classify import ladder, within
 from ..functions.costing import PriceIndex, with_list_cost
 from ..functions.money import money_round, money_sum, ratio, rounded
+from ..functions.sieve import sieve, sift
 from ..schema import (BUDGET_ALERT_PCT, BUDGET_PIPELINE_ID, BUDGET_WAREHOUSE_ID, GPU_INSTANCES, GPU_SKUS, INTERACTIVE_SKUS,
                       NON_PROD_ENVS, PIPELINE_DAILY_DBU_LIMIT, POLICY_RULES,
                       WAREHOUSE_DAILY_DBU_LIMIT, WORKSPACES)
@@ -188,30 +189,18 @@ def off_hours_candidates(usage: DataFrame, as_of, days: int = 7,
 
 
 # --------------------------------------------------------------------- R5
-# Words of the filter that holds the hashes of repeated ids: 64 bits each.
-FILTER_WORDS = 1 << 16
-
-
 def duplicate_rows(usage: DataFrame, id_col: str = "usage_record_id") -> DataFrame:
     """One-row DataFrame: the number of records whose id occurs more than once.
 
     Exact, lazy, and cheap to shuffle.  Ids are first grouped by their 64-bit hash (8 bytes
     a row through the shuffle, copies of a hot id combined on the map side).  The hashes
-    that occur more than once set bits of a filter, which an aggregation builds and which
-    has FILTER_WORDS rows at most, whatever the table: it is broadcast and probed by all
-    ids.  No repeated id is missed; those that pass are counted by the id itself.  The more
-    repeated ids there are, the more others pass with them, up to all: the plan and the
-    result stay the same.
+    that occur more than once make a filter of fixed size (``functions.sieve``), which all
+    ids probe; no repeated id is missed, and those that pass are counted by the id itself.
     """
-    id_, h = F.col(id_col), F.xxhash64(id_col)
-    word = F.pmod(F.col("_h"), F.lit(FILTER_WORDS)).alias("_word")
-    bit = F.expr(f"shiftleft(1L, CAST(pmod(shiftright(_h, {FILTER_WORDS.bit_length() - 1}), 64) AS INT))")
-    ids = usage.select(id_.alias("_id"), h.alias("_h"))
-    bits = (ids.select("_h").groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-            .groupBy(word).agg(F.bit_or(bit).alias("_bits")))
-    suspects = (ids.withColumn("_word", word).join(F.broadcast(bits), "_word")
-                .where(F.col("_bits").bitwiseAND(bit) != 0))
-    per_id = suspects.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
+    ids = usage.select(F.col(id_col).alias("_id"), F.xxhash64(id_col).alias("_h"))
+    repeated = ids.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    per_id = (sift(ids, F.col("_h"), sieve(repeated, "_h"))
+              .groupBy("_id").agg(F.count(F.lit(1)).alias("n")))
     return per_id.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))
                       .cast("bigint").alias("failing_rows"))
 

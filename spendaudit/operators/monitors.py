@@ -21,9 +21,9 @@ from ..functions import meta as M
 from ..functions.classify import (attribution_category, date_lit, deviation, is_weekend,
                                   ladder, within)
 from ..functions.money import cv_pct, mean, money_round, money_sum, ratio, rounded
+from ..functions.sieve import sieve, sift
 from ..schema import (GPU_SKUS, INTERACTIVE_SKUS, LARGE_GPU_INSTANCES, PIPELINE_SKU,
                       SQL_SKUS)
-from ..plans.session import materialize
 from .audits import ALERT_RUNGS, daily_spend, densify_days, with_baseline
 
 
@@ -209,12 +209,11 @@ def daily_alert(usage: DataFrame | None, as_of, lookback: int = 7,
     """Yesterday's spend per workspace against its trailing 7-row baseline;
     every alert level is reported (NORMAL included).
 
-    Exact and date-pruned: daily rows are first built from the last
-    ``recent_days`` days only.  A workspace whose ``lookback`` previous daily
-    rows all fall inside that window needs nothing older; only workspaces
-    with fewer rows there (new or mostly idle ones, a list bounded by the
-    number of workspaces) trigger a second read of older history, filtered
-    to those ids.  ``recent_days=None`` always reads the whole history.
+    Exact and date-pruned: daily rows are built from the last ``recent_days`` days.  A
+    workspace whose ``lookback`` previous daily rows all fall inside that window needs
+    nothing older.  The others (new or mostly idle ones) make a filter of fixed size, and
+    only usage that passes it is read from older days: where no workspace needs them,
+    adaptive execution drops that scan.  ``recent_days=None`` always reads the whole history.
     With ``rollup`` (the daily roll-up table, days x workspaces rows) the
     whole history is read from it instead of the usage fact.
     ``dense_days=True`` counts calendar days (idle days as zero spend); a
@@ -231,23 +230,18 @@ def daily_alert(usage: DataFrame | None, as_of, lookback: int = 7,
         daily = daily_spend(usage, round_dbus=False)
     else:
         lo = yesterday - dt.timedelta(days=recent_days)
-        # Days x workspaces rows, read twice below: checkpointed (reliably, in
-        # the shared checkpoint folder) so the usage window is scanned once.
-        daily = materialize(daily_spend(within(usage, lo=lo, hi=yesterday + dt.timedelta(days=1)),
-                                        round_dbus=False))
+        recent = daily_spend(within(usage, lo=lo, hi=yesterday + dt.timedelta(days=1)),
+                             round_dbus=False)
         y = date_lit(yesterday)
-        short = (daily.groupBy("workspace_id")
+        short = (recent.groupBy("workspace_id")
                  .agg(F.count_if(F.col("usage_date") < y).alias("n"),
                       F.max((F.col("usage_date") == y).cast("int")).alias("has_y"))
                  .filter((F.col("has_y") == 1) & (F.col("n") < lookback))
-                 .select("workspace_id"))
-        ids = [r[0] for r in short.collect()]  # at most one id per workspace
-        if ids:
-            named = F.col("workspace_id").isin(*[i for i in ids if i is not None])
-            if None in ids:  # usage without a workspace has a history too
-                named = F.coalesce(named, F.lit(True))
-            older = daily_spend(within(usage, hi=lo).filter(named), round_dbus=False)
-            daily = daily.unionByName(older)
+                 .select("workspace_id", F.xxhash64("workspace_id").alias("_h")))
+        older = daily_spend(sift(within(usage, hi=lo), F.xxhash64("workspace_id"),
+                                 sieve(short, "_h")), round_dbus=False)
+        # rows that passed by a shared bit belong to workspaces with rows enough: harmless
+        daily = recent.unionByName(older)
     b = with_baseline(densify_days(daily) if dense_days else daily, lookback)
     rel, z = deviation("daily_cost", "_base", "_spread")
     return (b.filter(F.col("_base").isNotNull() & (F.col("usage_date") == date_lit(yesterday)))
