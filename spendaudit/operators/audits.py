@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import meta as M
 from ..functions.classify import deviation, ladder, spend_category, within
 from ..functions.costing import with_list_cost
-from ..functions.money import annualize, cv_pct, mean, money_sum, ratio, rounded
+from ..functions.money import annualize, cv_pct, mean, money_round, money_sum, ratio, rounded
 from ..schema import AUDIT_DAYS, INTERACTIVE_SKUS, PIPELINE_SKU
-from .rollup import daily_totals
+from .rollup import CLUSTER_KEYS, daily_totals, moments_stddev
 
 
 def _all():
@@ -71,29 +71,38 @@ def sku_breakdown(usage: DataFrame, k: int = 12) -> DataFrame:
 
 
 # --------------------------------------------------------------------- O3
-def cluster_activity(usage: DataFrame, window_days: int = AUDIT_DAYS) -> DataFrame:
+def cluster_activity(usage: DataFrame | None = None, window_days: int = AUDIT_DAYS, *,
+                     clusters: DataFrame | None = None) -> DataFrame:
     """Interactive usage per cluster configuration with flatness (CV); the
-    annual projection scales a ``window_days`` total to 365 days."""
-    q = F.col("usage_quantity")
-    src = (usage.filter(F.col("sku_name").isin(*INTERACTIVE_SKUS))
-           .select("workspace_id", "usage_quantity", "estimated_cost_usd",
-                   M.parsed().alias(M.META_COL)))
-    sd = F.stddev_samp(q.cast("double"))
-    return src.groupBy(
-        "workspace_id",
-        M.field("cluster_id").alias("cluster_id"),
-        M.field("cluster_name").alias("cluster_name"),
-        M.field("job_id").alias("job_id"),
-        M.int_field("autotermination_minutes").alias("autotermination_min"),
-        M.field("data_security_mode").alias("data_security_mode"),
-    ).agg(
-        F.count(F.lit(1)).alias("total_hours_active"),
-        money_sum(q).alias("total_dbus"),
-        money_sum("estimated_cost_usd").alias("total_cost_usd"),
-        rounded(mean(q), 4).alias("avg_hourly_dbu"),
-        rounded(sd, 4).alias("stddev_hourly_dbu"),
-        rounded(cv_pct(sd, mean(q)), 2).alias("usage_cv_pct"),
-        rounded(annualize(F.sum("estimated_cost_usd"), window_days), 2).alias("projected_annual_cost"))
+    annual projection scales a ``window_days`` total to 365 days.  With
+    ``clusters`` (the roll-up's daily cluster rows) the count, mean and
+    deviation of the window are merged from exact daily moments."""
+    if clusters is not None:
+        g = clusters.groupBy(*CLUSTER_KEYS).agg(
+            F.sum("hours").alias("_hours"), F.sum("q_count").alias("_n"),
+            F.sum("q_sum").alias("_dbus"), F.sum("q_squares").alias("_squares"),
+            F.sum("cost_usd").alias("_cost"))
+        g = g.withColumn("_sd", moments_stddev("_n", "_dbus", "_squares"))
+    else:
+        q = F.col("usage_quantity")
+        src = (usage.filter(F.col("sku_name").isin(*INTERACTIVE_SKUS))
+               .select("workspace_id", "usage_quantity", "estimated_cost_usd",
+                       M.parsed().alias(M.META_COL)))
+        g = src.groupBy(
+            "workspace_id",
+            *[M.field(c).alias(c) for c in ("cluster_id", "cluster_name", "job_id")],
+            M.int_field("autotermination_minutes").alias("autotermination_min"),
+            M.field("data_security_mode").alias("data_security_mode"),
+        ).agg(F.count(F.lit(1)).alias("_hours"), F.count(q).alias("_n"), F.sum(q).alias("_dbus"),
+              F.sum("estimated_cost_usd").alias("_cost"),
+              F.stddev_samp(q.cast("double")).alias("_sd"))
+    avg, sd = ratio("_dbus", "_n"), F.col("_sd")
+    return g.select(
+        *CLUSTER_KEYS, F.col("_hours").alias("total_hours_active"),
+        money_round("_dbus").alias("total_dbus"), money_round("_cost").alias("total_cost_usd"),
+        rounded(avg, 4).alias("avg_hourly_dbu"), rounded(sd, 4).alias("stddev_hourly_dbu"),
+        rounded(cv_pct(sd, avg), 2).alias("usage_cv_pct"),
+        rounded(annualize("_cost", window_days), 2).alias("projected_annual_cost"))
 
 
 IDLE_COLUMNS = ["workspace_id", "cluster_id", "cluster_name", "total_hours_active",
@@ -102,9 +111,10 @@ IDLE_COLUMNS = ["workspace_id", "cluster_id", "cluster_name", "total_hours_activ
                 "detection_branch", "zombie_status", "recommended_action"]
 
 
-def idle_clusters(usage: DataFrame, *, min_hours: int = 200, critical_hours: int = 400,
-                  suspect_hours: int | None = 100, max_cv: float = 10.0,
-                  window_days: int = AUDIT_DAYS) -> DataFrame:
+def idle_clusters(usage: DataFrame | None = None, *, min_hours: int = 200,
+                  critical_hours: int = 400, suspect_hours: int | None = 100,
+                  max_cv: float = 10.0, window_days: int = AUDIT_DAYS,
+                  clusters: DataFrame | None = None) -> DataFrame:
     """Idle ('zombie') interactive clusters from two detection branches.
 
     Behavioural: no job, more than ``min_hours`` hours and CV below ``max_cv``.
@@ -113,8 +123,9 @@ def idle_clusters(usage: DataFrame, *, min_hours: int = 200, critical_hours: int
     aggregate and exploded (one scan instead of a scan per branch); rows are
     already unique per (group, branch), so no DISTINCT shuffle is needed.
     ``suspect_hours=None`` drops the SUSPECT rung (the ported variant).
+    ``clusters`` takes the roll-up's daily cluster rows in place of usage.
     """
-    a = cluster_activity(usage, window_days)
+    a = cluster_activity(usage, window_days, clusters=clusters)
     no_job = F.col("job_id").isNull()
     hours, cv, auto = F.col("total_hours_active"), F.col("usage_cv_pct"), F.col("autotermination_min")
     behavioural = no_job & (hours > min_hours) & (cv < max_cv)

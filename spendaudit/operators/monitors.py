@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from ..functions import meta as M
 from ..functions.classify import (attribution_category, date_lit, deviation, is_weekend,
                                   ladder, within)
-from ..functions.money import cv_pct, mean, money_round, money_sum, ratio, rounded
+from ..functions.money import cv_pct, money_round, money_sum, ratio, rounded
 from ..functions.sieve import sieve, sift
 from ..schema import (GPU_SKUS, INTERACTIVE_SKUS, LARGE_GPU_INSTANCES, PIPELINE_SKU,
                       SQL_SKUS)
 from .audits import ALERT_RUNGS, daily_spend, densify_days, with_baseline
+from .rollup import moments_stddev
 
 
 def _day(d) -> dt.date:
@@ -37,24 +38,37 @@ def _days_back(as_of, days: int) -> tuple[dt.date, dt.date]:
 
 
 # --------------------------------------------------------------------- M1
-def nightly_idle_sweep(usage: DataFrame, day, *, terminate_hours: int = 12,
-                       warn_hours: int = 6) -> DataFrame:
+def nightly_idle_sweep(usage: DataFrame | None, day, *, terminate_hours: int = 12,
+                       warn_hours: int = 6, clusters: DataFrame | None = None) -> DataFrame:
     """Interactive clusters of one day with no productive (job) hour or with
-    auto-termination disabled."""
+    auto-termination disabled.  With ``clusters`` (the roll-up's daily cluster
+    rows) that day's rows are merged from exact moments."""
     d = _day(day)
-    src = (within(usage.filter(F.col("sku_name").isin(*INTERACTIVE_SKUS)),
-                  lo=d, hi=d + dt.timedelta(days=1))
-           .select("workspace_id", "usage_quantity", "estimated_cost_usd",
-                   M.parsed().alias(M.META_COL)))
-    q = F.col("usage_quantity")
-    g = src.groupBy(M.field("cluster_id").alias("cluster_id"),
-                    M.field("cluster_name").alias("cluster_name"),
-                    "workspace_id").agg(
-        F.count(F.lit(1)).alias("hours_active"),
-        F.count_if(M.field("job_id").isNotNull()).alias("productive_hours"),
-        F.sum("estimated_cost_usd").alias("_cost"),
-        rounded(cv_pct(F.stddev_samp(q.cast("double")), mean(q)), 2).alias("cv_pct"),
-        F.min(M.int_field("autotermination_minutes")).alias("min_autoterm"))
+    keys = ("cluster_id", "cluster_name", "workspace_id")
+    if clusters is not None:
+        g = clusters.where(F.col("usage_date") == date_lit(d)).groupBy(*keys).agg(
+            F.sum("hours").alias("hours_active"),
+            F.sum(F.when(F.col("job_id").isNotNull(), F.col("hours")).otherwise(0))
+            .alias("productive_hours"),
+            F.sum("cost_usd").alias("_cost"), F.min("autotermination_min").alias("min_autoterm"),
+            F.sum("q_count").alias("_n"), F.sum("q_sum").alias("_dbus"),
+            F.sum("q_squares").alias("_squares"))
+        g = g.withColumn("_sd", moments_stddev("_n", "_dbus", "_squares"))
+    else:
+        src = (within(usage.filter(F.col("sku_name").isin(*INTERACTIVE_SKUS)),
+                      lo=d, hi=d + dt.timedelta(days=1))
+               .select("workspace_id", "usage_quantity", "estimated_cost_usd",
+                       M.parsed().alias(M.META_COL)))
+        q = F.col("usage_quantity")
+        g = src.groupBy(M.field("cluster_id").alias("cluster_id"),
+                        M.field("cluster_name").alias("cluster_name"), "workspace_id").agg(
+            F.count(F.lit(1)).alias("hours_active"),
+            F.count_if(M.field("job_id").isNotNull()).alias("productive_hours"),
+            F.sum("estimated_cost_usd").alias("_cost"),
+            F.min(M.int_field("autotermination_minutes")).alias("min_autoterm"),
+            F.count(q).alias("_n"), F.sum(q).alias("_dbus"),
+            F.stddev_samp(q.cast("double")).alias("_sd"))
+    g = g.withColumn("cv_pct", rounded(cv_pct(F.col("_sd"), ratio("_dbus", "_n")), 2))
     idle = F.col("productive_hours") == 0
     hours, auto = F.col("hours_active"), F.col("min_autoterm")
     return (g.filter(idle | (auto == 0))

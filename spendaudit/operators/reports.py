@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import meta as M
-from ..functions.classify import chart_category, date_lit
-from ..functions.money import annualize, money_round, ratio, rounded
+from ..functions.classify import catalog_category, chart_category, date_lit
+from ..functions.money import annualize, money_round, money_sum, ratio, rounded
 from ..schema import AUDIT_DAYS, GPU_CHART_SKU, WORKSPACES
 from .savings import (DEFAULT_RULES, SavingsRule, _masked_sums, _prepared, estimate_savings,
                       waste_rules)
@@ -141,3 +141,16 @@ def waterfall(usage: DataFrame, rules: Sequence[SavingsRule] = DEFAULT_RULES,
         F.when(kind == "base", F.col("delta")).when(kind == "save", F.abs("delta"))
         .otherwise(running).alias("height"),
         running.alias("running_total"))
+
+
+# --------------------------------------------------------------------- P9
+def catalog_spend(usage: DataFrame) -> DataFrame:
+    """Spend per category of the SKU catalogue (six of them); SKUs that the catalogue does
+    not list have no category."""
+    return (usage.groupBy("sku_name")
+            .agg(F.count(F.lit(1)).alias("_n"), F.sum("usage_quantity").alias("_dbus"),
+                 F.sum("estimated_cost_usd").alias("_cost"))
+            .groupBy(catalog_category().alias("category"))
+            .agg(F.count("sku_name").alias("skus"), F.sum("_n").alias("records"),
+                 money_sum("_dbus").alias("total_dbus"), money_sum("_cost").alias("total_cost_usd"))
+            .orderBy(F.desc_nulls_last("total_cost_usd"), F.asc_nulls_last("category")))

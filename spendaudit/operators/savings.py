@@ -21,6 +21,7 @@ from ..functions import meta as M
 from ..functions.classify import ts_lit
 from ..functions.money import annualize, money_round, ratio, rounded
 from ..schema import AUDIT_DAYS
+from .rollup import DailyRollup
 
 
 @dataclasses.dataclass(frozen=True)
@@ -178,9 +179,21 @@ def waste_summary(usage: DataFrame, rules: Sequence[SavingsRule] = DEFAULT_RULES
         rounded(ratio(total, "_total") * 100, 1).alias("pct_of_total_spend"))
 
 
-def dataset_profile(usage: DataFrame) -> DataFrame:
+def dataset_profile(usage: DataFrame | None = None, *, rollup: DailyRollup | None = None
+                    ) -> DataFrame:
     """Row count, date range, totals and distinct workspaces / SKUs, from one row per
-    (workspace, SKU): the distinct counts expand those, not the records."""
+    (workspace, SKU): the distinct counts expand those, not the records.  With ``rollup``
+    they come from days x workspaces rows, distinct SKUs by an OR of bitmaps."""
+    if rollup is not None:
+        sets = rollup.sku_bits.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("_bits"))
+        skus = sets.select(F.coalesce(F.sum(F.bitmap_count("_bits")), F.lit(0).cast("bigint")))
+        return rollup.totals.agg(
+            F.coalesce(F.sum("record_count"), F.lit(0)).alias("total_records"),
+            F.min("usage_date").alias("first_date"), F.max("usage_date").alias("last_date"),
+            money_round(F.sum("dbus")).alias("total_dbus"),
+            money_round(F.sum("cost_usd")).alias("total_cost_usd"),
+            F.count_distinct("workspace_id").alias("unique_workspaces"),
+        ).withColumn("unique_skus", skus.scalar())
     day = F.to_date("usage_start_time")
     groups = usage.groupBy("workspace_id", "sku_name").agg(
         F.count(F.lit(1)).alias("_n"), F.min(day).alias("_first"), F.max(day).alias("_last"),

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.costing import with_catalog_cost, with_list_cost
-from ..sources.usage_io import number_records, with_record_ids
-from ..operators import audits, compliance, monitors, reports, savings
+from ..sources.usage_io import (import_usage_csv, number_records, read_usage_parquet,
+                                with_record_ids, write_usage_csv)
+from ..operators import audits, compliance, monitors, reports, rollup, savings
 from ..sources import events_usage as ev
 from ..streaming import hourly as stream_hourly
 from ..streaming import spikes
@@ -83,6 +84,51 @@ def deduped_usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("usage_quantity").cast("double").alias("usage_quantity"))
 
 
+_ROLLUPS: dict[tuple[str, str], str] = {}
+
+
+def _rollup(spark: SparkSession, sf_dir: str) -> rollup.DailyRollup:
+    """The roll-up of the whole usage fact, built once per application in the shared folder,
+    in two refreshes of which the second overlaps the first."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ROLLUPS:
+        path = _fresh_folder(spark, "rollup")
+        split = ev.SPIKE_WINDOW[1]
+        rollup.refresh_daily_rollup(_costed(spark, sf_dir), path, hi=split)
+        rollup.refresh_daily_rollup(_costed(spark, sf_dir), path, lo=ev.SPIKE_WINDOW[0])
+        _ROLLUPS[key] = path
+    return rollup.open_rollup(spark, _ROLLUPS[key])
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The costed usage exported as CSV (a third of the JSON documents over several lines)
+    and imported again.  The folder also gets bad records for every tenth event, cut off
+    after three fields or with a word for the quantity.  Returns each record's fate, with
+    the resource named in its document."""
+    folder = _fresh_folder(spark, "csv")
+    usage = _costed(spark, sf_dir).drop("usage_date")
+    event = F.col("usage_record_id").cast("bigint")
+    spread = F.when(event % 3 == 0, F.replace("usage_metadata", F.lit(","), F.lit(",\n")))
+    write_usage_csv(usage.withColumn("usage_metadata", F.coalesce(spread, "usage_metadata")),
+                    f"{folder}/export")
+    write_usage_csv(usage.where(event % 20 == 0).select(*usage.columns[:3]),
+                    f"{folder}/export", "append")
+    write_usage_csv(usage.where(event % 20 == 10).withColumn("usage_quantity", F.lit("many")),
+                    f"{folder}/export", "append")
+    import_usage_csv(spark, f"{folder}/export", f"{folder}/usage", f"{folder}/quarantine")
+    good = read_usage_parquet(spark, f"{folder}/usage")
+    resource = F.coalesce(*[F.get_json_object("usage_metadata", f"$.{k}") for k in
+                            ("cluster_id", "warehouse_id", "job_name", "pipeline_id")])
+    bad = spark.read.schema("record STRING, file STRING").parquet(f"{folder}/quarantine/bad")
+    return good.select("usage_record_id", F.lit("good").alias("fate"), "sku_name",
+                       F.col("usage_quantity").cast("double").alias("usage_quantity"),
+                       F.col("estimated_cost_usd").cast("double").alias("estimated_cost_usd"),
+                       resource.alias("resource")
+                       ).unionByName(bad.select(F.split("record", ",")[0].alias("usage_record_id"),
+                                                F.lit("bad").alias("fate")),
+                                     allowMissingColumns=True)
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "top_cost_centers": _audit(audits.top_cost_centers),
@@ -129,6 +175,15 @@ def queries() -> dict[str, Query]:
                                        workspace_rows=ev.fixture_workspace_rows()),
         "hourly_warehouse_cost": lambda spark, d: stream_hourly.as_hourly_cost_report(
             stream_hourly.hourly_warehouse_cost(_costed(spark, d))),
+        "catalog_spend": _audit(reports.catalog_spend),
+        "dataset_profile_rollup": lambda spark, d: savings.dataset_profile(rollup=_rollup(spark, d)),
+        "cluster_activity_rollup": lambda spark, d: audits.cluster_activity(
+            window_days=ev.WINDOW_DAYS, clusters=_rollup(spark, d).clusters),
+        "nightly_idle_sweep_rollup": lambda spark, d: monitors.nightly_idle_sweep(
+            None, ev.SWEEP_DAY, clusters=_rollup(spark, d).clusters),
+        "spend_spikes_rollup": lambda spark, d: audits.spend_spikes(
+            rollup=_rollup(spark, d).totals),
+        "csv_round_trip": csv_round_trip,
         "hourly_warehouse_cost_stream": hourly_cost_stream,
         "spike_alert_stream": spike_alert_stream,
         "deduped_usage_stream": deduped_usage_stream,
@@ -154,4 +209,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle.compliance_sql())
     out.update(oracle.streaming_sql())
     out.update(oracle.ids_sql())
+    out.update(oracle.table_sql(out))
     return out

@@ -20,6 +20,7 @@ from ..schema import COSTED_USAGE_SCHEMA, MONEY, RATE, USAGE_SCHEMA
 
 CSV_TIMES = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 BAD_RECORD = "_bad_record"
+NO_VALUE = "\0"  # what the parser hands on for a field without a character
 
 
 def read_usage_csv(spark: SparkSession, path: str, with_cost: bool = True) -> DataFrame:
@@ -48,7 +49,7 @@ def scan_usage_csv(spark: SparkSession, path: str, with_cost: bool = True,
                           + [T.StructField(BAD_RECORD, T.StringType(), True)])
     reader = (spark.read.schema(schema)
               .option("header", True).option("escape", '"').option("multiLine", True)
-              .option("emptyValue", "").option("enforceSchema", True)
+              .option("emptyValue", "").option("nullValue", NO_VALUE)  # "" is not NULL
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_RECORD))
     if times:
         reader = reader.option("timestampFormat", times)

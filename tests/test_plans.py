@@ -3,6 +3,7 @@ joins, no Python UDFs, filters and projections reach the Parquet scan, date
 partitions are pruned, the price dimension is broadcast."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from spendaudit.plans import registry
@@ -95,6 +96,40 @@ def test_raw_shuffle_checker_detects_a_raw_repartition(spark):
     assert _raw_row_exchanges(plan(u.groupBy("workspace_id").count())) == []
 
 
+# Queries that run a stream, sort a table once or write files before they return.
+EAGER = {"record_sequence", "csv_round_trip", "hourly_warehouse_cost_stream",
+         "spike_alert_stream", "deduped_usage_stream"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - EAGER))
+def test_building_a_query_starts_no_job(spark, name):
+    """Once the stored tables are there, no operator counts, collects or checkpoints to
+    make its plan."""
+    registry.queries()[name](spark, SF_SMALL)  # the stored tables are there
+    group = f"building-{name}"
+    spark.sparkContext.setJobGroup(group, name)
+    try:
+        registry.queries()[name](spark, SF_SMALL)
+        jobs = list(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("other", "other")
+    # a roll-up is checked against its ledger before it is read
+    assert not jobs or name.endswith("_rollup"), jobs
+
+
+def test_the_duplicate_gate_broadcasts_a_filter_of_fixed_size(spark):
+    from spendaudit.functions import sieve
+    keys = spark.range(400_000).select(F.xxhash64("id").alias("_h"))
+    bits = sieve.sieve(keys, "_h")
+    assert bits.count() <= sieve.WORDS
+    none = sieve.sift(spark.range(10), F.xxhash64("id"), sieve.sieve(keys.limit(0), "_h"))
+    assert none.count() == 0
+    some = spark.range(0, 400_000, 1000)
+    assert sieve.sift(some, F.xxhash64("id"), bits).count() == some.count()
+    few = sieve.sieve(keys.limit(50), "_h")
+    assert 50 <= sieve.sift(spark.range(400_000), F.xxhash64("id"), few).count() < 1000
+
+
 @pytest.mark.parametrize("name", ["policy_compliance", "budget_status", "dataset_profile"])
 def test_records_are_aggregated_before_rows_multiply(spark, name):
     """Deeper in the tree is later in the text: the first aggregate over usage lies below
