@@ -116,8 +116,8 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def ledger(spark: SparkSession, path: str) -> DataFrame:
     """(usage_date, record_count, version): the state of every day that was refreshed."""
     rows = _read(spark, f"{path}/ledger", LEDGER_SCHEMA)
-    last = F.max("version").over(Window.partitionBy("usage_date"))
-    return rows.withColumn("_last", last).where("version = _last").drop("_last")
+    return (rows.groupBy("usage_date").agg(F.max(F.struct("version", "record_count")).alias("_last"))
+            .select("usage_date", "_last.record_count", "_last.version"))
 
 
 def _days(lo: dt.date, hi: dt.date) -> list[dt.date]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -114,9 +114,11 @@ def spike_alerts(spark: SparkSession, folder: str, *, flush: bool = True,
     ``flush`` adds the hours that are still open, judged against the rows that the state
     holds for their warehouses: nothing but state is read for them.
     """
-    newest = Window.partitionBy("warehouse_id", "hour_bucket", "workspace_id", "warehouse_name")
     judged = (read_table(spark, f"{folder}/judged", JUDGED_SCHEMA)
-              .withColumn("_last", F.max("revision").over(newest)).where("revision = _last"))
+              .groupBy("warehouse_id", "hour_bucket", "workspace_id", "warehouse_name")
+              .agg(F.max_by(F.struct("hourly_cost", "_base", "total_queries"), "revision")
+                   .alias("_last"))
+              .select("hour_bucket", "workspace_id", "warehouse_name", "_last.*"))
     closed = spike_report(judged, warn_x, critical_x)
     if not flush:
         return closed

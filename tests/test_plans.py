@@ -52,7 +52,7 @@ def test_idle_branches_filter_job_less_rows_before_grouping(spark):
 def test_explain_tool_summarises_a_plan(spark):
     from spendaudit.plans.explain import formatted, summary
     s = summary(formatted(registry.queries()["weekly_attribution"](spark, SF_SMALL)))
-    assert s["partition_filters"] and s["pushed_filters"] and s["broadcasts"] == 1
+    assert s["partition_filters"] and s["pushed_filters"] and s["broadcasts"] == 2  # the price index
     assert s["forbidden"] == []
 
 
