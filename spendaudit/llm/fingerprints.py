@@ -18,6 +18,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,6 +32,8 @@ HEAD = 8               # so many first words of a text are passages of their own
 LONGEST = 16           # words of a passage at most
 LONG_WORD = 16         # a word beyond this many characters is cut like a text
 ROWS_PER_RANGE = 2048  # rows of one id range in ``neighbour_fingerprints``
+AT_ONCE = 256          # pairs of documents that are sketched and peeled together ...
+MANY_KEYS = 20_000     # ... or fewer, after a document of so many passages
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -169,6 +172,106 @@ def likeness(a: list[int], b: list[int], sa: Sketch, sb: Sketch) -> float:
     return 1.0 - (len(left) + len(right)) / (len(a) + len(b))
 
 
+# ---------------------------------------------------------- many sketches at once
+def _checks(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint64(_ODD)) >> np.uint64(32)
+
+
+class Sketches:
+    """Sketches of many key lists, ``parts[i]`` cells in each of the three sub-tables of
+    the i-th, laid out one after the other.  The cells are those of ``Sketch``."""
+
+    def __init__(self, parts: np.ndarray):
+        self.parts = parts.astype(np.int64)
+        ends = np.cumsum(3 * self.parts)
+        self.first = ends - 3 * self.parts
+        size = int(ends[-1]) if len(ends) else 0
+        self.counts = np.zeros(size, np.int64)
+        self.keys = np.zeros(size, np.uint64)
+        self.checks = np.zeros(size, np.uint64)
+
+    def add(self, owner: np.ndarray, keys: np.ndarray, signs) -> None:
+        """XOR each key into the three cells that it has in its owner's sketch."""
+        part = self.parts[owner].astype(np.uint64)
+        checks = _checks(keys)
+        for i, shift in enumerate((0, 21, 42)):
+            cell = (self.first[owner] + i * self.parts[owner]
+                    + ((keys >> np.uint64(shift)) % part).astype(np.int64))
+            np.add.at(self.counts, cell, signs)
+            np.bitwise_xor.at(self.keys, cell, keys)
+            np.bitwise_xor.at(self.checks, cell, checks)
+
+    def minus(self, at: np.ndarray, other: "Sketches", other_at: np.ndarray, cells: int
+              ) -> "Sketches":
+        """Differences of pairs of sketches of ``cells`` cells each."""
+        out = Sketches(np.full(len(at), cells // 3))
+        mine = (self.first[at][:, None] + np.arange(cells)).ravel()
+        theirs = (other.first[other_at][:, None] + np.arange(cells)).ravel()
+        out.counts = self.counts[mine] - other.counts[theirs]
+        out.keys = self.keys[mine] ^ other.keys[theirs]
+        out.checks = self.checks[mine] ^ other.checks[theirs]
+        return out
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray]:
+        """(number of keys recovered, whether nothing is left) of each sketch.  Every round
+        takes out the keys of all cells that hold one."""
+        owner_of = np.repeat(np.arange(len(self.parts)), 3 * self.parts)
+        found = np.zeros(len(self.parts), np.int64)
+        for _ in range(len(self.counts) + 1):
+            pure = np.flatnonzero((np.abs(self.counts) == 1)
+                                  & (self.checks == _checks(self.keys)))
+            if not len(pure):
+                break
+            owner, keys, signs = owner_of[pure], self.keys[pure], self.counts[pure]
+            order = np.lexsort((keys, owner))
+            owner, keys, signs = owner[order], keys[order], signs[order]
+            new = np.append(True, (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1]))
+            owner, keys, signs = owner[new], keys[new], signs[new]
+            found += np.bincount(owner, minlength=len(found))
+            self.add(owner, keys, -signs)
+        left = (self.counts != 0) | (self.keys != 0) | (self.checks != 0)
+        return found, np.bincount(owner_of[left], minlength=len(found)) == 0
+
+    def to_texts(self, cells: int) -> list[str]:
+        """``Sketch.to_text`` of each, all of ``cells`` cells."""
+        rows = np.dtype([("c", "<i4", cells), ("k", "<u8", cells), ("x", "<u4", cells)])
+        out = np.empty(len(self.parts), rows)
+        for name, v in (("c", self.counts), ("k", self.keys), ("x", self.checks)):
+            out[name] = v.reshape(-1, cells)
+        return [base64.b64encode(r.tobytes()).decode() for r in out]
+
+
+def _joined(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, keys) of lists laid end to end."""
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    return owner, np.concatenate([*lists, np.empty(0, np.uint64)])
+
+
+def sketch_all(lists: list[np.ndarray], parts: np.ndarray) -> Sketches:
+    out = Sketches(parts)
+    out.add(*_joined(lists), 1)
+    return out
+
+
+def likenesses(keys: list[np.ndarray], pairs: list[tuple[int, int]], published: Sketches
+               ) -> np.ndarray:
+    """``likeness`` of pairs of the key lists: the published sketches are subtracted and
+    peeled, and the pairs that do not come apart sketched again into more cells."""
+    a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+    sizes = np.array([len(k) for k in keys], np.int64)
+    total = sizes[a] + sizes[b]
+    found, done = published.minus(a, published, b, CELLS).peel()
+    cells = np.maximum(4 * CELLS, 3 * (total // 2 + 8))
+    while not done.all():
+        todo = np.flatnonzero(~done)
+        again = Sketches(cells[todo] // 3)
+        again.add(*_joined([keys[i] for i in a[todo]]), 1)
+        again.add(*_joined([keys[i] for i in b[todo]]), -1)
+        found[todo], done[todo] = again.peel()
+        cells *= 2
+    return np.where(total > 0, 1.0 - found / np.maximum(total, 1), 1.0)
+
+
 def edited_text(text: str, following: str) -> str:
     """``text`` with its last third (floor) replaced by the beginning, as long (or
     all), of ``following``."""
@@ -244,46 +347,50 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _stream_pairs(id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (p, id scalar array, text, digests, sketch) waiting for its successor
+        held = None  # (p, id array, text, digests) waiting for its successor
+        pairs: list[tuple] = []
         for batch in batches:
             ids, texts = batch.column("id"), batch.column("text")
             ps, tails = batch.column("p").to_pylist(), batch.column("tail").to_pylist()
-            out: list[tuple] = []
-            out_ids: list[pa.Array] = []
             for i, text in enumerate(texts.to_pylist()):
                 if held is not None and held[0] == ps[i]:
-                    keys = digests(text)
-                    row = (ps[i], ids.slice(i, 1), text, keys, Sketch(CELLS, keys))
-                    out_ids.append(held[1])
-                    out.append(_compare(held, row))
+                    row = (ps[i], ids.slice(i, 1), text, _key_array(text))
+                    pairs.append((held, row))
                     held = None if tails[i] else row
                 elif tails[i]:
                     held = None  # further rows of the id that starts the next range
                 else:
-                    keys = digests(text)
-                    held = (ps[i], ids.slice(i, 1), text, keys, Sketch(CELLS, keys))
-            if out:
-                yield _to_batch(id_col, out_ids, out)
+                    held = (ps[i], ids.slice(i, 1), text, _key_array(text))
+                if len(pairs) >= AT_ONCE or (pairs and len(pairs[-1][0][3]) > MANY_KEYS):
+                    yield _to_batch(id_col, pairs)
+                    pairs = []
+            if pairs:
+                yield _to_batch(id_col, pairs)
+                pairs = []
         if held is not None:  # only when the table holds NULL ids alone
-            yield _to_batch(id_col, [held[1]], [_compare(held, held)])
+            yield _to_batch(id_col, [(held, held)])
     return run
 
 
-def _compare(row, following) -> tuple:
-    _, _, text, keys, sketch = row
-    edited = edited_text(text, following[2])
-    ekeys = digests(edited)
-    esketch = Sketch(CELLS, ekeys)
-    return (len(text), hashlib.sha256(edited.encode()).hexdigest(), sketch.to_text(),
-            esketch.to_text(), likeness(keys, ekeys, sketch, esketch),
-            likeness(keys, following[3], sketch, following[4]), len(keys))
-
-
-def _to_batch(id_col: str, ids: list[pa.Array], rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows))
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(),
-             pa.int64()]
-    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-             "near_edited", "near_next", "n_paragraphs"]
-    return pa.RecordBatch.from_arrays(
-        [pa.concat_arrays(ids)] + [pa.array(c, t) for c, t in zip(cols, types)], names=names)
+def _key_array(text: str) -> np.ndarray:
+    return np.array(digests(text), np.uint64)
+
+
+def _to_batch(id_col: str, pairs: list[tuple]) -> pa.RecordBatch:
+    """Output rows of (row, following row) pairs."""
+    n = len(pairs)
+    edited = [edited_text(row[2], following[2]) for row, following in pairs]
+    keys = ([row[3] for row, _ in pairs] + [_key_array(t) for t in edited]
+            + [following[3] for _, following in pairs])
+    published = sketch_all(keys, np.full(3 * n, CELLS // 3))
+    texts = published.to_texts(CELLS)
+    near = likenesses(keys, [(i, n + i) for i in range(n)] + [(i, 2 * n + i) for i in range(n)],
+                      published)
+    cols = [pa.concat_arrays([row[1] for row, _ in pairs]),
+            pa.array([len(row[2]) for row, _ in pairs], pa.int64()),
+            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
+            pa.array(texts[:n]), pa.array(texts[n:2 * n]), pa.array(near[:n]), pa.array(near[n:]),
+            pa.array([len(row[3]) for row, _ in pairs], pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, names=[
+        id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next", "n_paragraphs"])
