@@ -29,6 +29,9 @@ from .common import release_memory, slices, whole_text
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 LONG_PIECE = 192       # bytes; longer pieces take the position-row query
+WINDOW = 1 << 17       # bytes; longer pieces still are encoded window by window
+TAIL = 64              # tokens before a window that are encoded again with it
+SPREAD = 4096          # bytes around a boundary that are encoded again at most
 REMEMBERED = 225_000   # segments and pieces (each) that a worker remembers, twice over
 CHARS = 4_000_000      # characters of text a worker takes up at a time
 QUERY_PIECES = 50_000  # pieces per recursive query
@@ -150,6 +153,7 @@ class Codec:
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
         self.db.unregister("merges_in")
         self.db.unregister("vocab_in")
+        self.bytes = {r: t for t, r in ranks.items()}
         self.pieces, self.segments = Memory(), Memory()
 
     def forget(self) -> None:
@@ -172,8 +176,80 @@ class Codec:
 
     def _merge(self, pieces: list[str]) -> list[bytes]:
         """Ids (little-endian 32-bit) of pieces by the recursive queries."""
-        out: list[bytes] = [b""] * len(pieces)
         raw = [p.encode() for p in pieces]
+        short = [i for i, x in enumerate(raw) if len(x) <= WINDOW]
+        out = [b""] * len(raw)
+        for i, ids in zip(short, self._contract([raw[i] for i in short])):
+            out[i] = ids
+        for i, x in enumerate(raw):
+            if len(x) > WINDOW:
+                out[i] = np.array(self._long_piece(x), dtype="<u4").tobytes()
+        return out
+
+    def _long_piece(self, raw: bytes) -> list[int]:
+        """Ids of a piece of any length, in memory that does not grow with its query.
+
+        Ids are those of the whole piece if every two neighbours are the ids of their joint
+        bytes: a merge across a boundary would show in the two tokens beside it.  So the
+        piece is encoded in short chunks, all in one query, and where two chunks do not fit,
+        the tokens around their boundary are encoded again, more of them in each round.
+        Should that spread (as in a long run of one letter), the piece is encoded from left
+        to right instead.
+        """
+        chunks = [raw[i:i + LONG_PIECE] for i in range(0, len(raw), LONG_PIECE)]
+        parts = [_ids(x) for x in self._contract(chunks)]
+        k = 4
+        while True:
+            fit = self._fits([(x[-1], y[0]) for x, y in zip(parts, parts[1:])])
+            bad = [i for i, ok in enumerate(fit) if not ok]
+            if not bad:
+                return [t for part in parts for t in part]
+            runs = []  # first and last of the parts that bad boundaries join
+            for i in bad:
+                if runs and runs[-1][1] == i:
+                    runs[-1][1] = i + 1
+                else:
+                    runs.append([i, i + 1])
+            again = [self._text(parts[i][-k:] + [t for p in parts[i + 1:j] for t in p]
+                                + parts[j][:k]) for i, j in runs]
+            if max(map(len, again)) > SPREAD:
+                return self._by_windows(raw)
+            new, at = [], 0
+            for (i, j), ids in zip(runs, self._contract(again)):
+                new += [*parts[at:i], parts[i][:-k], _ids(ids), parts[j][k:]]
+                at = j + 1
+            parts = [p for p in new + parts[at:] if p]
+            k *= 2
+
+    def _by_windows(self, raw: bytes) -> list[int]:
+        """The same from left to right: each window is encoded together with the last TAIL
+        tokens before it; if the new first token does not fit the token left of it, more
+        tokens are taken back, up to all."""
+        done: list[int] = []
+        for at in range(0, len(raw), WINDOW):
+            step, back = raw[at:at + WINDOW], TAIL
+            while True:
+                k = min(back, len(done))
+                ids = _ids(self._contract([self._text(done[len(done) - k:]) + step])[0])
+                if k == len(done) or self._fits([(done[-k - 1], ids[0])])[0]:
+                    break
+                back *= 4
+            done[len(done) - k:] = ids
+        return done
+
+    def _text(self, ids: list[int]) -> bytes:
+        return b"".join([self.bytes[t] for t in ids])
+
+    def _fits(self, pairs: list[tuple[int, int]]) -> list[bool]:
+        """Whether the joint bytes of two tokens are encoded as these two."""
+        new = list(set(pairs))
+        ids = self._contract([self._text(list(p)) for p in new])
+        fit = {p: _ids(x) == list(p) for p, x in zip(new, ids)}
+        return [fit[p] for p in pairs]
+
+    def _contract(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of byte strings, each contracted until no pair merges."""
+        out: list[bytes] = [b""] * len(raw)
         for query, chosen in ((_ENCODE, [i for i, x in enumerate(raw) if len(x) <= LONG_PIECE]),
                               (_ENCODE_LONG,
                                [i for i, x in enumerate(raw) if len(x) > LONG_PIECE])):
@@ -241,12 +317,20 @@ class Codec:
         return [b"".join(parts) for parts in out]
 
 
+def _ids(raw: bytes) -> list[int]:
+    return np.frombuffer(raw, "<u4").tolist()
+
+
+_SPACE_AFTER_SPACE = regex.compile(r"\s ")
+
+
 def _segments(text: str) -> list[str]:
     """A text cut where no pre-token reaches across: from a character that is not white
-    space to one that is.  Without double spaces, cutting before every space does that."""
+    space to one that is.  If no space follows other white space, cutting before every
+    space does that."""
     if not text:
         return []
-    if "  " in text:
+    if _SPACE_AFTER_SPACE.search(text):
         return regex.findall(r"\s*\S+|\s+", text)
     parts = text.split(" ")
     return [s for s in [parts[0], *(" " + p for p in parts[1:])] if s]
@@ -263,8 +347,12 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, n_tokens, ids_sha256, decoded_sha256, round_trip) of every text, and with
     ``with_ids`` the ids (binary, little-endian unsigned 32-bit) and the decoded text.
 
-    NULL texts are empty and have no tokens.  Whole texts are encoded, each match of
-    the pattern by itself, without special tokens.  Rows stay where they are: no shuffle.
+    NULL and empty texts have no tokens.  Whole texts are encoded, each match of the
+    pattern by itself, without special tokens.  A match of any length is encoded whole, in
+    windows beyond WINDOW bytes; its time grows with its length, its memory does not but
+    for the ids.  Repeated rows give repeated results, other columns are ignored, whatever
+    their names, and an empty table gives an empty result.  Rows stay where they are: no
+    shuffle.
     """
     path = path or public_tokenizers.path(TOKENIZER)
     pattern = pattern or public_tokenizers.PATTERN

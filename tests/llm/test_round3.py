@@ -209,3 +209,48 @@ def test_quality_odd_tables(spark):
     assert quality.with_score(docs.limit(0), model).collect() == []
     nobody = quality.learn(docs, labels.limit(0), everyone)
     assert {r.quality_score for r in quality.with_score(docs, nobody).collect()} == {0.5}
+
+
+# -- byte-level BPE: long words, exact matches
+def test_bpe_long_words_by_chunks_and_windows(monkeypatch):
+    """Words far beyond one query, against the tokenizer library: mixed letters, runs of one
+    letter (where the repair spreads), periodic and multi-byte words."""
+    import public_tokenizers
+
+    from spendaudit.llm import bpe, token_counts
+    path = public_tokenizers.path(bpe.TOKENIZER)
+    enc, c = token_counts.encoder(path), bpe.codec(path, public_tokenizers.PATTERN)
+    for name, v in (("LONG_PIECE", 30), ("WINDOW", 40), ("TAIL", 2)):
+        monkeypatch.setattr(bpe, name, v)
+    random.seed(6)
+    words = [" " + "a" * 301, "hab" * 90, "漢字é" * 40]
+    words += ["".join(random.choice("abcdefghijklmnopqrstuvwxyz"[:k]) for _ in range(250))
+              for k in (2, 3, 26)]
+    for spread in (60, 4096):
+        monkeypatch.setattr(bpe, "SPREAD", spread)
+        for w in words:
+            (ids,) = c._merge([w])
+            assert np.frombuffer(ids, "<u4").tolist() == enc(w), w
+
+
+def test_bpe_of_a_word_of_megabytes(spark):
+    from spendaudit.llm import bpe
+    rows = [(1, "x" * 4_000_000), (2, "tail"), (3, None)]
+    got = {r.doc_id: r for r in bpe.encode_decode(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].round_trip and got[1].n_tokens < 4_000_000 and got[3].n_tokens == 0
+    assert got[1].decoded_sha256 == H("x" * 4_000_000)
+
+
+def test_bpe_pieces_are_the_matches_of_the_pattern():
+    import public_tokenizers
+    import regex
+
+    from spendaudit.llm import bpe
+    c = bpe.codec(public_tokenizers.path(bpe.TOKENIZER), public_tokenizers.PATTERN)
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    random.seed(8)
+    parts = ["a", "Bc", " ", "  ", "\n", "\t", "\r\n", " ", "12", ".", "!?", "é", "漢", "'s"]
+    for _ in range(5000):
+        t = "".join(random.choice(parts) for _ in range(random.randint(0, 12)))
+        assert [p for s in bpe._segments(t) for p in c._pieces(s)] == pattern.findall(t), repr(t)
