@@ -9,7 +9,8 @@ container and tag, how many words lie inside and outside of it; fixed prior coun
 for containers that the labelled pages do not show.
 
 Inside a container of boilerplate that container decides, however strong the evidence of
-the article around it is.  Tags are charged where words do not score positive.
+the article around it is: inside an article it counts as nothing, so that the article goes
+on behind it, and elsewhere against the region.  Tags are charged where words score negative.
 """
 
 from __future__ import annotations
@@ -66,6 +67,11 @@ DECIDING = WRAPPERS | frozenset("nav aside footer menu dialog".split())
 PRIOR_BOILERPLATE, PRIOR_ARTICLE = (2, 998), (800, 200)
 TAG_COST = 1.0         # of a tag that never occurs inside articles
 WORD_CAP = 1.0         # score of a word, at most, either way
+BARE = 0.1             # evidence of words outside of any container (a page without tags)
+# Elements of running text: a boilerplate name drops their words, wherever they are ...
+INLINE = frozenset("span a small label b i em strong".split())
+# ... and elements that are text themselves: one listed word among others does not decide.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote pre figcaption".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)"
@@ -90,6 +96,8 @@ def names_in(attributes: str, name: str = "", inside: bool = False) -> tuple[str
         elif kind in ("class", "id", "role", "itemprop"):
             value = re.sub(r"[^a-z0-9]+", " ", value)
             found = set(_NAME.findall(value))
+            if name in TEXTUAL and found - BOILERPLATE:
+                continue
             harmless = (name in ("html", "body", "main")
                         or (name == "article" and found & ARTICLE_NAMES))
             if not harmless and found & BOILERPLATE - ({"header"} if inside else set()):
@@ -100,15 +108,15 @@ def names_in(attributes: str, name: str = "", inside: bool = False) -> tuple[str
 
 
 def element_ends(html: str) -> dict[int, int]:
-    """End of the whole element by the end of its start tag, for SKIPPED elements that are
-    not RAW and have an end tag of their own."""
+    """End of the whole element by the end of its start tag, for INLINE elements and SKIPPED
+    ones that are not RAW, if they have an end tag of their own."""
     ends: dict[int, int] = {}
     begun: dict[str, list[int]] = {}
     at = 0
     while m := _TOKEN.search(html, at):
         at = m.end()
         name = m.group(2).lower() if m.group(2) else None
-        if name not in SKIPPED:
+        if name not in SKIPPED and name not in INLINE:
             continue
         if m.group(1):
             if begun.get(name):
@@ -225,6 +233,13 @@ def parse(html: str) -> list[Block]:
                     break
                 leave()
         features = names_in(m.group(3), name, depth_article > 0) if m.group(3) else ()
+        if name in INLINE and "#boilerplate" in features:
+            ends = element_ends(html) if ends is None else ends
+            if at in ends:
+                parts.append(" ")
+                tags.pop()
+                at = ends[at]
+            continue
         if name in CONTAINERS and not (name == "header" and depth_article):
             features = (name,) + features
         enter(name, features)
@@ -253,10 +268,18 @@ class Weights:
 
     def of(self, context: tuple[str, ...]) -> float:
         """Score of a word: the evidence of the strongest boilerplate container, or the
-        summed evidence if there is none, squashed."""
-        against = min((self.word.get(f, 0.0) for f in context if f in DECIDING), default=0.0)
-        z = against if against < 0 else sum(self.word.get(f, 0.0) for f in context)
-        return WORD_CAP * math.tanh(z)
+        summed evidence if there is none, squashed.  Lists, tables and other neutral
+        containers inside an article say nothing against it.  Boilerplate inside an
+        article scores 0: it is no part of the text and no end of it."""
+        z, article = 0.0, False
+        for f in context:
+            w = self.word.get(f, 0.0)
+            if f in DECIDING and w < 0:
+                against = min(self.word.get(x, 0.0) for x in context if x in DECIDING)
+                return 0.0 if article else WORD_CAP * math.tanh(against)
+            z += max(w, 0.0) if article else w
+            article = article or f in ("article", "main")
+        return WORD_CAP * math.tanh(z if context else BARE)
 
 
 def weights_from(counts: dict[str, int]) -> Weights:
@@ -302,7 +325,7 @@ def extract(html: str, weights: Weights) -> str:
             w = memo[b.context] = weights.of(b.context)
         words.append(w)
         scores.append(w * (b.text.count(" ") + 1)
-                      - sum(weights.tag.get(t, 0.5) for t in b.tags) * (w <= 0))
+                      - sum(weights.tag.get(t, 0.5) for t in b.tags) * (w < 0))
     i, j = best_region(scores)
     return "\n".join(b.text for b, w in zip(blocks[i:j], words[i:j]) if w > 0)
 

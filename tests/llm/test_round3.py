@@ -254,3 +254,64 @@ def test_bpe_pieces_are_the_matches_of_the_pattern():
     for _ in range(5000):
         t = "".join(random.choice(parts) for _ in range(random.randint(0, 12)))
         assert [p for s in bpe._segments(t) for p in c._pieces(s)] == pattern.findall(t), repr(t)
+
+
+# -- main text: the whole article, with weights learned from pages
+@pytest.fixture(scope="module")
+def page_weights(spark):
+    from spendaudit.llm import html_extract
+    return html_extract.learn_weights(spark.read.parquet(f"{SMALL}/pages.parquet"))
+
+
+def page(body):
+    return ("<html><body><nav><ul><li><a href='/'>home</a></li><li>about us</li></ul></nav>"
+            f"<div class='ad'>buy things here</div>{body}<footer>imprint and more</footer></body></html>")
+
+
+@pytest.mark.parametrize("body,want", [
+    ("<article><p>First words.</p><ul><li>item one</li><li>item two</li></ul><p>last</p></article>",
+     "First words.\nitem one\nitem two\nlast"),
+    ("<article><p>First words.</p><aside>one two three four five six seven eight nine ten</aside>"
+     "<p>last bit</p></article>", "First words.\nlast bit"),
+    ("<article><p>First words.</p><p class='share price'>The share price rose.</p>"
+     "<p class='ad'>buy this</p></article>", "First words.\nThe share price rose."),
+    ("<article><p>First <span class='ad'>buy now</span> words.</p><table><tr><td>cell</td></tr>"
+     "</table></article>", "First words.\ncell"),
+    ("<div class='legal-post'><article><p>First words.</p><ol><li>a</li></ol></article></div>",
+     "First words.\na")])
+def test_the_whole_article_is_kept(page_weights, body, want):
+    from spendaudit.llm import html_extract
+    assert html_extract.extract(page(body), page_weights) == want
+
+
+def test_a_page_without_tags_is_text(page_weights):
+    from spendaudit.llm import html_extract
+    assert html_extract.extract("only text,\n no tags", page_weights) == "only text, no tags"
+
+
+def test_small_trees_against_brute_force(page_weights):
+    """Random articles of nested blocks, some of them boilerplate: the text is that of the
+    blocks outside of boilerplate, in order."""
+    from spendaudit.llm import html_extract
+    rng = random.Random(9)
+    noise = ["<aside>{}</aside>", "<form>{}</form>", "<div class='ad'>{}</div>",
+             "<section class='comments'>{}</section>", "<nav>{}</nav>", "<footer>{}</footer>"]
+    keep = ["<div>{}</div>", "<section>{}</section>", "<ul><li>{}</li></ul>",
+            "<blockquote>{}</blockquote>", "<table><tr><td>{}</td></tr></table>"]
+    count = iter(range(10 ** 6))
+
+    def node(depth, kept):
+        """(html, kept texts)"""
+        kind = rng.random()
+        if depth == 0 or kind < 0.4:
+            text = " ".join(f"w{next(count)}" for _ in range(rng.randint(1, 6)))
+            return f"<p>{text}</p>", [text] if kept else []
+        shape = rng.choice(noise if kind < 0.55 else keep)
+        inside = [node(depth - 1, kept and shape not in noise) for _ in range(rng.randint(1, 3))]
+        return shape.format("".join(h for h, _ in inside)), [t for _, ts in inside for t in ts]
+
+    for _ in range(300):
+        parts = [node(3, True) for _ in range(rng.randint(1, 4))]
+        html = page("<article>" + "".join(h for h, _ in parts) + "</article>")
+        want = [t for _, ts in parts for t in ts]
+        assert html_extract.extract(html, page_weights) == "\n".join(want), html
