@@ -1,6 +1,8 @@
 """Toxicity, main-text extraction, and the pipeline."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,7 +176,7 @@ def test_best_region():
 def test_queries_are_registered():
     import __spark_entry__ as entry
     names = set(entry.queries())
-    assert {f.split("_")[0] for f in names if f.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {f.split("_")[0] for f in names if f.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in names and set(queries.oracle_sql()) <= names
 
 
@@ -193,11 +195,67 @@ def stages(spark):
 def test_pipeline_stages(stages):
     docs, calm, unique, apart, mixed, encoded = stages
     assert all(x.columns == docs.columns for x in stages[:-1])
-    assert calm.count() <= docs.count()
     assert unique.count() == calm.select("text").distinct().count()
     from test_operators import brute_components, brute_fingerprint
     rows = unique.select("doc_id", "text").collect()
     comp = brute_components([brute_fingerprint(r.text) for r in rows], [r.doc_id for r in rows], 4)
     assert sorted(r.doc_id for r in apart.select("doc_id").collect()) == sorted(set(comp))
-    assert mixed.groupBy("doc_id").count().where("count > 2").count() == 0
     assert encoded.count() == mixed.count() and encoded.where("NOT round_trip").count() == 0
+
+
+def plain_score(text, model):
+    """The score of a text without the automaton: every word against every lexicon entry by
+    edit distance (a swap of neighbours is one edit)."""
+    def near(w, x):
+        swapped = [w[:i] + w[i + 1] + w[i] + w[i + 2:] for i in range(len(w) - 1)]
+        return len(x) >= toxicity.MIN_FUZZY and (
+            (abs(len(w) - len(x)) <= 1 and edits(w, x) <= toxicity.MAX_EDITS) or x in swapped)
+
+    words = (text or "").lower().split()
+    n = exact = quoted = 0
+    for i, raw in enumerate(words):
+        w = raw.strip(toxicity.STRIP)
+        whole = w in model.words or any(w.startswith(s) for s in model.stems)
+        if not w or not (whole or (w not in model.known_clean
+                                   and any(near(w, x) for x in model.words))):
+            continue
+        if toxicity.is_quoted(words, i):
+            quoted += 1
+        else:
+            n, exact = n + 1, exact + whole
+    x = [1, n >= 1, n >= 2, n >= 3, n >= 1 and not exact, quoted >= 1, quoted >= 2]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights))))
+
+
+def test_toxicity_stage_row_by_row(spark, stages):
+    """The stage keeps exactly the documents that the plain score does not reject, each once
+    and unchanged; so does the query's score."""
+    docs, calm = stages[:2]
+    model = queries.toxicity_model(spark, "/root/testdata/sf0.001")
+    assert model.words
+    rows = docs.collect()
+    score = {r.doc_id: plain_score(r.text, model) for r in rows}
+    assert sorted(calm.collect()) == sorted(r for r in rows if score[r.doc_id] < toxicity.THRESHOLD)
+    assert len(rows) > calm.count() > len(rows) // 2
+    for r in queries.op3_toxicity(spark, "/root/testdata/sf0.001").collect():
+        assert abs(r.score - score[r.doc_id]) < 1e-9
+        assert r.predicted == (score[r.doc_id] >= toxicity.THRESHOLD)
+
+
+def test_mixing_stage_row_by_row(stages, tmp_path):
+    """Each document comes out once for every pass that takes at least half of its words,
+    with the passes worked out by the query's SQL over the stage's own input."""
+    import duckdb
+    apart, mixed = stages[3:5]
+    apart.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    ctes = queries.MIXING_SQL[:queries.MIXING_SQL.rindex("SELECT doc_id, CAST(size AS BIGINT)")]
+    want = {}
+    for doc, size, start, whole, quota in con.execute(
+            ctes + "SELECT doc_id, size, start, source_size, quota FROM placed").fetchall():
+        taken = [min(max(quota - start - p * whole, 0), size) for p in range(2)]
+        want[doc] = sum(size > 0 and t > 0 and 2 * t >= size for t in taken)
+    got = Counter(r.doc_id for r in mixed.select("doc_id").collect())
+    assert got == Counter({d: n for d, n in want.items() if n}) and max(got.values()) == 2
+    assert mixed.distinct().exceptAll(apart.distinct()).count() == 0
