@@ -49,10 +49,15 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's checkpoint folder; only when none is configured (as
-    in local tests) create a private one under the temp directory."""
+    """Use the cluster's checkpoint folder; only when none is configured and the
+    session is local (as in tests) create a private one under the temp directory.
+    On a cluster the executors would not see such a folder: that is an error."""
     d = checkpoint_dir(spark)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all "
+                               f"executors share (master {master})")
         d = tempfile.mkdtemp(prefix="spendaudit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
