@@ -253,12 +253,15 @@ def test_calendar_dense_baseline_counts_idle_days_as_zero(make_usage):
     assert 4 not in dense  # an idle day is never a spike
 
 
-@pytest.mark.parametrize("max_candidates", [200_000, 0])
-def test_duplicate_ids_with_a_hot_copy_group(make_usage, max_candidates):
+@pytest.mark.parametrize("words", [1 << 16, 1])
+def test_duplicate_ids_with_a_hot_copy_group(make_usage, monkeypatch, words):
+    """Exact with a sparse filter and with one so small that most ids pass it."""
+    from spendaudit.functions import sieve
+    monkeypatch.setattr(sieve, "WORDS", words)
     rows = [(f"u{i}", "ws", STD, "2024-01-01 00:00:00", "1", None, "1") for i in range(60)]
     rows += [("hot", "ws", STD, "2024-01-01 00:00:00", "1", None, "1")] * 30
     rows += [("twice", "ws", STD, "2024-01-01 00:00:00", "1", None, "1")] * 2
-    got = compliance.duplicate_rows(make_usage(rows), max_candidates=max_candidates).collect()
+    got = compliance.duplicate_rows(make_usage(rows)).collect()
     assert got[0].failing_rows == 32
 
 

@@ -159,8 +159,8 @@ def test_written_usage_files_are_ordered_for_row_group_skipping(spark, tmp_path)
     files = glob.glob(str(tmp_path / "pq" / "usage_date=*" / "*.parquet"))
     assert files
     for f in files:
-        t = pq.read_table(f, columns=["sku_name", "workspace_id", "usage_start_time"]).to_pylist()
-        keys = [(r["sku_name"], r["workspace_id"], r["usage_start_time"]) for r in t]
+        t = pq.read_table(f, columns=["sku_name", "usage_start_time", "workspace_id"]).to_pylist()
+        keys = [(r["sku_name"], r["usage_start_time"], r["workspace_id"]) for r in t]
         assert keys == sorted(keys)
 
 
