@@ -59,10 +59,10 @@ class Fit:
 
 def integer_vectors(rows: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id"
                     ) -> DataFrame:
-    """(id, x) of the rows whose vector is there and has only finite entries."""
+    """(id, x) of the rows whose vector has entries, all of them finite."""
     c = F.col(vector_col).cast("array<double>")
     finite = F.forall(c, lambda v: F.coalesce((v - v) == 0, F.lit(False)))
-    return (rows.where(F.col(vector_col).isNotNull() & finite)
+    return (rows.where((F.size(vector_col) > 0) & finite)
             .select(F.col(id_col).alias("id"),
                     F.transform(c, lambda v: F.floor(v * SCALE) + SHIFT).alias("x")))
 
@@ -192,11 +192,10 @@ def whiten(rows: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id
     (n*x - S)^2), whitened (array over components) and, the same in every row, n,
     explained (array) and identity_error.
 
-    Vectors that are NULL or hold NULL, infinite or NaN entries are dropped; ids may be
+    Vectors that are NULL, empty or hold NULL, infinite or NaN entries are dropped; ids may be
     NULL or repeated, each row is kept by itself; repeated vectors count as often as they
     occur.  A component along which the vectors do not differ has NULL in ``whitened``.
-    Vectors of no entries have no components; vectors of different lengths raise
-    ValueError.  Entries beyond about 1e17 do not fit the integers and raise an overflow
+    Vectors of different lengths raise ValueError.  Entries beyond about 1e17 do not fit the integers and raise an overflow
     error.  Other columns are ignored, whatever their names.  An empty table, or one whose
     vectors are all dropped, gives an empty result.
     """
@@ -204,8 +203,7 @@ def whiten(rows: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id
     out = f"{id_col} {rows.schema[id_col].dataType.simpleString()}, deviation decimal(38,0), " \
           "whitened array<double>, n long, explained array<double>, identity_error double"
     spark = rows.sparkSession
-    width = numbered.select(F.size("x")).first()
-    if not n or not width[0]:
+    if not n:
         return spark.createDataFrame([], out)
     model, blocks = fit(numbered, n)
     extent = model.extent(components)

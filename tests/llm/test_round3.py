@@ -154,6 +154,7 @@ def test_whitening_without_extent_or_rows(spark):
     assert len(got) == 3 and all(len(r.whitened) == 2 and r.whitened[1] is None for r in got)
     assert whitening.whiten(df.limit(0)).collect() == []
     assert whitening.whiten(spark.createDataFrame([(1, []), (2, None)], df.schema)).collect() == []
+    assert len(whitening.whiten(df.unionByName(spark.createDataFrame([(4, [])], df.schema))).collect()) == 3
     with pytest.raises(ValueError):
         whitening.whiten(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], df.schema))
 
