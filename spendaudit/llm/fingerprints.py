@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole_text
+from .common import release_memory, slices, whole_text
 
 CELLS = 24             # cells of a published fingerprint (three sub-tables)
 HEAD = 8               # so many first words of a text are passages of their own
@@ -33,7 +33,8 @@ LONGEST = 16           # words of a passage at most
 LONG_WORD = 16         # a word beyond this many characters is cut like a text
 ROWS_PER_RANGE = 2048  # rows of one id range in ``neighbour_fingerprints``
 AT_ONCE = 256          # pairs of documents that are sketched and peeled together ...
-MANY_KEYS = 20_000     # ... or fewer, after a document of so many passages
+MANY_KEYS = 50_000     # ... or fewer, once they have so many passages together
+CHARS = 4_000_000      # characters of text a worker takes up at a time
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -329,11 +330,13 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
         probe = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63)))
     else:
         probe = F.col("id")
+    # outer: no row lacks a range, and the inner form's filter would run the UDF once more,
+    # in a second Python worker
     dealt = (rows.withColumn("ps", ranges(probe))
-             .select("id", "text", F.posexplode("ps").alias("copy", "p"))
+             .select("id", "text", F.posexplode_outer("ps").alias("copy", "p"))
              .withColumn("tail", F.col("copy") == 1)
              .withColumn("h", F.xxhash64("text"))
-             .repartition(len(starts), "p")
+             .repartitionById(len(starts), "p")  # hashed, several ranges would share a task
              .sortWithinPartitions("p", "tail", F.desc_nulls_last("id"), "h"))
     schema = T.StructType([
         T.StructField(id_col, id_type), T.StructField("n_chars", T.LongType()),
@@ -347,26 +350,33 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _stream_pairs(id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from paired(batches)
+        finally:
+            release_memory()
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (p, id array, text, digests) waiting for its successor
-        pairs: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches, 1, CHARS):
+            pairs: list[tuple] = []
+            n_keys = 0
             ids, texts = batch.column("id"), batch.column("text")
             ps, tails = batch.column("p").to_pylist(), batch.column("tail").to_pylist()
             for i, text in enumerate(texts.to_pylist()):
                 if held is not None and held[0] == ps[i]:
                     row = (ps[i], ids.slice(i, 1), text, _key_array(text))
                     pairs.append((held, row))
+                    n_keys += len(row[3])
                     held = None if tails[i] else row
                 elif tails[i]:
                     held = None  # further rows of the id that starts the next range
                 else:
                     held = (ps[i], ids.slice(i, 1), text, _key_array(text))
-                if len(pairs) >= AT_ONCE or (pairs and len(pairs[-1][0][3]) > MANY_KEYS):
+                if len(pairs) >= AT_ONCE or n_keys > MANY_KEYS:
                     yield _to_batch(id_col, pairs)
-                    pairs = []
+                    pairs, n_keys = [], 0
             if pairs:
                 yield _to_batch(id_col, pairs)
-                pairs = []
         if held is not None:  # only when the table holds NULL ids alone
             yield _to_batch(id_col, [(held, held)])
     return run

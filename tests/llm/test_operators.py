@@ -127,6 +127,47 @@ def test_neighbour_fingerprints(docs, rows, no_docs, per_range):
     assert fingerprints.neighbour_fingerprints(no_docs).count() == 0
 
 
+def test_documents_of_many_passages_are_sketched_a_few_at_a_time(monkeypatch):
+    """What a worker sketches together is bounded by passages and characters, not only by
+    documents, and the rows do not depend on it."""
+    import pyarrow as pa
+    texts = [" ".join(f"w{(i + 1) * j % 997}" for j in range(1500)) for i in range(300)]
+    batch = pa.RecordBatch.from_pydict({
+        "id": pa.array(range(300, 0, -1), pa.int64()), "text": texts,
+        "p": pa.array([0] * 300, pa.int32()), "tail": [False] * 300})
+    made, plain = [], fingerprints._to_batch
+
+    def to_batch(id_col, pairs):
+        made.append((sum(len(row[3]) for _, row in pairs), sum(len(row[2]) for _, row in pairs)))
+        return plain(id_col, pairs)
+    monkeypatch.setattr(fingerprints, "_to_batch", to_batch)
+
+    def run():
+        return pa.Table.from_batches(list(fingerprints._stream_pairs("doc_id")(iter([batch])))
+                                     ).to_pylist()
+    got = run()[:299]
+    most = max(len(fingerprints.digests(t)) for t in texts)
+    assert sum(n for n, _ in made) > fingerprints.MANY_KEYS + most
+    assert max(n for n, _ in made) <= fingerprints.MANY_KEYS + most
+    monkeypatch.setattr(fingerprints, "MANY_KEYS", 1 << 60)
+    monkeypatch.setattr(fingerprints, "CHARS", 50_000)
+    made.clear()
+    assert run()[:299] == got
+    assert max(n for _, n in made) <= 50_000 + max(map(len, texts))
+
+
+def test_id_ranges_take_one_python_step(docs):
+    plan = fingerprints.neighbour_fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_id_ranges_are_dealt_one_to_a_task(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    got = fingerprints.neighbour_fingerprints(docs, rows_per_range=100)
+    per_task = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 4000 and max(per_task) < 200   # ranges are 100 rows, give or take
+
+
 # -- token counts
 def test_token_counts(docs, rows, no_docs):
     enc = token_counts.encoder(token_counts.tokenizer_path())
