@@ -1,12 +1,11 @@
-"""Byte-level BPE encoding and decoding with DuckDB recursive queries.
-
-Each partition runs an in-process DuckDB over its distinct pre-token pieces.  Encoding
-starts from one row per (piece, position, byte token), joined to the merge table for the
-rank of every adjacent pair; a recursive query then contracts each piece's leftmost pair
-of minimum rank and looks up the two pairs this makes, until no piece has a pair that
-merges.  Long pieces are contracted on their position rows, all leftmost non-overlapping
-occurrences of the minimum-rank pair at once where that cannot change the outcome.
-Decoding joins the ids to the vocabulary and aggregates the bytes in position order.
+"""Byte-level BPE encoding and decoding in Arrow and numpy over the rows of each partition.
+
+The texts of a slice are cut into segments and these into pre-token pieces; each distinct
+piece is encoded once.  Pieces of as many tokens are the rows of one matrix: a step contracts
+the leftmost pair of minimum rank in every row and looks up the two pairs this makes, and
+rows without a pair that merges are done.  Long pieces take their pairs from a heap instead.
+The ids of pieces, segments and texts follow by index; decoding takes the bytes of every id
+from the vocabulary in turn.
 """
 
 from __future__ import annotations
@@ -15,11 +14,12 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
-import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,107 +28,28 @@ from pyspark.sql import types as T
 from .common import release_memory, slices, whole_text
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
-LONG_PIECE = 192       # bytes; longer pieces take the position-row query
+LONG_PIECE = 192       # bytes; longer pieces take their pairs from a heap
 WINDOW = 1 << 17       # bytes; longer pieces still are encoded window by window
 TAIL = 64              # tokens before a window that are encoded again with it
 SPREAD = 4096          # bytes around a boundary that are encoded again at most
-REMEMBERED = 225_000   # segments and pieces (each) that a worker remembers, twice over
-CHARS = 4_000_000      # characters of text a worker takes up at a time
-QUERY_PIECES = 50_000  # pieces per recursive query
-QUERY_IDS = 1_000_000  # ids per decoding query
-
-# One row per piece: its tokens and the merge result of every adjacent pair.  Rows arrive in
-# position order and are gathered as they come; ``_UNORDERED`` proves it, and otherwise the
-# lists are gathered again with a sort.
-_FIRST = """
-CREATE OR REPLACE TEMP TABLE first AS
-SELECT s.w, list(s.t{order}) AS toks, list(m.r{order}) AS pairs, list(s.p{order}) AS places
-FROM start s LEFT JOIN merges m ON m.a = s.t AND m.b = s.nt GROUP BY s.w
-"""
-_UNORDERED = "SELECT count(*) FROM first WHERE places <> range(len(places))"
-
-# A step replaces each piece's leftmost least pair and looks up its two new neighbours.
-_ENCODE = """
-WITH RECURSIVE word(w, toks, pairs, least) AS (
-  SELECT w, toks, pairs, list_min(pairs) FROM first
-  UNION ALL
-  SELECT w, toks, pairs, list_min(pairs) FROM (
-    SELECT x.w, x.toks[:i - 1] || [x.least] || x.toks[i + 2:] AS toks,
-           CASE WHEN i > 1 THEN x.pairs[:i - 2] || [l.r] ELSE []::INT[] END
-             || [n.r] || x.pairs[i + 2:] AS pairs
-    FROM (SELECT *, list_position(pairs, least) AS i, toks[list_position(pairs, least) - 1] AS lt,
-                 toks[list_position(pairs, least) + 2] AS nt FROM word WHERE least IS NOT NULL) x
-    LEFT JOIN merges l ON l.a = x.lt AND l.b = x.least
-    LEFT JOIN merges n ON n.a = x.least AND n.b = x.nt))
-SELECT w, toks FROM word WHERE least IS NULL ORDER BY w
-"""
+CHARS = 4_000_000      # bytes of text a worker takes up at a time
+QUERY_PIECES = 50_000  # pieces contracted together
+QUERY_IDS = 1_000_000  # ids decoded together
+NONE = np.iinfo(np.int32).max  # rank of a pair that does not merge
 
-# The same on rows (piece, position, token) for long pieces.  All occurrences of the least
-# pair are contracted at once, left to right without overlap (in a run of overlapping
-# pairs, every other one), up to the first whose new token forms a pair of lower rank with
-# a neighbour: there the order of contractions starts to matter.
-_ENCODE_LONG = """
-WITH RECURSIVE word(w, p, t, done) AS (
-  SELECT w, p, t, FALSE FROM start
-  UNION ALL
-  SELECT w, p, CASE WHEN take THEN r ELSE t END, least IS NULL FROM (
-    SELECT *, lag(take, 1, FALSE) OVER (PARTITION BY w ORDER BY p) AS taken FROM (
-      SELECT *, hit AND run_at % 2 = 1 AND coalesce(sum(CASE WHEN turns AND run_at % 2 = 1
-          THEN 1 ELSE 0 END) OVER (PARTITION BY w ORDER BY p
-          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS take
-      FROM (
-        SELECT *, row_number() OVER (PARTITION BY w, hit, run ORDER BY p) AS run_at FROM (
-          SELECT *, row_number() OVER (PARTITION BY w ORDER BY p)
-                    - row_number() OVER (PARTITION BY w, hit ORDER BY p) AS run
-          FROM (
-            SELECT x.w, x.p, x.t, x.r, x.least, coalesce(x.r = x.least, FALSE) AS hit,
-                   x.r = x.least AND coalesce(a.r, b.r, c.r) IS NOT NULL AS turns FROM (
-              SELECT y.*, m.r, m.safe, min(m.r) OVER (PARTITION BY y.w) AS least FROM (
-                SELECT w, p, t, lag(t) OVER v AS pt, lead(t) OVER v AS nt, lead(t, 2) OVER v AS nnt
-                FROM word WHERE NOT done WINDOW v AS (PARTITION BY w ORDER BY p)) y
-              LEFT JOIN merges m ON m.a = y.t AND m.b = y.nt) x
-            LEFT JOIN merges a ON NOT x.safe AND a.a = x.pt AND a.b = x.r AND a.r < x.r
-            LEFT JOIN merges b ON NOT x.safe AND b.a = x.r AND b.b = x.nnt AND b.r < x.r
-            LEFT JOIN merges c ON NOT x.safe AND c.a = x.r AND c.b = x.r AND c.r < x.r))))
-  ) WHERE NOT taken)
-SELECT w, list(t ORDER BY p) AS toks FROM word WHERE done GROUP BY w ORDER BY w
-"""
-
-_DECODE = """
-SELECT i.w, array_to_string(list(v.bytes ORDER BY i.p), '') AS bytes
-FROM ids i JOIN vocab v ON v.id = i.id GROUP BY i.w ORDER BY i.w
-"""
 
-
-def merge_rows(ranks: dict[bytes, int]) -> pa.Table:
-    """(a, b, r, safe): tokens a and b next to each other merge to r."""
-    a, b, r = [], [], []
+def merge_rows(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, r): tokens a and b next to each other, key ``a << 32 | b``, merge to r.  Keys
+    ascend."""
+    keys, r = [], []
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             x, y = ranks.get(token[:i]), ranks.get(token[i:])
             if x is not None and y is not None:
-                a.append(x), b.append(y), r.append(rank)
-    a, b, r = (np.array(v, dtype=np.int32) for v in (a, b, r))
-    unsafe = np.unique(np.maximum(a, b)[np.maximum(a, b) > r])
-    return pa.table({"a": a, "b": b, "r": r, "safe": ~np.isin(r, unsafe)})
-
-
-class Memory:
-    """Bounded memory of two generations: entries in use are kept, and a generation that
-    was not asked for while the next one filled up is let go."""
-
-    def __init__(self, size: int = REMEMBERED):
-        self.size, self.young, self.old = size, {}, {}
-
-    def missing(self, keys: set) -> set:
-        """``keys`` that are not remembered; the others can then be read in ``young``."""
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        rest = keys - young.keys()
-        for k in rest & old.keys():
-            young[k] = old[k]
-        return rest - old.keys()
+                keys.append(x << 32 | y), r.append(rank)
+    keys, r = np.array(keys, dtype=np.int64), np.array(r, dtype=np.int32)
+    order = np.argsort(keys)
+    return keys[order], r[order]
 
 
 class Codec:
@@ -141,26 +62,20 @@ class Codec:
         self.plain = pattern == public_tokenizers.PATTERN   # letter runs are pieces there
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.whole = ranks
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB",
-                                          "temp_directory": ""})
-        merges = merge_rows(ranks)
-        by_id = sorted((r, t.decode("latin-1")) for t, r in ranks.items())
-        vocab = pa.table({"id": pa.array([r for r, _ in by_id], pa.int32()),
-                          "bytes": [t for _, t in by_id]})
-        self.db.register("merges_in", merges)
-        self.db.register("vocab_in", vocab)
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
-        self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
-        self.db.unregister("merges_in")
-        self.db.unregister("vocab_in")
         self.bytes = {r: t for t, r in ranks.items()}
-        self.pieces, self.segments = Memory(), Memory()
-
-    def forget(self) -> None:
-        """Give back what was remembered: an idle worker holds the tables alone."""
-        self.pieces, self.segments = Memory(), Memory()
-        self.db.execute("DROP TABLE IF EXISTS first")
-        release_memory()
+        self.keys, self.ranks = merge_rows(ranks)
+        self.vocab = pa.array([self.bytes.get(r, b"") for r in range(max(ranks.values()) + 1)],
+                              pa.large_binary())
+        a, b = np.divmod(np.arange(1 << 16), 256)
+        self.first = self._rank(self.byte[a], self.byte[b]).reshape(256, 256)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What tokens a and b next to each other merge to, or NONE."""
+        if not len(self.keys):
+            return np.full(len(a), NONE, dtype=np.int32)
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
     # -- encoding ---------------------------------------------------------------
     def _pieces(self, segment: str) -> list[str]:
@@ -175,15 +90,18 @@ class Codec:
         return self.find(segment)
 
     def _merge(self, pieces: list[str]) -> list[bytes]:
-        """Ids (little-endian 32-bit) of pieces by the recursive queries."""
+        """Ids (little-endian 32-bit) of pieces; one that is a token has its id."""
         raw = [p.encode() for p in pieces]
-        short = [i for i, x in enumerate(raw) if len(x) <= WINDOW]
-        out = [b""] * len(raw)
-        for i, ids in zip(short, self._contract([raw[i] for i in short])):
+        out, rest = [b""] * len(raw), []
+        for i, rank in enumerate(map(self.whole.get, raw)):
+            if rank is not None:
+                out[i] = rank.to_bytes(4, "little")
+            elif len(raw[i]) <= WINDOW:
+                rest.append(i)
+            else:
+                out[i] = np.array(self._long_piece(raw[i]), dtype="<u4").tobytes()
+        for i, ids in zip(rest, self._contract([raw[i] for i in rest])):
             out[i] = ids
-        for i, x in enumerate(raw):
-            if len(x) > WINDOW:
-                out[i] = np.array(self._long_piece(x), dtype="<u4").tobytes()
         return out
 
     def _long_piece(self, raw: bytes) -> list[int]:
@@ -250,71 +168,159 @@ class Codec:
     def _contract(self, raw: list[bytes]) -> list[bytes]:
         """Ids of byte strings, each contracted until no pair merges."""
         out: list[bytes] = [b""] * len(raw)
-        for query, chosen in ((_ENCODE, [i for i, x in enumerate(raw) if len(x) <= LONG_PIECE]),
-                              (_ENCODE_LONG,
-                               [i for i, x in enumerate(raw) if len(x) > LONG_PIECE])):
-            for first in range(0, len(chosen), QUERY_PIECES):
-                part = chosen[first:first + QUERY_PIECES]
-                lengths = np.array([len(raw[i]) for i in part], dtype=np.int64)
-                tokens = self.byte[np.frombuffer(b"".join(raw[i] for i in part), dtype=np.uint8)]
-                ends = np.cumsum(lengths)
-                following = np.append(tokens[1:], -1).astype(np.int32)
-                following[ends - 1] = -1
-                at = np.arange(len(tokens)) - np.repeat(ends - lengths, lengths)
-                start = pa.table({
-                    "w": np.repeat(np.arange(len(part), dtype=np.int32), lengths),
-                    "p": at.astype(np.int32), "t": tokens, "nt": following})
-                self.db.register("start", start)
-                if query is _ENCODE:
-                    self.db.execute(_FIRST.format(order=""))
-                    if self.db.execute(_UNORDERED).fetchall()[0][0]:
-                        self.db.execute(_FIRST.format(order=" ORDER BY s.p"))
-                found = self.db.sql(query).to_arrow_table()
-                self.db.unregister("start")
-                toks = found.column("toks").combine_chunks()
-                flat = toks.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-                edges = (toks.offsets.to_numpy() * 4).tolist()
-                for i, x, y in zip(part, edges, edges[1:]):
-                    out[i] = flat[x:y]
+        short = []
+        for i, x in enumerate(raw):
+            if len(x) <= LONG_PIECE:
+                short.append(i)
+            else:
+                out[i] = self._by_heap(x)
+        for first in range(0, len(short), QUERY_PIECES):
+            part = short[first:first + QUERY_PIECES]
+            for i, ids in zip(part, self._by_steps([raw[i] for i in part])):
+                out[i] = ids
+        return out
+
+    def _by_steps(self, raw: list[bytes]) -> list[bytes]:
+        """Short strings together.  Each step takes one token off every row, so rows of as
+        many tokens, whether contracted to them or as many bytes long, form one matrix."""
+        out: list[bytes] = [b""] * len(raw)
+        lengths = np.array([len(x) for x in raw], dtype=np.int64)
+        order = np.argsort(lengths, kind="stable")
+        joint = np.frombuffer(b"".join([raw[i] for i in order]), dtype=np.uint8)
+        widest = int(lengths.max(initial=0))
+        firsts = np.searchsorted(lengths[order], np.arange(widest + 2))
+        ends = np.append(0, np.cumsum(lengths[order]))
+        which = np.empty(0, dtype=np.int64)   # the string of each row
+        toks = np.empty((0, widest), dtype=np.int32)
+        pairs = np.empty((0, max(widest - 1, 0)), dtype=np.int32)
+        for width in range(widest, 0, -1):
+            i, j = firsts[width], firsts[width + 1]
+            if i < j:
+                text = joint[ends[i]:ends[j]].reshape(-1, width)
+                which = np.concatenate([which, order[i:j]])
+                toks = np.concatenate([toks, self.byte[text]])
+                pairs = np.concatenate([pairs, self.first[text[:, :-1], text[:, 1:]]])
+            if not len(which):
+                toks, pairs = toks[:, 1:], pairs[:, 1:]
+                continue
+            if width > 1:
+                at = pairs.argmin(axis=1)
+                least = pairs[np.arange(len(at)), at]
+                done = least == NONE
+            else:
+                done = np.ones(len(which), dtype=bool)
+            flat = toks[done].astype("<u4").tobytes()
+            for k, i in enumerate(which[done].tolist()):
+                out[i] = flat[4 * width * k:4 * width * (k + 1)]
+            if width == 1:
+                break
+            which, toks, pairs, at, least = (x[~done] for x in (which, toks, pairs, at, least))
+            rows = np.arange(len(which))
+            toks[rows, at] = least
+            toks = _without(toks, at + 1)
+            pairs = _without(pairs, np.minimum(at + 1, width - 2))
+            left, right = rows[at > 0], rows[at < width - 2]
+            pairs[left, at[left] - 1] = self._rank(toks[left, at[left] - 1], least[left])
+            pairs[right, at[right]] = self._rank(least[right], toks[right, at[right] + 1])
         return out
 
+    def _by_heap(self, raw: bytes) -> bytes:
+        """One long string: its pairs wait in a heap by rank and place."""
+        rank, n = self.whole.get, len(raw)
+        before = list(range(-1, n))       # start of the token left of the one at a place
+        after = [*range(1, n + 1), -1]    # its end, -1 where no token starts any more
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(raw[i:i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, end = heappop(heap)
+            mid = after[i]
+            if mid < 0 or after[mid] != end:
+                continue                  # a token of the pair has been merged since
+            after[i], after[mid], before[end] = end, -1, i
+            if i and (r := rank(raw[before[i]:end])) is not None:
+                heappush(heap, (r, before[i], end))
+            if end < n and (r := rank(raw[i:after[end]])) is not None:
+                heappush(heap, (r, i, after[end]))
+        ids, i = [], 0
+        while i < n:
+            ids.append(self.whole[raw[i:after[i]]])
+            i = after[i]
+        return np.array(ids, dtype="<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [_segments(t) for t in texts]
-        cut = {s: self._pieces(s) for s in self.segments.missing(set().union(*split))}
-        new = self.pieces.missing({p for ps in cut.values() for p in ps})
-        pieces, rest = self.pieces.young, []
-        for p in new:
-            rank = self.whole.get(p.encode())
-            if rank is None:
-                rest.append(p)
-            else:
-                pieces[p] = rank.to_bytes(4, "little")
-        pieces.update(zip(rest, self._merge(rest)))
-        segments = self.segments.young
-        for s, ps in cut.items():
-            segments[s] = b"".join([pieces[p] for p in ps])
-        get = segments.__getitem__
-        return [b"".join(list(map(get, s))) for s in split]
+        out: list[bytes] = [b""] * len(texts)
+        odd = [i for i, t in enumerate(texts) if _SPACE_AFTER_SPACE.search(t)]
+        cut = [_segments(texts[i]) for i in odd]
+        ends = np.cumsum([0, *map(len, cut)])
+        found = pa.array([s for ss in cut for s in ss], pa.large_string()).dictionary_encode()
+        for i, ids in zip(odd, self._texts(found.dictionary.to_pylist(),
+                                             found.indices.to_numpy(), ends)):
+            out[i] = ids
+
+        rest = sorted(set(range(len(texts))) - set(odd))
+        plain = pc.split_pattern(pa.array([texts[i] for i in rest], pa.large_string()), " ")
+        ends = plain.offsets.to_numpy()
+        found = plain.flatten().dictionary_encode()
+        segments = [" " + s for s in found.dictionary.to_pylist()]
+        at = found.indices.to_numpy().copy()
+        at[ends[:-1]] = len(segments) + np.arange(len(rest))   # no space before a text
+        segments += [texts[i].partition(" ")[0] for i in rest]
+        for i, ids in zip(rest, self._texts(segments, at, ends)):
+            out[i] = ids
+        return out
+
+    def _texts(self, segments: list[str], at: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Ids of texts that are ``segments[at]`` cut at ``ends``."""
+        cut = [self._pieces(s) if s else [] for s in segments]
+        inner = np.cumsum([0, *map(len, cut)])
+        found = pa.array([p for ps in cut for p in ps], pa.large_string()).dictionary_encode()
+        del cut
+        ids = pa.array(self._merge(found.dictionary.to_pylist()), pa.large_binary())
+        found = _grouped(ids.take(found.indices), inner)
+        return _grouped(found.take(pa.array(at)), ends).to_pylist()
 
     # -- decoding ---------------------------------------------------------------
     def decode(self, encoded: list[bytes]) -> list[bytes]:
-        """Bytes of each id sequence, by ordered aggregations over ``QUERY_IDS`` ids each.
-        A sequence that spans several of them is put together from its parts."""
-        out: list[list[bytes]] = [[] for _ in encoded]
-        lengths = np.array([len(x) // 4 for x in encoded], dtype=np.int64)
+        """Bytes of each id sequence, ``QUERY_IDS`` ids at a time."""
         ids = np.frombuffer(b"".join(encoded), dtype="<u4").astype(np.int32)
-        owner = np.repeat(np.arange(len(encoded), dtype=np.int32), lengths)
-        place = np.arange(min(QUERY_IDS, len(ids)), dtype=np.int32)
+        data, places = [], [np.zeros(1, dtype=np.int64)]
         for first in range(0, len(ids), QUERY_IDS):
-            part = ids[first:first + QUERY_IDS]
-            self.db.register("ids", pa.table({"w": owner[first:first + QUERY_IDS],
-                                              "p": place[:len(part)], "id": part}))
-            found = self.db.sql(_DECODE).to_arrow_table()
-            self.db.unregister("ids")
-            for w, text in zip(found.column("w").to_pylist(), found.column("bytes").to_pylist()):
-                out[w].append(text.encode("latin-1"))
-        return [b"".join(parts) for parts in out]
+            found = self.vocab.take(pa.array(ids[first:first + QUERY_IDS]))
+            data.append(_data(found))
+            places.append(_offsets(found)[1:] + places[-1][-1])
+        text = b"".join(data)
+        ends = np.cumsum([0, *(len(x) // 4 for x in encoded)])
+        places = np.concatenate(places)[ends].tolist()
+        return [text[x:y] for x, y in zip(places, places[1:])]
+
+
+def _without(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``rows`` less the entry at ``at`` of each."""
+    keep = np.ones(rows.shape, dtype=bool)
+    keep[np.arange(len(rows)), at] = False
+    return rows[keep].reshape(len(rows), rows.shape[1] - 1)
+
+
+def _offsets(rows: pa.LargeBinaryArray) -> np.ndarray:
+    """Where each row starts and the last one ends."""
+    if not len(rows):
+        return np.zeros(1, dtype=np.int64)
+    return np.frombuffer(rows.buffers()[1], dtype=np.int64)[rows.offset:rows.offset + len(rows) + 1]
+
+
+def _data(rows: pa.LargeBinaryArray) -> pa.Buffer:
+    """The bytes of all rows."""
+    data, places = rows.buffers()[2] or pa.py_buffer(b""), _offsets(rows)
+    return data.slice(int(places[0]), int(places[-1] - places[0]))
+
+
+def _grouped(rows: pa.LargeBinaryArray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The rows between each two ``ends`` put together."""
+    places = _offsets(rows)[ends]
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(places) - 1,
+        [None, pa.py_buffer(places), rows.buffers()[2] or pa.py_buffer(b"")])
 
 
 def _ids(raw: bytes) -> list[int]:
@@ -369,7 +375,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         try:
             yield from encoded(c, batches)
         finally:
-            c.forget()
+            release_memory()
 
     def encoded(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, CHARS):

@@ -392,6 +392,54 @@ def test_bpe_odd_texts():
     assert c.decode(ids) == [t.encode() for t in texts]
 
 
+def test_bpe_pieces_advance_together():
+    """A step contracts a pair in every piece: the pair lookups follow from the length of the
+    longest piece, not from how many there are.  Lengths on both sides of LONG_PIECE."""
+    import random
+
+    import public_tokenizers
+    path = public_tokenizers.path(bpe.TOKENIZER)
+    enc, c = token_counts.encoder(path), bpe.Codec(path, public_tokenizers.PATTERN)
+    looked = []
+    rank, c._rank = c._rank, lambda a, b: looked.append(len(a)) or rank(a, b)
+    random.seed(12)
+    words = ["".join(random.choice("etaoinshrdlu") for _ in range(random.randint(2, 20)))
+             for _ in range(5000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in c._contract([w.encode() for w in words])] \
+        == [enc.encode_ordinary(w) for w in words]
+    assert 0 < len(looked) <= 2 * 20
+    for n in (1, 2, 3, *range(bpe.LONG_PIECE - 2, bpe.LONG_PIECE + 3), 1000):
+        for letters in ("a", "ab", "acgt", "é漢a"):
+            w = "".join(random.choice(letters) for _ in range(n))
+            assert [np.frombuffer(x, "<u4").tolist() for x in c.encode([w, " " + w])] \
+                == [enc.encode_ordinary(w), enc.encode_ordinary(" " + w)], w
+    assert c.encode([]) == [] and c.encode([""]) == [b""] and c._contract([]) == []
+
+
+def test_bpe_worker_keeps_nothing_of_past_texts():
+    """What a worker holds between slices of text does not grow with the words it has seen."""
+    import gc
+    import random
+    import tracemalloc
+
+    import public_tokenizers
+    c = bpe.Codec(public_tokenizers.path(bpe.TOKENIZER), public_tokenizers.PATTERN)
+    random.seed(13)
+    slices = [[" ".join("".join(random.choices("abcdefghijklmnop", k=9)) for _ in range(2000))
+               for _ in range(10)] for _ in range(3)]
+    c.encode(slices[0])
+    gc.collect()
+    tracemalloc.start()
+    try:
+        for texts in slices:
+            c.encode(texts)
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 2_000_000
+
+
 def test_bpe_decoding_across_queries(monkeypatch):
     """A sequence cut by the size of a decoding query is put together again, also inside a
     character, and empty sequences keep their place."""
