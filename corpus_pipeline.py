@@ -30,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, with the digests of ids and decoded text."""
-    return bpe.encode_decode(docs, with_ids=True).drop("decoded")
+    return bpe.encode_decode(docs, with_ids=True, with_decoded=False)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies),

@@ -349,9 +349,10 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   path: str | None = None, pattern: str | None = None,
-                  with_ids: bool = False) -> DataFrame:
+                  with_ids: bool = False, with_decoded: bool | None = None) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256, round_trip) of every text, and with
-    ``with_ids`` the ids (binary, little-endian unsigned 32-bit) and the decoded text.
+    ``with_ids`` the ids (binary, little-endian unsigned 32-bit) and the decoded text, the
+    latter unless ``with_decoded`` is False.
 
     NULL and empty texts have no tokens.  Whole texts are encoded, each match of the
     pattern by itself, without special tokens.  A match of any length is encoded whole, in
@@ -363,12 +364,14 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     path = path or public_tokenizers.path(TOKENIZER)
     pattern = pattern or public_tokenizers.PATTERN
     rows = docs.select(F.col(id_col), whole_text(text_col).alias("__llm_text"))
-    extra = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    with_decoded = with_ids if with_decoded is None else with_decoded
+    extra = [T.StructField("ids", T.BinaryType())] * with_ids
+    extra += [T.StructField("decoded", T.StringType())] * with_decoded
     schema = T.StructType([
         rows.schema[0], T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType()),
-        T.StructField("round_trip", T.BooleanType())] + (extra if with_ids else []))
+        T.StructField("round_trip", T.BooleanType())] + extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
@@ -387,8 +390,9 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
                     pa.array([x == t.encode() for x, t in zip(back, texts)], pa.bool_())]
             if with_ids:
-                cols += [pa.array(ids, pa.binary()),
-                         pa.array([x.decode("utf-8", "replace") for x in back], pa.string())]
+                cols.append(pa.array(ids, pa.binary()))
+            if with_decoded:
+                cols.append(pa.array([x.decode("utf-8", "replace") for x in back], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -440,6 +440,21 @@ def test_bpe_worker_keeps_nothing_of_past_texts():
     assert held < 2_000_000
 
 
+def test_bpe_ids_without_the_decoded_text(docs):
+    both = bpe.encode_decode(docs, with_ids=True)
+    ids = bpe.encode_decode(docs, with_ids=True, with_decoded=False)
+    assert both.columns[-2:] == ["ids", "decoded"] and ids.columns == both.columns[:-1]
+    assert Counter(map(tuple, ids.collect())) == Counter(map(tuple, both.drop("decoded").collect()))
+
+
+def test_pipeline_encodes_without_sending_the_decoded_text(spark, docs):
+    """The last stage's UDF itself returns what the stage returns: a decoded text that is
+    dropped afterwards would pass through the executor's memory all the same."""
+    import corpus_pipeline
+    plan = corpus_pipeline.encode(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "decoded#" not in plan
+
+
 def test_bpe_decoding_across_queries(monkeypatch):
     """A sequence cut by the size of a decoding query is put together again, also inside a
     character, and empty sequences keep their place."""
