@@ -33,7 +33,7 @@ WINDOW = 1 << 17       # bytes; longer pieces still are encoded window by window
 TAIL = 64              # tokens before a window that are encoded again with it
 SPREAD = 4096          # bytes around a boundary that are encoded again at most
 CHARS = 4_000_000      # bytes of text a worker takes up at a time
-QUERY_PIECES = 50_000  # pieces contracted together
+QUERY_BYTES = 500_000  # bytes of pieces contracted together
 QUERY_IDS = 1_000_000  # ids decoded together
 NONE = np.iinfo(np.int32).max  # rank of a pair that does not merge
 
@@ -168,18 +168,23 @@ class Codec:
     def _contract(self, raw: list[bytes]) -> list[bytes]:
         """Ids of byte strings, each contracted until no pair merges."""
         out: list[bytes] = [b""] * len(raw)
-        short = []
+        part, size = [], 0
         for i, x in enumerate(raw):
-            if len(x) <= LONG_PIECE:
-                short.append(i)
-            else:
+            if len(x) > LONG_PIECE:
                 out[i] = self._by_heap(x)
-        for first in range(0, len(short), QUERY_PIECES):
-            part = short[first:first + QUERY_PIECES]
-            for i, ids in zip(part, self._by_steps([raw[i] for i in part])):
-                out[i] = ids
+                continue
+            part.append(i)
+            size += len(x)
+            if size >= QUERY_BYTES:
+                self._put(out, part, raw)
+                part, size = [], 0
+        self._put(out, part, raw)
         return out
 
+    def _put(self, out: list[bytes], part: list[int], raw: list[bytes]) -> None:
+        for i, ids in zip(part, self._by_steps([raw[i] for i in part])):
+            out[i] = ids
+
     def _by_steps(self, raw: list[bytes]) -> list[bytes]:
         """Short strings together.  Each step takes one token off every row, so rows of as
         many tokens, whether contracted to them or as many bytes long, form one matrix."""
